@@ -36,7 +36,7 @@ def closure_rate_by_cause(clean_events: DataFrame, least: int = 30, most: int =
 def daily_volume(clean_events: DataFrame, types: Sequence[str]) -> DataFrame:
     """Events per observed day, one column per event type."""
     return (clean_events.groupBy(F.to_date("start").alias("day"))
-            .pivot("event_type", list(types)).agg(F.count("*")).na.fill(0))
+            .pivot("event_type", list(types)).agg(F.count("start")).na.fill(0))
 
 
 def rolling_means(daily: DataFrame, columns: Sequence[str], width: int = 3) -> DataFrame:

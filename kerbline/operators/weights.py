@@ -81,6 +81,8 @@ def morans_i(values: DataFrame, edges: DataFrame, name: str = "corridor", value:
 
     Names of the edge list without a value count as 0; values outside the edge list are left out.
     """
+    # Both tables are read several times and have a few rows per name.
+    edges, values = edges.persist(), values.select(name, value).persist()
     names = edges.select(F.col("src").alias(name)).union(edges.select(F.col("dst"))).distinct()
     held = (names.join(values.select(name, F.col(value).cast("double").alias("x")), name, "left")
             .fillna(0.0, ["x"]))

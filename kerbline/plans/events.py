@@ -297,8 +297,8 @@ def most_recent(spark, sf_dir):
 
 
 def recency_weight(spark, sf_dir):
-    known = Tables(spark, sf_dir).clean.where(F.col("duration_min").isNotNull())
-    return tidy(profile.recency_weight(known).select("id", "recency_weight"))
+    weighted = profile.recency_weight(Tables(spark, sf_dir).clean)
+    return tidy(weighted.where(F.col("duration_min").isNotNull()).select("id", "recency_weight"))
 
 
 QUERIES = {
