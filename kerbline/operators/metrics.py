@@ -33,13 +33,7 @@ def roc_auc(df: DataFrame, y: str, p: str, by: Sequence[str] = (), few_groups: b
 
 def _descending(df: DataFrame, y: str, p: str, by: Sequence[str] = (), few_groups: bool = False) -> DataFrame:
     """Per distinct score: hits and false alarms at `score >= p`, with class totals."""
-    totals = _label_totals(df, y, p, by, few_groups)
-    sizes = df.where(F.col(p).isNotNull()).groupBy(*by).agg(
-        F.sum(F.col(y).cast("bigint")).alias("P"), F.sum(1 - F.col(y).cast("bigint")).alias("N"))
-    if by:
-        totals = totals.join(F.broadcast(sizes) if few_groups else sizes, list(by))
-    else:
-        totals = totals.withColumns({c: sizes.select(c).scalar() for c in ("P", "N")})
+    totals = _label_totals(df, y, p, by, few_groups).withColumnsRenamed({"pos_total": "P", "neg_total": "N"})
     return totals.withColumns({"tp": F.col("P") - F.col("pos_before"),
                                "fp": F.col("N") - F.col("neg_before")})
 
@@ -92,32 +86,25 @@ def brier(df: DataFrame, y: str, p: str) -> DataFrame:
 def best_threshold(df: DataFrame, y: str, p: str, probs: Sequence[float] = tuple(THRESHOLD_PROBS)) -> DataFrame:
     """(threshold, f1): the quantile of the scores with the best F1, the lowest on ties.
 
-    Rows are counted by how many candidates they pass; the candidates then read the counts
+    Rows are counted by how many candidates they reach; the candidates then read the counts
     of that small table (one row per candidate).
     """
-    candidates = ordered.quantile_array(df.select(p), p, probs)
-    passed = (df.where(F.col(p).isNotNull()).withColumn("_at", candidates)
-              .withColumn("_passed", F.size(F.filter("_at", lambda t: t <= F.col(p))))
-              .groupBy("_passed")
-              .agg(F.count("*").alias("n"), F.sum(F.col(y).cast("bigint")).alias("pos")))
-    falling = W.partitionBy(F.lit(0)).orderBy(F.desc("_passed"))
-    counted = passed.withColumns({"flagged": F.sum("n").over(falling), "tp": F.sum("pos").over(falling),
-                                  "P": F.sum("pos").over(W.partitionBy(F.lit(0)))})
-    # A candidate between two passed counts flags what the next higher one flags.
-    places = (df.sparkSession.range(1, len(probs) + 1).select(F.col("id").cast("int").alias("place"))
-              .withColumn("threshold", F.element_at(candidates, F.col("place"))))
-    scored = (places.join(F.broadcast(counted), F.col("_passed") >= F.col("place"), "left")
-              .groupBy("place", "threshold")
-              .agg(F.max("flagged").alias("flagged"), F.max("tp").alias("tp"), F.max("P").alias("P")))
+    candidates = sorted({c for c in ordered.quantile_values(df.select(p), p, probs) if c is not None})
+    reached = (ordered.bucketed(df.where(F.col(p).isNotNull()).select(y, p), p, candidates, "place")
+               .groupBy("place").agg(F.count("*").alias("n"), F.sum(F.col(y).cast("bigint")).alias("pos")))
+    whole = W.partitionBy(F.lit(0))
+    falling = whole.orderBy(F.desc("place")).rowsBetween(W.unboundedPreceding, 0)
+    counted = reached.withColumns({"flagged": F.sum("n").over(falling), "tp": F.sum("pos").over(falling),
+                                   "P": F.sum("pos").over(whole)}).where(F.col("place") > 0)
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("flagged") + F.col("P")), F.lit(0.0))
-    return (scored.select("place", "threshold", f1.alias("f1"))
+    return (counted.select("place", F.get(F.array(*[F.lit(c) for c in candidates]), F.col("place") - 1)
+                           .alias("threshold"), f1.alias("f1"))
             .orderBy(F.desc("f1"), "place").limit(1).select("threshold", "f1"))
 
 
-def confusion(df: DataFrame, y: str, p: str, threshold: Column | float) -> DataFrame:
+def confusion(df: DataFrame, y: str, p: str, threshold: float) -> DataFrame:
     """Counts at `p >= threshold`, precision, recall and F1 (0 when undefined), base rate."""
-    threshold = F.lit(threshold) if isinstance(threshold, float) else threshold
-    flagged = df.select((F.col(p) >= threshold).alias("hit"), (F.col(y) == 1).alias("real"))
+    flagged = df.select((F.col(p) >= F.lit(threshold)).alias("hit"), (F.col(y) == 1).alias("real"))
     counts = flagged.agg(
         F.count_if(~F.col("hit") & ~F.col("real")).alias("tn"),
         F.count_if(F.col("hit") & ~F.col("real")).alias("fp"),
@@ -136,26 +123,23 @@ def confusion(df: DataFrame, y: str, p: str, threshold: Column | float) -> DataF
 
 def classifier_report(train: DataFrame, test: DataFrame, y: str, p: str) -> DataFrame:
     """All classifier metrics of the test rows at the threshold chosen on the train rows."""
-    threshold = best_threshold(train, y, p).select("threshold").scalar()
-    report = confusion(test, y, p, threshold).withColumn("threshold", threshold)
-    return report.withColumns({
-        "auc": roc_auc(test, y, p).scalar(), "pr_auc": average_precision(test, y, p).scalar(),
-        "brier": brier(test, y, p).scalar()})
+    threshold = best_threshold(train, y, p).first()["threshold"]
+    return confusion(test, y, p, threshold).withColumns({
+        "threshold": F.lit(threshold), "auc": F.lit(roc_auc(test, y, p).first()[0]),
+        "pr_auc": F.lit(average_precision(test, y, p).first()[0]),
+        "brier": F.lit(brier(test, y, p).first()[0])})
 
 
-def duration_error(df: DataFrame, y: str, yhat: str, naive: Column) -> DataFrame:
+def duration_error(df: DataFrame, y: str, yhat: str, naive: float) -> DataFrame:
     """MAE, median absolute error, and the MAE of a constant guess."""
-    known = df.where(F.col(y).isNotNull() & F.col(yhat).isNotNull())
-    error = known.select(F.abs(F.col(y) - F.col(yhat)).alias("e"))
-    median = ordered.quantiles(error, "e", [0.5]).select("quantile").scalar()
-    return (known.agg(F.avg(F.abs(F.col(y) - F.col(yhat))).alias("mae"),
-                      F.avg(F.abs(F.col(y) - naive)).alias("naive_mae"),
-                      F.count("*").alias("n_test"))
-            .withColumn("median_ae", median))
+    known = df.where(F.col(y).isNotNull() & F.col(yhat).isNotNull()).select(
+        y, F.abs(F.col(y) - F.col(yhat)).alias("e"))
+    return known.agg(F.avg("e").alias("mae"), F.avg(F.abs(F.col(y) - F.lit(naive))).alias("naive_mae"),
+                     F.count("*").alias("n_test")).withColumn("median_ae", F.lit(median(known, "e")))
 
 
-def median(df: DataFrame, value: str) -> Column:
-    return ordered.quantiles(df, value, [0.5]).select("quantile").scalar()
+def median(df: DataFrame, value: str) -> float:
+    return ordered.quantile_values(df, value, [0.5])[0]
 
 
 def mae(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -> DataFrame:
@@ -173,9 +157,9 @@ def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def calibration(df: DataFrame, y: str, p: str, bins: int = 8) -> DataFrame:
     """Quantile bins (an edge value falls below its edge): mean score, observed rate, size."""
-    edges = ordered.quantile_array(df.select(p), p, [i / bins for i in range(1, bins)])
-    return (df.withColumn("_edges", edges)
-            .withColumn("bin", F.size(F.filter("_edges", lambda e: e < F.col(p))))
+    edges = ordered.quantile_values(df.select(p), p, [i / bins for i in range(1, bins)])
+    above = sum(((F.col(p) > F.lit(e)).cast("int") for e in edges), F.lit(0))
+    return (df.withColumn("bin", above)
             .groupBy("bin")
             .agg(F.avg(p).alias("mean_predicted"), F.avg(y).alias("observed_rate"),
                  F.count("*").alias("n")))
@@ -187,7 +171,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     cells = both.groupBy(a, b).agg(F.count("*").alias("_n"))
     ranked = (cells.join(ordered.average_ranks(both, a, rank="_ra"), a)
               .join(ordered.average_ranks(both, b, rank="_rb"), b))
-    middle = (both.agg((F.count("*") + 1) / 2.0)).scalar()
+    middle = F.lit((both.count() + 1) / 2.0)
     spread = ranked.select(F.col("_n").cast(_D).alias("_n"), (F.col("_ra") - middle).alias("_ra"),
                            (F.col("_rb") - middle).alias("_rb"))
     return spread.agg(F.try_divide(
@@ -215,9 +199,8 @@ def concordance(df: DataFrame, t: str, e: str, pred: str) -> DataFrame:
     ranked = cells.join(ranks, "t").select(
         (F.col("first") + F.when(F.col("e") == 0, F.col("seen")).otherwise(0)).alias("rank"),
         "e", "pred", "n")
-    digits = F.length(F.bin(ranks.agg(F.max("first") + 1).scalar()))
-    dealt = (ranked.withColumn("digits", digits)
-             .select("*", F.explode(F.sequence(F.lit(0), F.col("digits") - 1)).alias("digit"))
+    digits = ((ranks.agg(F.max("first")).first()[0] or 0) + 1).bit_length()
+    dealt = (ranked.select("*", F.explode(F.sequence(F.lit(0), F.lit(digits - 1))).alias("digit"))
              .select("digit", F.expr("shiftright(rank, digit + 1)").alias("prefix"),
                      F.expr("shiftright(rank, digit) & 1").alias("side"), "e", "pred", "n"))
     met = ordered.running_totals(dealt, "pred", {

@@ -13,7 +13,6 @@ not grow with the square of a hot place:
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 from kerbline.constants import (DENSITY_RADII_KM, KERNEL_CUTOFF_KM, NARROW_BANDWIDTH_KM,
                                 RECENCY_CAP_HOURS, RECENCY_RADIUS_KM, WIDE_BANDWIDTH_KM)
 from kerbline.functions import clock, geo
+from kerbline.operators.ordered import bucketed
 
 SITE = ["latitude", "longitude"]
 FEATURES = ["hist_density_1km", "hist_density_3km", "kde_intensity", "kde_gathering",
@@ -55,18 +55,6 @@ def _shape(moments: DataFrame) -> tuple[int, float, list[float]]:
     return row["rows"], row["rows"] / max(row["places"], 1), row["cuts"] or []
 
 
-def _block_limits(cuts: list[float], blocks: int) -> list[float]:
-    every = max(1, len(cuts) // blocks)
-    inner = sorted({float(c) for c in cuts[every - 1::every]})
-    return [float("-inf"), *inner, float("inf")]
-
-
-def _with_block(df: DataFrame, limits: list[float]) -> DataFrame:
-    timed = df.withColumn("_t", F.col("t").cast("double"))
-    placed = Bucketizer(splits=limits, inputCol="_t", outputCol="block").transform(timed)
-    return placed.withColumn("block", F.col("block").cast("int")).drop("_t")
-
-
 def _crowded(side: DataFrame, keys: list[str], rows: int, parts: str) -> DataFrame:
     """Cells with more rows than a part may hold, and the number of parts they need.
 
@@ -167,8 +155,9 @@ def causal_neighbourhood(events: DataFrame, history: DataFrame | None = None,
         blocks = min(_MOST_BLOCKS, int(per_place)) if per_place >= _DENSE_ENOUGH else 1
 
     if blocks > 1:
-        limits = _block_limits(cuts, blocks)
-        source, query = _with_block(source, limits), _with_block(query, limits)
+        every = max(1, len(cuts) // blocks)
+        limits = cuts[every - 1::every]
+        source, query = bucketed(source, "t", limits, "block"), bucketed(query, "t", limits, "block")
         same = ["cell", "block"]
     else:
         same = ["cell"]

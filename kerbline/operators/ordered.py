@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,33 +22,45 @@ def _slice_count(df: DataFrame) -> int:
     return max(8, min(configured, _MOST_SLICES))
 
 
+def bucketed(df: DataFrame, value: str, limits: Sequence[float], bucket: str) -> DataFrame:
+    """The number of (distinct) limits at or below the value, by binary search."""
+    splits = [float("-inf"), *sorted({float(x) for x in limits if x is not None}), float("inf")]
+    placed = Bucketizer(splits=splits, inputCol="_value", outputCol=bucket).transform(
+        df.withColumn("_value", F.col(value).cast("double")))
+    return placed.withColumn(bucket, F.col(bucket).cast("int")).drop("_value")
+
+
 def running_totals(df: DataFrame, key: str, sums: dict[str, Column],
                    by: Sequence[str] = (), few_groups: bool = False) -> DataFrame:
-    """One row per (by, key): every sum, and `<sum>_before`, its total over smaller keys.
+    """One row per (by, key): every sum, `<sum>_before`, its total over smaller keys, and
+    `<sum>_total`, its total over all keys.
 
     `few_groups` says that the groups are few (their slice limits are then kept per group,
-    256 groups at most); otherwise slice limits are shared by all groups.
+    256 groups at most); otherwise the slice limits are shared by all groups and are found by
+    a small job of their own.
     """
     by = list(by)
     slices = _slice_count(df)
     cuts = [i / slices for i in range(1, slices)]
-    tallied = (df.where(F.col(key).isNotNull()).groupBy(*by, key)
-               .agg(*[c.alias(name) for name, c in sums.items()]))
+    known = df.where(F.col(key).isNotNull())
+    tallied = known.groupBy(*by, key).agg(*[c.alias(name) for name, c in sums.items()])
     limits = F.percentile_approx(F.col(key).cast("double"), cuts, F.lit(10000)).alias("_limits")
     if by and few_groups:
-        placed = tallied.join(F.broadcast(tallied.groupBy(*by).agg(limits)), by)
+        per_group = known.select(*by, key).distinct().groupBy(*by).agg(limits)
+        placed = tallied.join(F.broadcast(per_group), by).withColumn(
+            "_slice", F.size(F.filter("_limits", lambda limit: limit <= F.col(key)))).drop("_limits")
     else:
-        placed = tallied.withColumn("_limits", tallied.agg(limits).scalar())
-    placed = placed.withColumn(
-        "_slice", F.size(F.filter("_limits", lambda limit: limit < F.col(key)))).drop("_limits")
+        found = known.select(key).distinct().agg(limits).first()["_limits"]
+        placed = bucketed(tallied, key, found or [], "_slice")
 
+    groups = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    earlier = groups.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     carried = (placed.groupBy(*by, "_slice")
                .agg(*[F.sum(name).alias(f"_{name}") for name in sums]))
-    earlier_slices = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0)))
-    earlier_slices = earlier_slices.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    carried = carried.select(*by, "_slice", *[
-        F.coalesce(F.sum(f"_{name}").over(earlier_slices), F.lit(0)).alias(f"_{name}")
-        for name in sums])
+    carried = carried.select(
+        *by, "_slice",
+        *[F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}") for name in sums],
+        *[F.sum(f"_{name}").over(groups).alias(f"{name}_total") for name in sums])
     if not by or few_groups:
         carried = F.broadcast(carried)  # at most slices x 256 rows
 
@@ -55,9 +68,9 @@ def running_totals(df: DataFrame, key: str, sums: dict[str, Column],
     local = placed.select("*", *[
         F.coalesce(F.sum(name).over(within), F.lit(0)).alias(f"{name}_before") for name in sums])
     return (local.join(carried, [*by, "_slice"])
-            .select(*by, key, *sums, *[
-                (F.col(f"{name}_before") + F.col(f"_{name}")).alias(f"{name}_before")
-                for name in sums]))
+            .select(*by, key, *sums,
+                    *[(F.col(f"{name}_before") + F.col(f"_{name}")).alias(f"{name}_before") for name in sums],
+                    *[f"{name}_total" for name in sums]))
 
 
 def average_ranks(df: DataFrame, key: str, by: Sequence[str] = (), rank: str = "rank") -> DataFrame:
@@ -70,46 +83,31 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
               few_groups: bool = False) -> DataFrame:
     """Exact linear-interpolation quantiles: one row per (by, prob)."""
     by = list(by)
-    known = df.where(F.col(value).isNotNull())
-    totals = running_totals(known, value, {"n": F.count("*")}, by, few_groups)
-    if by:
-        size = known.groupBy(*by).agg(F.count("*").alias("_size"))
-        totals = totals.join(F.broadcast(size) if few_groups else size, by)
-    else:
-        totals = totals.withColumn("_size", known.agg(F.count("*")).scalar())
+    totals = running_totals(df, value, {"n": F.count("*")}, by, few_groups)
+    totals = totals.withColumn("_probs", F.array(*[F.lit(float(p)) for p in probs]))
 
-    def spot(prob: float) -> Column:
-        at = (F.col("_size") - 1) * F.lit(float(prob))
-        return F.struct(F.lit(float(prob)).alias("prob"), F.floor(at).alias("low"),
-                        F.ceil(at).alias("high"), (at - F.floor(at)).alias("part"))
+    def rank(prob: Column) -> Column:
+        return (F.col("n_total") - 1) * prob
 
-    def covers(rank: Column) -> Column:
-        return (rank >= F.col("n_before")) & (rank < F.col("n_before") + F.col("n"))
+    def covers(at: Column) -> Column:
+        return (at >= F.col("n_before")) & (at < F.col("n_before") + F.col("n"))
 
     # Each order statistic lies in exactly one row, so this yields at most 2 x probs rows a group.
     found = (totals
-             .withColumn("_spots", F.array(*[spot(p) for p in probs]))
-             .withColumn("_spots", F.filter("_spots", lambda s: covers(s.low) | covers(s.high)))
-             .where(F.size("_spots") > 0)
-             .select(*by, F.col(value).cast("double").alias("_value"), "n", "n_before",
-                     F.explode("_spots").alias("_spot")))
-    spot_ = F.col("_spot")
-    ends = found.groupBy(*by, spot_.prob.alias("prob"), spot_.part.alias("_part")).agg(
-        F.max(F.when(covers(spot_.low), F.col("_value"))).alias("_low"),
-        F.max(F.when(covers(spot_.high), F.col("_value"))).alias("_high"))
+             .withColumn("_probs", F.filter("_probs", lambda p: covers(F.floor(rank(p))) | covers(F.ceil(rank(p)))))
+             .where(F.size("_probs") > 0)
+             .select(*by, F.col(value).cast("double").alias("_value"), "n", "n_before", "n_total",
+                     F.explode("_probs").alias("prob")))
+    at = rank(F.col("prob"))
+    ends = found.groupBy(*by, "prob").agg(
+        F.max(F.when(covers(F.floor(at)), F.col("_value"))).alias("_low"),
+        F.max(F.when(covers(F.ceil(at)), F.col("_value"))).alias("_high"),
+        F.max(at - F.floor(at)).alias("_part"))
     return ends.select(*by, "prob", (
         F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias("quantile"))
 
 
-def quantile_row(df: DataFrame, value: str, probs: Sequence[float], prefix: str = "q") -> DataFrame:
-    """The quantiles as columns q0, q1, ... of a single row, in the order of `probs`."""
-    found = quantiles(df, value, probs)
-    return found.agg(*[
-        F.max(F.when(F.col("prob") == float(p), F.col("quantile"))).alias(f"{prefix}{i}")
-        for i, p in enumerate(probs)])
-
-
-def quantile_array(df: DataFrame, value: str, probs: Sequence[float]) -> Column:
-    """The quantiles as an array column, to be projected into a table as a scalar subquery."""
-    row = quantile_row(df, value, probs)
-    return row.select(F.array(*row.columns)).scalar()
+def quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
+    """The quantiles as numbers, in the order of `probs`: one small result."""
+    found = {row["prob"]: row["quantile"] for row in quantiles(df, value, sorted(set(probs))).collect()}
+    return [found.get(float(p)) for p in probs]

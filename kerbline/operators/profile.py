@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -147,7 +147,6 @@ def events_sample(clean_events: DataFrame) -> DataFrame:
 
 def recency_weight(clean_events: DataFrame, days: float = 60.0) -> DataFrame:
     """exp(-age / days), age counted back from the latest start."""
-    latest: Column = clean_events.agg(F.max("start")).scalar()
-    aged = clean_events.withColumn("_latest", latest)
-    age = (clock.micros(F.col("_latest")) - clock.micros(F.col("start"))) / F.lit(86.4e9)
-    return aged.withColumn("recency_weight", F.exp(-age / F.lit(days))).drop("_latest")
+    latest = clean_events.agg(clock.micros(F.max("start"))).first()[0]
+    age = (F.lit(latest) - clock.micros(F.col("start"))) / F.lit(86.4e9)
+    return clean_events.withColumn("recency_weight", F.exp(-age / F.lit(days)))

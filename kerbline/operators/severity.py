@@ -15,7 +15,7 @@ _D = "double"
 def weight_grid(step: float = 0.05) -> list[tuple[float, float, float]]:
     """All (closure, duration, cause) weights on the simplex."""
     n = round(1 / step)
-    return [(round(a * step, 2), round(b * step, 2), round(1 - round(a * step, 2) - round(b * step, 2), 2))
+    return [(round(a * step, 2), round(b * step, 2), max(0.0, round(1 - round(a * step, 2) - round(b * step, 2), 2)))
             for a in range(n + 1) for b in range(n + 1 - a)]
 
 
@@ -43,33 +43,30 @@ def rank_objective(parts: DataFrame, scores: list[tuple[str, Column]]) -> DataFr
     event then gives one row per score; equal scores are added up before anything is ordered.
     """
     facets = parts.withColumn("known", F.col("real_duration").isNotNull().cast("bigint"))
+    size = facets.agg(F.count("*").alias("all"), F.coalesce(F.sum("known"), F.lit(0)).alias("known")).first()
+    middle_all, middle_known = F.lit((size["all"] + 1) / 2.0), F.lit((size["known"] + 1) / 2.0)
     closure_rank = ordered.average_ranks(facets, "real_closure", rank="rank_c")
     duration_rank = ordered.average_ranks(facets, "real_duration", rank="rank_d")
-    middles = facets.agg(((F.count("*") + 1) / 2.0).alias("all"), ((F.sum("known") + 1) / 2.0).alias("known"))
-    facets = (facets.join(F.broadcast(closure_rank), "real_closure")
+    facets = (facets.join(F.broadcast(closure_rank), "real_closure")  # two rows: closed or not
               .join(duration_rank, "real_duration", "left")
-              .withColumns({"c": F.col("rank_c") - middles.select("all").scalar(),
-                            "d": F.col("rank_d") - middles.select("known").scalar()}))
-    named = F.array(*[F.struct(F.lit(name).alias("name"), score.cast(_D).alias("score"))
+              .select("*", (F.col("rank_c") - middle_all).alias("c"), (F.col("rank_d") - middle_known).alias("d")))
+    named = F.array(*[F.struct(F.lit(name).alias("name"), F.round(score.cast(_D), 12).alias("score"))
                       for name, score in scores])
-    long = (facets.select("known", "c", "d", F.explode(named).alias("s"))
-            .select("known", "c", "d", "s.name", F.round("s.score", 12).alias("score")))
+    long = facets.select("known", "c", "d", F.inline(named))
     totals = ordered.running_totals(long, "score", {
-        "n": F.count("*"), "k": F.sum("known"),
-        "c_sum": F.sum("c"), "d_sum": F.sum("d"),
+        "n": F.count("*"), "k": F.sum("known"), "c": F.sum("c"), "d": F.sum("d"),
+        "cc": F.sum(F.col("c") * F.col("c")), "dd": F.sum(F.col("d") * F.col("d")),
     }, by=["name"], few_groups=True)
-    spread = facets.agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("c"),
-                        F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("d"))
     n, k = F.col("n").cast(_D), F.col("k").cast(_D)
-    rank_all = F.col("n_before") + (F.col("n") + 1) / 2.0 - middles.select("all").scalar()
-    rank_known = F.col("k_before") + (F.col("k") + 1) / 2.0 - middles.select("known").scalar()
-    ranked = totals.withColumns({"ra": rank_all, "rk": rank_known})
+    ranked = totals.withColumns({
+        "ra": F.col("n_before") + (F.col("n") + 1) / 2.0 - middle_all,
+        "rk": F.when(F.col("k") > 0, F.col("k_before") + (F.col("k") + 1) / 2.0 - middle_known)})
     sums = ranked.groupBy("name").agg(
-        F.sum(F.col("ra") * F.col("c_sum")).alias("ac"), F.sqrt(F.sum(n * F.col("ra") * F.col("ra"))).alias("a"),
-        F.sum(F.when(F.col("k") > 0, F.col("rk") * F.col("d_sum"))).alias("kd"),
-        F.sqrt(F.sum(F.when(F.col("k") > 0, k * F.col("rk") * F.col("rk")))).alias("kk"))
-    rho_c = F.try_divide(F.col("ac"), F.col("a") * spread.select("c").scalar())
-    rho_d = F.try_divide(F.col("kd"), F.col("kk") * spread.select("d").scalar())
+        F.sum(F.col("ra") * F.col("c")).alias("ac"), F.sqrt(F.sum(n * F.col("ra") * F.col("ra"))).alias("a"),
+        F.sum(F.col("rk") * F.col("d")).alias("kd"), F.sqrt(F.sum(k * F.col("rk") * F.col("rk"))).alias("kk"),
+        F.sqrt(F.sum("cc")).alias("cc"), F.sqrt(F.sum("dd")).alias("dd"))
+    rho_c = F.try_divide(F.col("ac"), F.col("a") * F.col("cc"))
+    rho_d = F.try_divide(F.col("kd"), F.col("kk") * F.col("dd"))
     return (sums.withColumns({"closure_corr": rho_c, "duration_corr": rho_d})
             .select("name", "closure_corr", "duration_corr",
                     (0.5 * F.col("closure_corr") + 0.5 * F.col("duration_corr")).alias("objective")))
@@ -105,19 +102,16 @@ def former_objective(scored: DataFrame) -> DataFrame:
     return rank_objective(severity_parts(scored), [("former", score)])
 
 
-def tier_thresholds(scores: DataFrame, score: str = "score") -> DataFrame:
-    """One row: moderate, high, critical cuts as score quantiles."""
-    return (ordered.quantile_row(scores, score, K.TIER_QUANTILES)
-            .toDF("moderate", "high", "critical"))
+def tier_thresholds(scores: DataFrame, score: str = "score") -> dict[str, float]:
+    """The lower score of each tier above Low, as score quantiles."""
+    return dict(zip(K.TIERS[1:], ordered.quantile_values(scores, score, K.TIER_QUANTILES)))
 
 
-def tiers(scores: DataFrame, cuts: DataFrame, score: str = "score") -> DataFrame:
-    def cut(c: str) -> Column:
-        return cuts.select(c).scalar()
-
+def tiers(scores: DataFrame, cuts: dict[str, float], score: str = "score") -> DataFrame:
     s = F.col(score)
-    return scores.withColumn("tier", F.when(s >= cut("critical"), "Critical").when(s >= cut("high"), "High")
-                             .when(s >= cut("moderate"), "Moderate").otherwise("Low"))
+    return scores.withColumn("tier", F.when(s >= F.lit(cuts["Critical"]), "Critical")
+                             .when(s >= F.lit(cuts["High"]), "High")
+                             .when(s >= F.lit(cuts["Moderate"]), "Moderate").otherwise("Low"))
 
 
 def tier_summary(tiered: DataFrame, label: str = "road_closure") -> DataFrame:

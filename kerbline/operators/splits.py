@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.functions import clock
@@ -16,9 +16,9 @@ def _timed(events: DataFrame) -> DataFrame:
     return events.select(clock.micros(F.col("start")).alias("t"))
 
 
-def time_cut(events: DataFrame, frac: float = 0.8) -> Column:
-    """The cut in microseconds, as a scalar."""
-    return ordered.quantiles(_timed(events), "t", [frac]).select("quantile").scalar()
+def time_cut(events: DataFrame, frac: float = 0.8) -> float:
+    """The cut in microseconds."""
+    return ordered.quantile_values(_timed(events), "t", [frac])[0]
 
 
 def time_split(events: DataFrame, frac: float = 0.8) -> DataFrame:
@@ -33,23 +33,18 @@ def train_test(events: DataFrame, frac: float = 0.8) -> tuple[DataFrame, DataFra
             marked.where(F.col("part") == "test").drop("part"))
 
 
-def _fold_of(edges: Column) -> Column:
+def _mark(events: DataFrame, edges: list[float]) -> DataFrame:
     """-1 up to the first edge, then the number of the slice (left edge excluded)."""
     t = clock.micros(F.col("start"))
-    return F.size(F.filter(edges, lambda e: e < t)) - 1
+    passed = sum(((t > F.lit(e)).cast("int") for e in edges), F.lit(0))
+    return events.withColumn("fold", passed - 1)
 
 
-def _mark(events: DataFrame, edges: Column) -> DataFrame:
-    return (events.withColumn("_edges", edges)
-            .withColumn("fold", _fold_of(F.col("_edges")).cast("int")).drop("_edges"))
-
-
-def time_edges(events: DataFrame, n_folds: int = 4, min_frac: float = 0.5) -> Column:
+def time_edges(events: DataFrame, n_folds: int = 4, min_frac: float = 0.5) -> list[float]:
     """Equal-time edges from `min_frac` of the span to its end."""
-    span = _timed(events).agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    first = F.col("a") + (F.col("b") - F.col("a")) * F.lit(min_frac)
-    inner = [first + (F.col("b") - first) * F.lit(k / n_folds) for k in range(n_folds)]
-    return span.select(F.array(*inner, F.col("b").cast("double"))).scalar()
+    a, b = _timed(events).agg(F.min("t"), F.max("t")).first()
+    first = a + (b - a) * min_frac
+    return [first + (b - first) * k / n_folds for k in range(n_folds)] + [float(b)]
 
 
 def rolling_folds(events: DataFrame, n_folds: int = 4, min_frac: float = 0.5) -> DataFrame:
@@ -59,7 +54,7 @@ def rolling_folds(events: DataFrame, n_folds: int = 4, min_frac: float = 0.5) ->
 
 def quantile_folds(events: DataFrame, probs: list[float] = COUNT_EDGES) -> DataFrame:
     """As `rolling_folds`, with edges at quantiles of the start times."""
-    return _mark(events, ordered.quantile_array(_timed(events), "t", probs))
+    return _mark(events, ordered.quantile_values(_timed(events), "t", probs))
 
 
 def fold_sizes(marked: DataFrame, label: str | None = None) -> DataFrame:

@@ -8,22 +8,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def equal_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
-    """Bin number over [low, high], the last bin closed; numpy widens an empty range by 1/2."""
-    flat = high == low
-    low, high = F.when(flat, low - 0.5).otherwise(low), F.when(flat, high + 0.5).otherwise(high)
-    return F.least(F.floor((value - low) / ((high - low) / F.lit(float(bins)))), F.lit(bins - 1)).cast("int")
+def equal_bin(value: Column, low: float, high: float, bins: int) -> Column:
+    """Bin number over [low, high], the last bin closed."""
+    width = F.lit((high - low) / bins)
+    return F.least(F.floor((value - F.lit(low)) / width), F.lit(bins - 1)).cast("int")
 
 
-def _range(df: DataFrame, column: str) -> tuple[Column, Column]:
-    return df.agg(F.min(column)).scalar(), df.agg(F.max(column)).scalar()
+def _range(row, column: str) -> tuple[float, float]:
+    """The range of a column; an empty one is widened by one half, as numpy does."""
+    low, high = row[f"low_{column}"] or 0.0, row[f"high_{column}"] or 0.0
+    return (low, high) if high > low else (low - 0.5, high + 0.5)
+
+
+def _ranges(df: DataFrame, *columns: str) -> list[tuple[float, float]]:
+    row = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in columns
+                   for n, f in (("low", F.min), ("high", F.max))]).first()
+    return [_range(row, c) for c in columns]
 
 
 def grid_counts(points: DataFrame, x: str = "longitude", y: str = "latitude", bins: int = 160) -> DataFrame:
     """(ix, iy, n) of the non-empty cells."""
     known = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    return (known.select(equal_bin(F.col(x), *_range(known, x), bins).alias("ix"),
-                         equal_bin(F.col(y), *_range(known, y), bins).alias("iy"))
+    along_x, along_y = _ranges(known, x, y)
+    return (known.select(equal_bin(F.col(x), *along_x, bins).alias("ix"),
+                         equal_bin(F.col(y), *along_y, bins).alias("iy"))
             .groupBy("ix", "iy").agg(F.count("*").cast("double").alias("n")))
 
 
@@ -61,9 +69,9 @@ def density2d(df: DataFrame, x: str, y: str, bins: int = 30) -> DataFrame:
 def histogram(df: DataFrame, value: str, bins: int = 60) -> DataFrame:
     """(bin, low, high, n) of the non-empty equal bins."""
     known = df.where(F.col(value).isNotNull()).select(value)
-    low, high = _range(known, value)
+    (low, high), = _ranges(known, value)
     counted = (known.select(equal_bin(F.col(value), low, high, bins).alias("bin"))
                .groupBy("bin").agg(F.count("*").alias("n")))
-    width = (high - low) / F.lit(float(bins))
-    return counted.select("bin", (low + F.col("bin") * width).alias("low"),
-                          (low + (F.col("bin") + 1) * width).alias("high"), "n")
+    width = F.lit((high - low) / bins)
+    return counted.select("bin", (F.lit(low) + F.col("bin") * width).alias("low"),
+                          (F.lit(low) + (F.col("bin") + 1) * width).alias("high"), "n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.constants import MAX_CLEARANCE_MIN, NO_CORRIDOR, SURVIVAL_CAUSES
@@ -11,15 +11,17 @@ from kerbline.functions import clock
 COVARIATES = ["is_corridor", "is_planned", "hour", "is_weekend"] + [f"cause_{c}" for c in SURVIVAL_CAUSES]
 
 
-def survival_frame(clean_events: DataFrame, snapshot: Column | None = None) -> DataFrame:
-    """(id, T, E, covariates): cleared events observed, active ones censored at the snapshot."""
+def survival_frame(clean_events: DataFrame, snapshot: int | None = None) -> DataFrame:
+    """(id, T, E, covariates): cleared events observed, active ones censored at the snapshot.
+
+    The snapshot is in UTC microseconds; by default the latest start.
+    """
     if snapshot is None:
-        snapshot = clean_events.agg(F.max("start_datetime")).scalar()
-    timed = clean_events.withColumn("_now", snapshot)
-    elapsed = clock.minutes_between(F.col("start_datetime"), F.col("_now"))
+        snapshot = clean_events.agg(clock.micros(F.max("start_datetime"))).first()[0]
+    elapsed = (F.lit(snapshot) - clock.micros(F.col("start_datetime"))) / F.lit(6e7)
     observed = F.col("duration_min").isNotNull()
     active = ~observed & F.coalesce(F.col("status") == "active", F.lit(False)) & (elapsed > 0)
-    return timed.where(observed | active).select(
+    return clean_events.where(observed | active).select(
         "id",
         F.when(observed, F.col("duration_min"))
         .otherwise(F.least(elapsed, F.lit(float(MAX_CLEARANCE_MIN)))).alias("T"),

@@ -85,14 +85,14 @@ def morans_i(values: DataFrame, edges: DataFrame, name: str = "corridor", value:
     edges, values = edges.persist(), values.select(name, value).persist()
     names = edges.select(F.col("src").alias(name)).union(edges.select(F.col("dst"))).distinct()
     held = (names.join(values.select(name, F.col(value).cast("double").alias("x")), name, "left")
-            .fillna(0.0, ["x"]))
-    centred = held.select(name, (F.col("x") - held.agg(F.avg("x")).scalar()).alias("x"))
-    own = centred.agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("own"))
+            .fillna(0.0, ["x"])).persist()
+    size = held.agg(F.count("*").alias("n"), F.avg("x").alias("mean")).first()
+    centred = held.select(name, (F.col("x") - F.lit(size["mean"])).alias("x"))
+    own = centred.agg(F.sum(F.col("x") * F.col("x"))).first()[0]
     crossed = (edges.join(centred.select(F.col(name).alias("src"), F.col("x").alias("xs")), "src")
                .join(centred.select(F.col(name).alias("dst"), F.col("x").alias("xd")), "dst")
                .agg(F.sum("w").alias("total"), F.sum(F.col("w") * F.col("xs") * F.col("xd")).alias("cross")))
-    both = own.withColumns({
-        "total": crossed.select("total").scalar(), "cross": crossed.select("cross").scalar()})
-    return both.select(F.when((F.col("own") != 0) & (F.col("total") != 0),
-                              F.col("n") / F.col("total") * F.col("cross") / F.col("own"))
-                       .alias("morans_i"))
+    if not own:
+        return crossed.select(F.lit(None).cast("double").alias("morans_i"))
+    return crossed.select(F.when(
+        F.col("total") != 0, F.lit(size["n"]) / F.col("total") * F.col("cross") / F.lit(own)).alias("morans_i"))

@@ -138,7 +138,9 @@ def _raw_scores(spark, sf_dir):
 
 
 def severity_thresholds(spark, sf_dir):
-    return tidy(severity.tier_thresholds(_raw_scores(spark, sf_dir)))
+    found = ordered.quantiles(_raw_scores(spark, sf_dir), "score", K.TIER_QUANTILES)
+    names = F.create_map(*[F.lit(x) for q, t in zip(K.TIER_QUANTILES, K.TIERS[1:]) for x in (q, t)])
+    return tidy(found.select(names[F.col("prob")].alias("tier"), F.col("quantile").alias("least_score")))
 
 
 def tier_summary(spark, sf_dir):
@@ -224,11 +226,6 @@ _COLOUR = "CASE tier " + " ".join(f"WHEN '{t}' THEN '{c}'" for t, c in K.TIER_CO
 _SCORE9 = "round(score, 9)"
 
 
-def _rank(column: str, where: str = "true") -> str:
-    return (f"(rank() OVER (PARTITION BY {where} ORDER BY {column}) "
-            f"+ (count(*) OVER (PARTITION BY {where}, {column}) - 1) / 2.0::DOUBLE)")
-
-
 def _objective(score: str, more: str = "") -> str:
     """Spearman of a score against closure and known duration over table `parts`, per weighting."""
     return f"""
@@ -363,9 +360,9 @@ ORACLES = {
         , {_PARTS}, rho AS ({_objective("0.55::DOUBLE * closure + 0.30::DOUBLE * priority + 0.15::DOUBLE * duration")})
         SELECT {r6('closure_corr')} AS closure_corr, {r6('duration_corr')} AS duration_corr,
           {r6('0.5 * closure_corr + 0.5 * duration_corr')} AS objective FROM rho"""),
-    "severity_thresholds": with_ctes(["ruled"], "SELECT " + ", ".join(
-        f"{r6(f'quantile_cont({_SCORE9}, {q})')} AS {n}"
-        for q, n in zip(K.TIER_QUANTILES, ("moderate", "high", "critical"))) + " FROM ruled"),
+    "severity_thresholds": with_ctes(["ruled"], "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS tier, {r6(f'quantile_cont({_SCORE9}, {q})')} AS least_score FROM ruled"
+        for q, t in zip(K.TIER_QUANTILES, K.TIERS[1:]))),
     "tier_summary": with_ctes(["ruled"], f"""
         , q AS (SELECT quantile_cont({_SCORE9}, 0.5) AS m, quantile_cont({_SCORE9}, 0.82) AS h,
             quantile_cont({_SCORE9}, 0.97) AS c FROM ruled)
