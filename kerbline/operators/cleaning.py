@@ -73,14 +73,14 @@ def clean(raw: DataFrame) -> DataFrame:
         "priority": priority(F.col("priority")),
         "start": clock.utc_to_local(F.col("start_datetime")),
         "road_closure": closure_flag(F.col("requires_road_closure")),
-        "duration_min": plausible(raw_minutes(
-            F.col("start_datetime"), F.col("end_datetime"),
-            F.col("resolved_datetime"), F.col("closed_datetime"))),
+        "_minutes": raw_minutes(F.col("start_datetime"), F.col("end_datetime"),
+                                F.col("resolved_datetime"), F.col("closed_datetime")),
     })
     return fitted.withColumns({
         "high_priority": priority_flag(F.col("priority")),
         "is_gathering": gathering_flag(F.col("event_cause")),
-    })
+        "duration_min": plausible(F.col("_minutes")),
+    }).drop("_minutes")
 
 
 def clean_summary(clean_events: DataFrame) -> DataFrame:

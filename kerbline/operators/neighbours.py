@@ -30,6 +30,7 @@ _SUMS = FEATURES[:6]
 _STEP_DEGREES = KERNEL_CUTOFF_KM / 2 / geo.KM_PER_DEGREE
 _MOST_BLOCKS = 1024
 _DENSE_ENOUGH = 4.0        # events per place from which blocks pay off
+_MOST_COVER = 36           # cells one place may look into (away from the poles)
 _ROWS_PER_PART = 20_000    # rows of one cell a part may hold on either side
 _MOST_HOT_CELLS = 50_000   # bound of the broadcast list of crowded cells
 
@@ -55,7 +56,7 @@ def _shape(moments: DataFrame) -> tuple[int, float, list[float]]:
     return row["rows"], row["rows"] / max(row["places"], 1), row["cuts"] or []
 
 
-def _crowded(side: DataFrame, keys: list[str], rows: int, parts: str) -> DataFrame:
+def _split(side: DataFrame, keys: list[str], rows: int, parts: str) -> DataFrame:
     """Cells with more rows than a part may hold, and the number of parts they need.
 
     A cell enters only above rows / _MOST_HOT_CELLS, so the list cannot exceed that bound.
@@ -66,33 +67,47 @@ def _crowded(side: DataFrame, keys: list[str], rows: int, parts: str) -> DataFra
             .select(*keys, F.ceil(F.col("_rows") / F.lit(floor)).cast("int").alias(parts)))
 
 
+def _is_crowded(source: DataFrame, keys: list[str]) -> bool:
+    """Whether a cell of either side may hold too many rows for one part (one small aggregate)."""
+    fullest = source.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return fullest * _MOST_COVER > _ROWS_PER_PART
+
+
 def _meet(source: DataFrame, query: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """Join on the keys with crowded keys split on both sides."""
-    if rows <= _ROWS_PER_PART:
-        return source.join(query, keys)
-    hot_source = F.broadcast(_crowded(source, keys, rows, "_s"))
-    hot_query = F.broadcast(_crowded(query, keys, rows * 25, "_q"))
-
-    def parted(side: DataFrame, own: str, other: str, mark: list[str]) -> DataFrame:
-        sized = (side.join(hot_source, keys, "left").join(hot_query, keys, "left")
-                 .fillna(1, ["_s", "_q"]))
-        return (sized
-                .withColumn(f"{own}_part", F.pmod(F.xxhash64(*mark), F.col(own)).cast("int"))
-                .withColumn(f"{other}_part",
-                            F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-                .drop("_s", "_q"))
-
-    return (parted(source, "_s", "_q", ["s_lat", "s_lon", "s_t"])
-            .join(parted(query, "_q", "_s", [*SITE, "t"] if "t" in query.columns else SITE),
-                  [*keys, "_s_part", "_q_part"]))
+    """Join on the keys, with crowded keys split on both sides.
+
+    Both sides are dealt to a fixed number of partitions: the pairs, not the bytes of the
+    sides, are the work, so they must be neither broadcast nor coalesced by size.
+    """
+    spark = source.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
+                2 * spark.sparkContext.defaultParallelism)
+    if rows > _ROWS_PER_PART // _MOST_COVER and _is_crowded(source, keys):
+        hot_source = F.broadcast(_split(source, keys, rows, "_s"))
+        hot_query = F.broadcast(_split(query, keys, rows * _MOST_COVER, "_q"))
+
+        def parted(side: DataFrame, own: str, other: str, mark: list[str]) -> DataFrame:
+            sized = (side.join(hot_source, keys, "left").join(hot_query, keys, "left")
+                     .fillna(1, ["_s", "_q"]))
+            return (sized
+                    .withColumn(f"{own}_part", F.pmod(F.xxhash64(*mark), F.col(own)).cast("int"))
+                    .withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+                    .drop("_s", "_q"))
+
+        source = parted(source, "_s", "_q", ["s_lat", "s_lon", "s_t"])
+        query = parted(query, "_q", "_s", [*SITE, "t"] if "t" in query.columns else SITE)
+        keys = [*keys, "_s_part", "_q_part"]
+    return (source.repartition(tasks, *keys).hint("merge")
+            .join(query.repartition(tasks, *keys), keys))
 
 
 def _nearby(pairs: DataFrame) -> DataFrame:
-    """Keep pairs within the cutoff and add their distance."""
-    h = geo.half_chord_squared(F.col("s_lat"), F.col("s_lon"), F.col("latitude"), F.col("longitude"))
+    """Keep pairs within the cutoff and add their distance (angles and cosines come ready)."""
+    dlat = F.sin((F.col("q_rlat") - F.col("s_rlat")) / 2)
+    dlon = F.sin((F.col("q_rlon") - F.col("s_rlon")) / 2)
+    h = dlat * dlat + F.col("s_clat") * F.col("q_clat") * dlon * dlon
     close = pairs.withColumn("h", h).where(F.col("h") <= geo.reach(KERNEL_CUTOFF_KM))
-    return (close.withColumn("d", geo.arc_km(F.col("h")))
-            .where(F.col("d") <= KERNEL_CUTOFF_KM))
+    return close.withColumn("d", geo.arc_km(F.col("h")))
 
 
 def _kernel(bandwidth_km: float) -> Column:
@@ -101,7 +116,8 @@ def _kernel(bandwidth_km: float) -> Column:
 
 def _contributions() -> list[Column]:
     near, far = DENSITY_RADII_KM
-    narrow, wide = _kernel(NARROW_BANDWIDTH_KM), _kernel(WIDE_BANDWIDTH_KM)
+    inside = (F.col("d") <= KERNEL_CUTOFF_KM).cast("double")
+    narrow, wide = inside * _kernel(NARROW_BANDWIDTH_KM), inside * _kernel(WIDE_BANDWIDTH_KM)
     return [
         F.sum(F.when(F.col("d") <= near, F.col("n")).otherwise(0)).alias("hist_density_1km"),
         F.sum(F.when(F.col("d") <= far, F.col("n")).otherwise(0)).alias("hist_density_3km"),
@@ -113,15 +129,21 @@ def _contributions() -> list[Column]:
     ]
 
 
+def _angles(prefix: str) -> list[Column]:
+    return [F.radians("latitude").alias(f"{prefix}_rlat"), F.radians("longitude").alias(f"{prefix}_rlon"),
+            F.cos(F.radians("latitude")).alias(f"{prefix}_clat")]
+
+
 def _as_source(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(
-        F.col("latitude").alias("s_lat"), F.col("longitude").alias("s_lon"),
+        F.col("latitude").alias("s_lat"), F.col("longitude").alias("s_lon"), *_angles("s"),
         F.col("t").alias("s_t"), "n", "n_gathering", "n_accident", "n_closure", *keep,
         geo.grid_cell(F.col("latitude"), F.col("longitude"), F.lit(_STEP_DEGREES)).alias("cell"))
 
 
 def _covered(df: DataFrame) -> DataFrame:
-    return geo.with_cover(df, "latitude", "longitude", F.lit(KERNEL_CUTOFF_KM), F.lit(_STEP_DEGREES))
+    return geo.with_cover(df.select("*", *_angles("q")), "latitude", "longitude",
+                          F.lit(KERNEL_CUTOFF_KM), F.lit(_STEP_DEGREES))
 
 
 def _earlier_blocks(source: DataFrame, query: DataFrame, rows: int) -> DataFrame:

@@ -1,8 +1,9 @@
 """Running totals, ranks and exact quantiles over an ordering without a partition key.
 
 A window that orders a whole table runs in one task. Here equal keys are added up first, the
-distinct keys are cut into slices at approximate quantiles (they only balance the work), each
-slice is a window of its own, and the totals of earlier slices are added. Results are exact.
+distinct keys are cut into slices at approximate quantiles of the rows, each slice is a window of
+its own, and the totals of earlier slices are added. The quantiles only balance the work (a slice
+holds about rows / slices rows, and a frequent key is one row by then); results are exact.
 """
 
 from __future__ import annotations
@@ -46,11 +47,11 @@ def running_totals(df: DataFrame, key: str, sums: dict[str, Column],
     tallied = known.groupBy(*by, key).agg(*[c.alias(name) for name, c in sums.items()])
     limits = F.percentile_approx(F.col(key).cast("double"), cuts, F.lit(10000)).alias("_limits")
     if by and few_groups:
-        per_group = known.select(*by, key).distinct().groupBy(*by).agg(limits)
+        per_group = known.groupBy(*by).agg(limits)
         placed = tallied.join(F.broadcast(per_group), by).withColumn(
             "_slice", F.size(F.filter("_limits", lambda limit: limit <= F.col(key)))).drop("_limits")
     else:
-        found = known.select(key).distinct().agg(limits).first()["_limits"]
+        found = known.agg(limits).first()["_limits"]
         placed = bucketed(tallied, key, found or [], "_slice")
 
     groups = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))

@@ -36,11 +36,15 @@ def severity_parts(scored: DataFrame) -> DataFrame:
         F.greatest(F.least(recorded, F.lit(1.0)), F.lit(0.0)).alias("real_duration"))
 
 
-def rank_objective(parts: DataFrame, scores: list[tuple[str, Column]]) -> DataFrame:
-    """Per named score (256 at most): Spearman against closure, against known duration, their mean.
+PARTS = ["closure", "priority", "duration", "cause"]
 
-    The ranks of the recorded facets do not depend on the score, so they are made once. Each
-    event then gives one row per score; equal scores are added up before anything is ordered.
+
+def rank_objective(parts: DataFrame, blends: list[tuple[float, float, float, float]]) -> DataFrame:
+    """Per blend (weights of PARTS, 256 blends at most): Spearman of the blended score against
+    closure, against known duration, and their mean.
+
+    The ranks of the recorded facets do not depend on the blend, so they are made once. Each
+    event then gives one row per blend; equal scores are added up before anything is ordered.
     """
     facets = parts.withColumn("known", F.col("real_duration").isNotNull().cast("bigint"))
     size = facets.agg(F.count("*").alias("all"), F.coalesce(F.sum("known"), F.lit(0)).alias("known")).first()
@@ -50,40 +54,37 @@ def rank_objective(parts: DataFrame, scores: list[tuple[str, Column]]) -> DataFr
     facets = (facets.join(F.broadcast(closure_rank), "real_closure")  # two rows: closed or not
               .join(duration_rank, "real_duration", "left")
               .select("*", (F.col("rank_c") - middle_all).alias("c"), (F.col("rank_d") - middle_known).alias("d")))
-    named = F.array(*[F.struct(F.lit(name).alias("name"), F.round(score.cast(_D), 12).alias("score"))
-                      for name, score in scores])
-    long = facets.select("known", "c", "d", F.inline(named))
+    choices = F.array(*[
+        F.struct(F.lit(i).alias("blend"), *[F.lit(float(w)).alias(f"w_{p}") for p, w in zip(PARTS, weights)])
+        for i, weights in enumerate(blends)])
+    score = sum((F.col(f"w_{p}") * F.col(p) for p in PARTS[1:]), F.col("w_closure") * F.col("closure"))
+    long = (facets.select("known", "c", "d", *PARTS, F.inline(choices))
+            .select("known", "c", "d", "blend", F.rint(score * 1e12).alias("score")))
     totals = ordered.running_totals(long, "score", {
         "n": F.count("*"), "k": F.sum("known"), "c": F.sum("c"), "d": F.sum("d"),
         "cc": F.sum(F.col("c") * F.col("c")), "dd": F.sum(F.col("d") * F.col("d")),
-    }, by=["name"], few_groups=True)
+    }, by=["blend"], few_groups=True)
     n, k = F.col("n").cast(_D), F.col("k").cast(_D)
     ranked = totals.withColumns({
         "ra": F.col("n_before") + (F.col("n") + 1) / 2.0 - middle_all,
         "rk": F.when(F.col("k") > 0, F.col("k_before") + (F.col("k") + 1) / 2.0 - middle_known)})
-    sums = ranked.groupBy("name").agg(
+    sums = ranked.groupBy("blend").agg(
         F.sum(F.col("ra") * F.col("c")).alias("ac"), F.sqrt(F.sum(n * F.col("ra") * F.col("ra"))).alias("a"),
         F.sum(F.col("rk") * F.col("d")).alias("kd"), F.sqrt(F.sum(k * F.col("rk") * F.col("rk"))).alias("kk"),
         F.sqrt(F.sum("cc")).alias("cc"), F.sqrt(F.sum("dd")).alias("dd"))
     rho_c = F.try_divide(F.col("ac"), F.col("a") * F.col("cc"))
     rho_d = F.try_divide(F.col("kd"), F.col("kk") * F.col("dd"))
     return (sums.withColumns({"closure_corr": rho_c, "duration_corr": rho_d})
-            .select("name", "closure_corr", "duration_corr",
+            .select("blend", "closure_corr", "duration_corr",
                     (0.5 * F.col("closure_corr") + 0.5 * F.col("duration_corr")).alias("objective")))
 
 
-def _blend(weights: tuple[float, float, float]) -> Column:
-    a, b, c = weights
-    return F.lit(a) * F.col("closure") + F.lit(b) * F.col("duration") + F.lit(c) * F.col("cause")
-
-
 def weight_search(scored: DataFrame, step: float = 0.05) -> DataFrame:
     """(w_closure, w_duration, w_cause, closure_corr, duration_corr, objective) per weighting."""
     grid = weight_grid(step)
-    named = [(f"{i}", _blend(w)) for i, w in enumerate(grid)]
-    found = rank_objective(severity_parts(scored), named)
+    found = rank_objective(severity_parts(scored), [(c, 0.0, d, g) for c, d, g in grid])
     table = F.array(*[F.array(*[F.lit(x) for x in w]) for w in grid])
-    at = F.get(table, F.col("name").cast("int"))
+    at = F.get(table, F.col("blend"))
     return found.select(F.get(at, F.lit(0)).alias("w_closure"), F.get(at, F.lit(1)).alias("w_duration"),
                         F.get(at, F.lit(2)).alias("w_cause"), "closure_corr", "duration_corr", "objective")
 
@@ -96,10 +97,8 @@ def best_weights(found: DataFrame) -> DataFrame:
 
 def former_objective(scored: DataFrame) -> DataFrame:
     """The same objective for the earlier formula with the priority part."""
-    w = K.FORMER_WEIGHTS
-    score = (F.lit(w["closure"]) * F.col("closure") + F.lit(w["priority"]) * F.col("priority")
-             + F.lit(w["duration"]) * F.col("duration"))
-    return rank_objective(severity_parts(scored), [("former", score)])
+    weights = [K.FORMER_WEIGHTS.get(p, 0.0) for p in PARTS]
+    return rank_objective(severity_parts(scored), [tuple(weights)])
 
 
 def tier_thresholds(scores: DataFrame, score: str = "score") -> dict[str, float]:

@@ -42,6 +42,10 @@ def _features(t: Tables, *names: str):
     return tidy(features.feature_frame(t.clean, keep=["id"], features=names))
 
 
+def _multi_pass_features(t: Tables, *names: str):
+    return tidy(features.feature_frame(t.clean_table, keep=["id"], features=names))
+
+
 def scan_incidents(spark, sf_dir):
     return Tables(spark, sf_dir).raw
 
@@ -152,15 +156,15 @@ def feature_groups(spark, sf_dir):
 
 
 def feature_frame(spark, sf_dir):
-    return _features(Tables(spark, sf_dir), *K.FEATURES)
+    return _multi_pass_features(Tables(spark, sf_dir), *K.FEATURES)
 
 
 def target_encoding(spark, sf_dir):
-    return _features(Tables(spark, sf_dir), "corridor_event_rate")
+    return _multi_pass_features(Tables(spark, sf_dir), "corridor_event_rate")
 
 
 def cap_categories(spark, sf_dir):
-    frame = features.feature_frame(Tables(spark, sf_dir).clean, keep=["id"],
+    frame = features.feature_frame(Tables(spark, sf_dir).clean_table, keep=["id"],
                                    features=["event_cause", "junction", "police_station", "pin", "cause_corridor"])
     return features.cap_categories(frame, most=40)
 
@@ -227,7 +231,7 @@ def corridor_closure_top8(spark, sf_dir):
 
 
 def monthly_cause_trend(spark, sf_dir):
-    return profile.monthly_cause_trend(Tables(spark, sf_dir).clean)
+    return profile.monthly_cause_trend(Tables(spark, sf_dir).clean_table)
 
 
 def null_profile(spark, sf_dir):
@@ -242,18 +246,18 @@ def value_profile(spark, sf_dir):
 
 
 def duration_describe(spark, sf_dir):
-    ungated = Tables(spark, sf_dir).clean.select(cleaning.raw_minutes(
+    ungated = Tables(spark, sf_dir).clean_table.select(cleaning.raw_minutes(
         F.col("start_datetime"), F.col("end_datetime"), F.col("resolved_datetime"),
         F.col("closed_datetime")).alias("minutes"))
     return tidy(profile.describe(ungated, ["minutes"], profile.DURATION_PERCENTILES))
 
 
 def coord_describe(spark, sf_dir):
-    return tidy(profile.describe(Tables(spark, sf_dir).clean, schema.COORDINATES, profile.QUARTILES))
+    return tidy(profile.describe(Tables(spark, sf_dir).clean_table, schema.COORDINATES, profile.QUARTILES))
 
 
 def lead_time_describe(spark, sf_dir):
-    led = cleaning.lead_hours(Tables(spark, sf_dir).clean)
+    led = cleaning.lead_hours(Tables(spark, sf_dir).clean_table)
     return tidy(profile.describe(led, ["lead_hours"], profile.LEAD_PERCENTILES, by=["event_type"]))
 
 
@@ -277,12 +281,12 @@ def option_lists(spark, sf_dir):
 
 
 def duration_hist(spark, sf_dir):
-    return tidy(surface.histogram(Tables(spark, sf_dir).clean, "duration_min"))
+    return tidy(surface.histogram(Tables(spark, sf_dir).clean_table, "duration_min"))
 
 
 def kde_surface(spark, sf_dir):
     """Smoothed surface of all events and of the closures."""
-    clean = Tables(spark, sf_dir).clean
+    clean = Tables(spark, sf_dir).clean_table
     both = [surface.kde_surface(points).withColumn("layer", F.lit(layer)) for layer, points in
             [("all", clean), ("closures", clean.where(F.col("road_closure") == 1))]]
     return tidy(both[0].unionByName(both[1]))
@@ -297,7 +301,7 @@ def most_recent(spark, sf_dir):
 
 
 def recency_weight(spark, sf_dir):
-    weighted = profile.recency_weight(Tables(spark, sf_dir).clean)
+    weighted = profile.recency_weight(Tables(spark, sf_dir).clean_table)
     return tidy(weighted.where(F.col("duration_min").isNotNull()).select("id", "recency_weight"))
 
 

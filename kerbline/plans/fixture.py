@@ -6,6 +6,7 @@ from the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kerbline.operators import cleaning, panel, weights
-from kerbline.session import pin_utc
+from kerbline.session import pin_utc, settle
 
 RAW_SQL = """
 SELECT
@@ -70,8 +71,16 @@ FROM raw_incidents
 """
 
 
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Tables:
-    """The tables a query starts from, each built when first asked for."""
+    """The tables a query starts from, each built when first asked for.
+
+    `clean` is the cleaning pipeline over the source. Queries that pass over it several times
+    start from `clean_table`, the same rows written once per session, so that no pass parses
+    the log again and scans read only the columns they need; likewise `outcome`.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = pin_utc(spark)
@@ -80,6 +89,12 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def written(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _WRITTEN:
+            _WRITTEN[key] = settle(build(), name)
+        return _WRITTEN[key]
+
     @cached_property
     def raw(self) -> DataFrame:
         return self.spark.sql(RAW_SQL.replace("FROM events", "FROM {events}"), events=self.read("events"))
@@ -88,19 +103,29 @@ class Tables:
     def clean(self) -> DataFrame:
         return cleaning.clean(self.raw)
 
+    @cached_property
+    def clean_table(self) -> DataFrame:
+        return self.written("clean", lambda: self.clean)
+
     @cached_property
     def scored(self) -> DataFrame:
         return self.spark.sql(SCORED_SQL.replace("FROM raw_incidents", "FROM {raw}"), raw=self.raw)
 
+    @cached_property
+    def scored_table(self) -> DataFrame:
+        return self.written("scored", lambda: self.scored)
+
     @cached_property
     def outcome(self) -> DataFrame:
         """Predictions next to what was recorded (events with a start only)."""
-        recorded = self.clean.select("id", "start", "start_datetime", "duration_min", "status", "corridor")
-        return self.scored.join(recorded, "id")
+        def build() -> DataFrame:
+            recorded = self.clean_table.select("id", "start", "start_datetime", "duration_min", "status", "corridor")
+            return self.scored_table.join(recorded, "id")
+        return self.written("outcome", build)
 
     @cached_property
     def counts(self) -> DataFrame:
-        return panel.panel_counts(self.clean)
+        return panel.panel_counts(self.clean_table)
 
     @cached_property
     def panel(self) -> DataFrame:
@@ -108,11 +133,11 @@ class Tables:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return weights.spatial_weights(self.clean)
+        return weights.spatial_weights(self.clean_table)
 
     @cached_property
     def panel_features(self) -> DataFrame:
-        return panel.panel_features(self.clean, self.edges)
+        return panel.panel_features(self.clean_table, self.edges)
 
 
 def tidy(df: DataFrame) -> DataFrame:

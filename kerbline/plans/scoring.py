@@ -19,11 +19,11 @@ _Y, _P = "road_closure", "p_road_closure"
 
 
 def roc_auc(spark, sf_dir):
-    return tidy(metrics.roc_auc(Tables(spark, sf_dir).scored, _Y, _P))
+    return tidy(metrics.roc_auc(Tables(spark, sf_dir).scored_table, _Y, _P))
 
 
 def average_precision(spark, sf_dir):
-    return tidy(metrics.average_precision(Tables(spark, sf_dir).scored, _Y, _P))
+    return tidy(metrics.average_precision(Tables(spark, sf_dir).scored_table, _Y, _P))
 
 
 def brier(spark, sf_dir):
@@ -31,7 +31,7 @@ def brier(spark, sf_dir):
 
 
 def best_threshold(spark, sf_dir):
-    return tidy(metrics.best_threshold(Tables(spark, sf_dir).scored, _Y, _P))
+    return tidy(metrics.best_threshold(Tables(spark, sf_dir).scored_table, _Y, _P))
 
 
 def confusion(spark, sf_dir):
@@ -52,19 +52,19 @@ def duration_error(spark, sf_dir):
 
 
 def roc_curve(spark, sf_dir):
-    return tidy(metrics.roc_curve(Tables(spark, sf_dir).scored, _Y, _P))
+    return tidy(metrics.roc_curve(Tables(spark, sf_dir).scored_table, _Y, _P))
 
 
 def pr_curve(spark, sf_dir):
-    return tidy(metrics.pr_curve(Tables(spark, sf_dir).scored, _Y, _P))
+    return tidy(metrics.pr_curve(Tables(spark, sf_dir).scored_table, _Y, _P))
 
 
 def pr_area(spark, sf_dir):
-    return tidy(metrics.pr_area(Tables(spark, sf_dir).scored, _Y, _P))
+    return tidy(metrics.pr_area(Tables(spark, sf_dir).scored_table, _Y, _P))
 
 
 def calibration(spark, sf_dir):
-    return tidy(metrics.calibration(Tables(spark, sf_dir).scored, _Y, _P))
+    return tidy(metrics.calibration(Tables(spark, sf_dir).scored_table, _Y, _P))
 
 
 def spearman(spark, sf_dir):
@@ -73,13 +73,13 @@ def spearman(spark, sf_dir):
 
 def concordance(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    framed = survival_frame(t.clean).select("id", "T", "E").join(
-        t.scored.select("id", "exp_duration_min"), "id", "left")
+    framed = survival_frame(t.clean_table).select("id", "T", "E").join(
+        t.scored_table.select("id", "exp_duration_min"), "id", "left")
     return tidy(metrics.concordance(framed, "T", "E", "exp_duration_min"))
 
 
 def survival_table(spark, sf_dir):
-    return tidy(survival_frame(Tables(spark, sf_dir).clean))
+    return tidy(survival_frame(Tables(spark, sf_dir).clean_table))
 
 
 def _recommended(spark, sf_dir):
@@ -129,11 +129,11 @@ def severity_weight_search(spark, sf_dir):
 
 def former_severity(spark, sf_dir):
     """The search objective of the former formula."""
-    return tidy(severity.former_objective(Tables(spark, sf_dir).outcome).drop("name"))
+    return tidy(severity.former_objective(Tables(spark, sf_dir).outcome).drop("blend"))
 
 
 def _raw_scores(spark, sf_dir):
-    return Tables(spark, sf_dir).scored.withColumn("score", F.round(rules.severity_score(
+    return Tables(spark, sf_dir).scored_table.withColumn("score", F.round(rules.severity_score(
         F.col(_P), F.col("exp_duration_min"), F.col("event_cause")), 9))
 
 

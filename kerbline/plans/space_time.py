@@ -14,12 +14,12 @@ from kerbline.plans.sql import r6, with_ctes
 
 def _near(*names: str):
     def query(spark, sf_dir):
-        return tidy(feature_frame(Tables(spark, sf_dir).clean, keep=["id"], features=names))
+        return tidy(feature_frame(Tables(spark, sf_dir).clean_table, keep=["id"], features=names))
     return query
 
 
 def corridor_centroids(spark, sf_dir):
-    return tidy(weights.corridor_centroids(Tables(spark, sf_dir).clean))
+    return tidy(weights.corridor_centroids(Tables(spark, sf_dir).clean_table))
 
 
 def spatial_weights(spark, sf_dir):
@@ -74,14 +74,14 @@ def top_corridors_how(spark, sf_dir):
 
 def map_columns(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    forecast = panel.corridor_forecast(t.panel, weights.corridor_centroids(t.clean), K.NO_CORRIDOR)
+    forecast = panel.corridor_forecast(t.panel, weights.corridor_centroids(t.clean_table), K.NO_CORRIDOR)
     return tidy(panel.map_columns(forecast, "actual_events"))
 
 
 def corridor_mean_baseline(spark, sf_dir):
     """MAE of each corridor's own mean over the test hours."""
     t = Tables(spark, sf_dir)
-    cut = splits.time_cut(t.clean)
+    cut = splits.time_cut(t.clean_table)
     tested = t.panel.where(clock.micros(F.col("bin")) > cut)
     return tidy(metrics.mae(panel.corridor_means(tested), "n_events", "corridor_mean"))
 
@@ -90,7 +90,7 @@ def forecast_skill(spark, sf_dir):
     """Seasonal-naive MAE after the warm-up and cut, and the skill of the trailing day's mean."""
     t = Tables(spark, sf_dir)
     warm = panel.rolls(panel.lags(t.panel)).where(F.col("lag_168").isNotNull())
-    tested = panel.seasonal_naive(warm).where(clock.micros(F.col("bin")) > splits.time_cut(t.clean))
+    tested = panel.seasonal_naive(warm).where(clock.micros(F.col("bin")) > splits.time_cut(t.clean_table))
     errors = tested.agg(F.avg(F.abs(F.col("n_events") - F.col("roll_24"))).alias("model_mae"),
                         F.avg(F.abs(F.col("n_events") - F.col("snaive"))).alias("naive_mae"))
     return tidy(errors.withColumn("skill", metrics.forecast_skill(F.col("model_mae"), F.col("naive_mae"))))
@@ -109,25 +109,25 @@ def morans_i(spark, sf_dir):
 
 
 def time_split(spark, sf_dir):
-    return splits.time_split(Tables(spark, sf_dir).clean).select("id", "part")
+    return splits.time_split(Tables(spark, sf_dir).clean_table).select("id", "part")
 
 
 def rolling_folds(spark, sf_dir):
-    return splits.rolling_folds(Tables(spark, sf_dir).clean).select("id", "fold")
+    return splits.rolling_folds(Tables(spark, sf_dir).clean_table).select("id", "fold")
 
 
 def quantile_folds(spark, sf_dir):
-    return splits.quantile_folds(Tables(spark, sf_dir).clean).select("id", "fold")
+    return splits.quantile_folds(Tables(spark, sf_dir).clean_table).select("id", "fold")
 
 
 def fold_sizes(spark, sf_dir):
     """What each count-based fold tests and trains on."""
-    return splits.fold_sizes(splits.quantile_folds(Tables(spark, sf_dir).clean), "road_closure")
+    return splits.fold_sizes(splits.quantile_folds(Tables(spark, sf_dir).clean_table), "road_closure")
 
 
 def union_history(spark, sf_dir):
     """Train and test rows put together again, with the side they came from."""
-    train, test = splits.train_test(Tables(spark, sf_dir).clean)
+    train, test = splits.train_test(Tables(spark, sf_dir).clean_table)
     both = train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
     return both.select("id", "side", "event_cause")
 
