@@ -33,16 +33,16 @@ def roc_auc(df: DataFrame, y: str, p: str, by: Sequence[str] = (), few_groups: b
 
 def _descending(df: DataFrame, y: str, p: str, by: Sequence[str] = (), few_groups: bool = False) -> DataFrame:
     """Per distinct score: hits and false alarms at `score >= p`, with class totals."""
-    totals = _label_totals(df, y, p, by, few_groups).withColumnsRenamed({"pos_total": "P", "neg_total": "N"})
-    return totals.withColumns({"tp": F.col("P") - F.col("pos_before"),
-                               "fp": F.col("N") - F.col("neg_before")})
+    totals = _label_totals(df, y, p, by, few_groups)
+    return totals.withColumns({"tp": F.col("pos_total") - F.col("pos_before"),
+                               "fp": F.col("neg_total") - F.col("neg_before")})
 
 
 def average_precision(df: DataFrame, y: str, p: str, by: Sequence[str] = (),
                       few_groups: bool = False) -> DataFrame:
     """Sum of precision times recall gained, over falling distinct scores."""
     ranked = _descending(df, y, p, by, few_groups)
-    gain = F.try_divide(F.col("pos").cast(_D), F.col("P"))
+    gain = F.try_divide(F.col("pos").cast(_D), F.col("pos_total"))
     precision = F.col("tp") / (F.col("tp") + F.col("fp")).cast(_D)
     return ranked.groupBy(*by).agg(F.sum(gain * precision).alias("average_precision"))
 
@@ -51,8 +51,8 @@ def roc_curve(df: DataFrame, y: str, p: str) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score."""
     return _descending(df, y, p).select(
         F.col(p).alias("threshold"),
-        F.try_divide(F.col("fp").cast(_D), F.col("N")).alias("fpr"),
-        F.try_divide(F.col("tp").cast(_D), F.col("P")).alias("tpr"))
+        F.try_divide(F.col("fp").cast(_D), F.col("neg_total")).alias("fpr"),
+        F.try_divide(F.col("tp").cast(_D), F.col("pos_total")).alias("tpr"))
 
 
 def pr_curve(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -60,7 +60,7 @@ def pr_curve(df: DataFrame, y: str, p: str) -> DataFrame:
     return _descending(df, y, p).select(
         F.col(p).alias("threshold"),
         (F.col("tp") / (F.col("tp") + F.col("fp")).cast(_D)).alias("precision"),
-        F.try_divide(F.col("tp").cast(_D), F.col("P")).alias("recall"))
+        F.try_divide(F.col("tp").cast(_D), F.col("pos_total")).alias("recall"))
 
 
 def pr_area(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -74,7 +74,7 @@ def pr_area(df: DataFrame, y: str, p: str) -> DataFrame:
     tp, fp = F.col("tp").cast(_D), F.col("fp").cast(_D)
     above_tp, above_fp = tp - F.col("pos"), fp - F.col("neg")
     above = F.coalesce(F.try_divide(above_tp, above_tp + above_fp), F.lit(1.0))
-    strip = (tp - above_tp) / F.col("P") * (tp / (tp + fp) + above) / 2
+    strip = (tp - above_tp) / F.col("pos_total") * (tp / (tp + fp) + above) / 2
     return ranked.agg(F.sum(strip).alias("pr_area"),
                       (F.sum("pos") / F.sum(F.col("pos") + F.col("neg"))).alias("base_rate"))
 
@@ -95,8 +95,8 @@ def best_threshold(df: DataFrame, y: str, p: str, probs: Sequence[float] = tuple
     whole = W.partitionBy(F.lit(0))
     falling = whole.orderBy(F.desc("place")).rowsBetween(W.unboundedPreceding, 0)
     counted = reached.withColumns({"flagged": F.sum("n").over(falling), "tp": F.sum("pos").over(falling),
-                                   "P": F.sum("pos").over(whole)}).where(F.col("place") > 0)
-    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("flagged") + F.col("P")), F.lit(0.0))
+                                   "all_pos": F.sum("pos").over(whole)}).where(F.col("place") > 0)
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("flagged") + F.col("all_pos")), F.lit(0.0))
     return (counted.select("place", F.get(F.array(*[F.lit(c) for c in candidates]), F.col("place") - 1)
                            .alias("threshold"), f1.alias("f1"))
             .orderBy(F.desc("f1"), "place").limit(1).select("threshold", "f1"))
