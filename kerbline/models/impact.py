@@ -60,7 +60,7 @@ class ImpactModel:
         frame = settle(features.feature_frame(
             profile.recency_weight(clean_events), rates=self.rates, keep=_LABELS, features=wanted), "features")
         self.levels = features.learn_levels(frame)
-        train = encode.with_validation(features.cap_levels(frame, self.levels))
+        train = encode.with_validation(features.cap_levels(frame, self.levels)).persist()
         if "closure" in parts:
             self.closure = self._classifier("road_closure").fit(train)
         if "priority" in parts:
@@ -69,6 +69,7 @@ class ImpactModel:
             known = train.where(F.col("duration_min").isNotNull()).withColumn("log_minutes", F.log1p("duration_min"))
             if known.count() > self.min_labelled:
                 self.duration = self._regressor().fit(known)
+        train.unpersist()
         return self
 
     def features(self, clean_events: DataFrame, history: DataFrame | None = None, keep=()) -> DataFrame:

@@ -45,7 +45,7 @@ def logistic(iterations: int = 200) -> LogisticRegression:
 class FoldStudy:
     """One feature table with fold marks, scored by any estimator and feature set.
 
-    The table is written once; every fit is a filter and a projection of it. The corridor rate
+    The table is written once, rare levels collapsed; every fit is a filter and a projection of it. The corridor rate
     is learned again on each fold's training rows.
     """
 
@@ -53,8 +53,9 @@ class FoldStudy:
                  min_positives: int = 10):
         marked = splits.quantile_folds(clean_events)
         frame = features.feature_frame(marked, keep=["id", "fold", LABEL], features=columns)
-        self.table = encode.with_validation(settle(frame, "study"))
-        self.levels = features.learn_levels(self.table, most=STUDY_LEVELS)
+        wide = settle(frame, "study")
+        self.levels = features.learn_levels(wide, most=STUDY_LEVELS)
+        self.table = settle(encode.with_validation(features.cap_levels(wide, self.levels)), "study-capped")
         self.folds = splits.kept_folds(self.table, min_test, LABEL, min_positives)
 
     def _fold(self, fold: int, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -71,7 +72,6 @@ class FoldStudy:
         if not used:
             return test.select(F.lit(fold).alias("fold"), F.col(LABEL).alias("y"), F.lit(base).alias("p"))
         levels = {c: self.levels[c] for c in encode.categorical(used)}
-        train, test = features.cap_levels(train, levels), features.cap_levels(test, levels)
         if family == "logistic":
             share = F.when(F.col(LABEL) == 1, 0.5 / base).otherwise(0.5 / (1 - base))
             train, test = train.withColumn("balance", share), test.withColumn("balance", F.lit(1.0))

@@ -22,7 +22,7 @@ from kerbline.sources.incidents import align
 from kerbline.streaming import jobs
 
 _MODELS: dict[tuple, object] = {}
-_TREES, _DURATION_TREES = 15, 10
+_TREES, _DURATION_TREES = 8, 6
 
 
 def _once(t: Tables, name: str, build):
@@ -171,11 +171,11 @@ def _study(t: Tables) -> studies.FoldStudy:
 
 def family_compare(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return tidy(studies.family_compare(_study(t), K.CLASSIFIER_FEATURES, trees=8, forest_trees=10, iterations=20))
+    return tidy(studies.family_compare(_study(t), K.CLASSIFIER_FEATURES, trees=4, forest_trees=8, iterations=8))
 
 
 def _quick():
-    return studies.logistic(8)
+    return studies.logistic(5)
 
 
 def group_ablation(spark, sf_dir):
