@@ -43,7 +43,7 @@ class HotspotModel:
             glm = GeneralizedLinearRegression(
                 family="poisson", link="log", labelCol=target, featuresCol="features", maxIter=self.iterations,
                 regParam=self.reg, predictionCol=_TARGETS[target])
-            stages = encode.linear_stages(["corridor", *PANEL_FEATURES], self.levels)
+            stages = encode.linear_stages(["corridor", *PANEL_FEATURES])
             self.models[target] = Pipeline(stages=[*stages, glm]).fit(train)
         return self
 

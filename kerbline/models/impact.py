@@ -42,7 +42,7 @@ class ImpactModel:
             maxBins=encode.MAX_BINS, minInstancesPerNode=self.min_leaf, validationIndicatorCol="validation",
             predictionCol=f"{label}_class", seed=0)
         trees.setProbabilityCol(f"{label}_probability").setRawPredictionCol(f"{label}_raw")
-        return Pipeline(stages=[*encode.tree_stages(CLASSIFIER_FEATURES, self.levels), trees])
+        return Pipeline(stages=[*encode.tree_stages(CLASSIFIER_FEATURES), trees])
 
     def _regressor(self) -> Pipeline:
         trees = GBTRegressor(
@@ -50,7 +50,7 @@ class ImpactModel:
             maxIter=self.duration_trees, stepSize=self.duration_rate, maxDepth=self.duration_depth,
             maxBins=encode.MAX_BINS, minInstancesPerNode=self.min_leaf, validationIndicatorCol="validation",
             predictionCol="log_minutes_hat", seed=0)
-        return Pipeline(stages=[*encode.tree_stages(FEATURES, self.levels), trees])
+        return Pipeline(stages=[*encode.tree_stages(FEATURES), trees])
 
     def fit(self, clean_events: DataFrame, parts: tuple[str, ...] = ("closure", "priority", "duration")) -> ImpactModel:
         """Fit the asked parts. The feature table is written once and read by every fit."""

@@ -71,13 +71,12 @@ class FoldStudy:
         base = train.agg(F.avg(LABEL)).first()[0]
         if not used:
             return test.select(F.lit(fold).alias("fold"), F.col(LABEL).alias("y"), F.lit(base).alias("p"))
-        levels = {c: self.levels[c] for c in encode.categorical(used)}
         if family == "logistic":
             share = F.when(F.col(LABEL) == 1, 0.5 / base).otherwise(0.5 / (1 - base))
             train, test = train.withColumn("balance", share), test.withColumn("balance", F.lit(1.0))
-            stages = encode.linear_stages(used, levels)
+            stages = encode.linear_stages(used)
         else:
-            stages = encode.tree_stages(used, levels)
+            stages = encode.tree_stages(used)
         model = Pipeline(stages=[*stages, estimator]).fit(train)
         return model.transform(test).select(
             F.lit(fold).alias("fold"), F.col(LABEL).alias("y"), vector_to_array(F.col("probability"))[1].alias("p"))

@@ -126,7 +126,10 @@ def cap_levels(frame: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
     """Levels outside the learned sets collapse to one name."""
     def capped(c: str) -> Column:
         value = F.col(c).cast("string")
-        return F.when(value.isin(levels[c]), value).otherwise(OTHER_LEVEL).alias(c)
+        if not levels[c]:
+            return F.lit(OTHER_LEVEL).alias(c)
+        known = F.expr(f"CAST(`{c}` AS STRING) IN ({', '.join(text.literal(v) for v in levels[c])})")
+        return F.when(known, value).otherwise(OTHER_LEVEL).alias(c)
 
     return frame.select([capped(c) if c in levels else F.col(c) for c in frame.columns])
 

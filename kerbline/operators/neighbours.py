@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from kerbline.constants import (DENSITY_RADII_KM, KERNEL_CUTOFF_KM, NARROW_BANDWIDTH_KM,
                                 RECENCY_CAP_HOURS, RECENCY_RADIUS_KM, WIDE_BANDWIDTH_KM)
 from kerbline.functions import clock, geo
-from kerbline.operators.ordered import bucketed
+from kerbline.operators.ordered import bucketed, slice_limits
 
 SITE = ["latitude", "longitude"]
 FEATURES = ["hist_density_1km", "hist_density_3km", "kde_intensity", "kde_gathering",
@@ -48,11 +48,10 @@ def _moments(events: DataFrame) -> DataFrame:
 
 def _shape(moments: DataFrame) -> tuple[int, float, list[float]]:
     """Row count, events per place and time quantiles, in one small aggregate."""
-    cuts = [i / _MOST_BLOCKS for i in range(1, _MOST_BLOCKS)]
     row = moments.agg(
         F.count("*").alias("rows"),
         F.approx_count_distinct(F.struct(*SITE)).alias("places"),
-        F.percentile_approx("t", cuts, F.lit(10000)).alias("cuts")).first()
+        slice_limits("t", _MOST_BLOCKS).alias("cuts")).first()
     return row["rows"], row["rows"] / max(row["places"], 1), row["cuts"] or []
 
 

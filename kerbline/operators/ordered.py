@@ -23,6 +23,12 @@ def _slice_count(df: DataFrame) -> int:
     return max(8, min(configured, _MOST_SLICES))
 
 
+def slice_limits(key: str, slices: int) -> Column:
+    """The limits between slices of about equal row counts, as an aggregate."""
+    cuts = ", ".join(f"{i / slices!r}D" for i in range(1, slices))
+    return F.expr(f"percentile_approx(CAST(`{key}` AS DOUBLE), array({cuts}), 10000)")
+
+
 def bucketed(df: DataFrame, value: str, limits: Sequence[float], bucket: str) -> DataFrame:
     """The number of (distinct) limits at or below the value, by binary search."""
     splits = [float("-inf"), *sorted({float(x) for x in limits if x is not None}), float("inf")]
@@ -42,10 +48,9 @@ def running_totals(df: DataFrame, key: str, sums: dict[str, Column],
     """
     by = list(by)
     slices = _slice_count(df)
-    cuts = [i / slices for i in range(1, slices)]
     known = df.where(F.col(key).isNotNull())
     tallied = known.groupBy(*by, key).agg(*[c.alias(name) for name, c in sums.items()])
-    limits = F.percentile_approx(F.col(key).cast("double"), cuts, F.lit(10000)).alias("_limits")
+    limits = slice_limits(key, slices).alias("_limits")
     if by and few_groups:
         per_group = known.groupBy(*by).agg(limits)
         placed = tallied.join(F.broadcast(per_group), by).withColumn(

@@ -54,9 +54,9 @@ def rank_objective(parts: DataFrame, blends: list[tuple[float, float, float, flo
     facets = (facets.join(F.broadcast(closure_rank), "real_closure")  # two rows: closed or not
               .join(duration_rank, "real_duration", "left")
               .select("*", (F.col("rank_c") - middle_all).alias("c"), (F.col("rank_d") - middle_known).alias("d")))
-    choices = F.array(*[
-        F.struct(F.lit(i).alias("blend"), *[F.lit(float(w)).alias(f"w_{p}") for p, w in zip(PARTS, weights)])
-        for i, weights in enumerate(blends)])
+    choices = F.expr("array(" + ", ".join(
+        f"named_struct('blend', {i}, " + ", ".join(f"'w_{p}', {float(w)!r}D" for p, w in zip(PARTS, weights)) + ")"
+        for i, weights in enumerate(blends)) + ")")
     score = sum((F.col(f"w_{p}") * F.col(p) for p in PARTS[1:]), F.col("w_closure") * F.col("closure"))
     long = (facets.select("known", "c", "d", *PARTS, F.inline(choices))
             .select("known", "c", "d", "blend", F.rint(score * 1e12).alias("score")))
@@ -83,7 +83,7 @@ def weight_search(scored: DataFrame, step: float = 0.05) -> DataFrame:
     """(w_closure, w_duration, w_cause, closure_corr, duration_corr, objective) per weighting."""
     grid = weight_grid(step)
     found = rank_objective(severity_parts(scored), [(c, 0.0, d, g) for c, d, g in grid])
-    table = F.array(*[F.array(*[F.lit(x) for x in w]) for w in grid])
+    table = F.expr("array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in w) + ")" for w in grid) + ")")
     at = F.get(table, F.col("blend"))
     return found.select(F.get(at, F.lit(0)).alias("w_closure"), F.get(at, F.lit(1)).alias("w_duration"),
                         F.get(at, F.lit(2)).alias("w_cause"), "closure_corr", "duration_corr", "objective")
