@@ -107,8 +107,8 @@ class Mix:
         cut = cut.withColumn("hi", F.least(F.expr("start + size"), (F.col("block") + 1) * block_words))
         taken = self.slots.groupBy("sid", "block").agg(
             F.count_if(F.col("take") >= F.col("length")).alias("full"),
-            F.max(F.when(F.col("take") < F.col("length"), F.col("take"))).alias("extra"))
-        part = F.coalesce(F.least(F.col("hi"), F.col("block") * block_words + F.col("extra")) - F.col("lo"), F.lit(0))
+            F.max(F.when(F.col("take") < F.col("length"), F.col("take")).otherwise(0)).alias("extra"))
+        part = F.least(F.col("hi"), F.col("block") * block_words + F.col("extra")) - F.col("lo")
         self.pieces = cut.join(taken, ["sid", "block"]).select(
             "row", (F.col("lo") - F.col("start")).alias("at"), (F.col("hi") - F.col("lo")).alias("words"), "full",
             F.greatest(part, F.lit(0)).alias("part"))
