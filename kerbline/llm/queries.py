@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from kerbline.llm import common, exact_dedup, mixing, sharding
+import public_tokenizers
+
+from kerbline.llm import byte_bpe, common, exact_dedup, mixing, sharding, token_counts
 
 
 def _exact(spark, sf_dir):
@@ -17,10 +19,27 @@ def _shards(spark, sf_dir):
     return sharding.shard_report(common.table(spark, sf_dir, "documents"))
 
 
+def multilingual() -> str:
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.from_ranks(ranks, public_tokenizers.PATTERN)
+
+
+def _codec(spark, sf_dir):
+    return byte_bpe.round_trip(common.table(spark, sf_dir, "documents"), multilingual(), public_tokenizers.PATTERN)
+
+
+def _section_tokens(spark, sf_dir):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as definition:
+        return token_counts.section_tokens(
+            common.table(spark, sf_dir, "documents"), definition.read(), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_exact_dedup": _exact,
     "op2_source_mix": _mix,
+    "op7_byte_bpe": _codec,
     "op9_feistel_shards": _shards,
+    "op10_section_tokens": _section_tokens,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
