@@ -18,6 +18,7 @@ from kerbline.session import settle
 BLOCK_WORDS = 256
 SHARD_SLOTS = 4096
 _SLOTS_AT_ONCE = 4096
+_SLOTS_A_TASK = 1 << 16
 
 
 def word_count(text: str) -> F.Column:
@@ -58,7 +59,8 @@ def slots(sources: DataFrame, block_words: int, seed: int, shard_slots: int) ->
         Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     plan = plan.withColumn("all", F.sum("count").over(Window.partitionBy()))
     parts = plan.withColumn("part", F.explode(F.expr(f"sequence(0L, (count - 1) div {_SLOTS_AT_ONCE})")))
-    parts = parts.repartition(F.col("sid"), F.col("part"))
+    tasks = 1 + parts.count() * _SLOTS_AT_ONCE // _SLOTS_A_TASK
+    parts = parts.repartition(tasks, F.col("sid"), F.col("part"))
     each = parts.withColumn("j", F.explode(F.expr(
         f"sequence(part * {_SLOTS_AT_ONCE}, least((part + 1) * {_SLOTS_AT_ONCE}, count) - 1)")))
     each = each.withColumn("pass", F.expr("j div blocks")).withColumn("i", F.expr("j % blocks"))
@@ -109,7 +111,8 @@ class Mix:
             F.count_if(F.col("take") >= F.col("length")).alias("full"),
             F.max(F.when(F.col("take") < F.col("length"), F.col("take")).otherwise(0)).alias("extra"))
         part = F.least(F.col("hi"), F.col("block") * block_words + F.col("extra")) - F.col("lo")
-        self.pieces = cut.join(taken, ["sid", "block"]).select(
+        # Spark guesses the exploded slots to be as small as the table of sources; they grow with the words
+        self.pieces = cut.join(taken.hint("merge"), ["sid", "block"]).select(
             "row", (F.col("lo") - F.col("start")).alias("at"), (F.col("hi") - F.col("lo")).alias("words"), "full",
             F.greatest(part, F.lit(0)).alias("part"))
 
