@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Small tables up to this many rows may be broadcast once they have been counted.
 BROADCAST_ROWS = 100_000
 
-_CHUNK_ROWS = 8192
+_CHUNK_ROWS = 1024
 _CHUNKS_AT_ONCE = 4096
 
 
