@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from kerbline.llm import byte_bpe, common, exact_dedup, mixing, sharding, token_counts
+from kerbline.llm import byte_bpe, common, exact_dedup, language, mixing, sharding, token_counts, toxicity
 
 
 def _exact(spark, sf_dir):
@@ -34,9 +34,21 @@ def _section_tokens(spark, sf_dir):
             common.table(spark, sf_dir, "documents"), definition.read(), public_tokenizers.PATTERN)
 
 
+def _language(spark, sf_dir):
+    return language.language_report(
+        common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _toxicity(spark, sf_dir):
+    return toxicity.toxicity_report(
+        common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_exact_dedup": _exact,
     "op2_source_mix": _mix,
+    "op3_toxicity": _toxicity,
+    "op5_language": _language,
     "op7_byte_bpe": _codec,
     "op9_feistel_shards": _shards,
     "op10_section_tokens": _section_tokens,
