@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from kerbline.llm import byte_bpe, common, exact_dedup, language, mixing, sharding, token_counts, toxicity
+from kerbline.llm import byte_bpe, common, exact_dedup, language, mixing, secrets, sharding, token_counts, toxicity
 
 
 def _exact(spark, sf_dir):
@@ -44,10 +44,15 @@ def _toxicity(spark, sf_dir):
         common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def _secrets(spark, sf_dir):
+    return secrets.scan(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": _exact,
     "op2_source_mix": _mix,
     "op3_toxicity": _toxicity,
+    "op4_secrets": _secrets,
     "op5_language": _language,
     "op7_byte_bpe": _codec,
     "op9_feistel_shards": _shards,
