@@ -33,13 +33,24 @@ def _mask(bit: Column) -> Column:
     return one[0].bitwiseOR(one[1]).bitwiseOR(one[2])
 
 
-def repeated_filter(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """The second filter: at most `words` rows of (word, 64 bits), 16 bytes each."""
-    bits = docs.select(_bit(text).alias("bit")).groupBy("bit").agg(F.count("*").alias("n")).where("n > 1")
+def fold(bits: DataFrame, words: int) -> DataFrame:
+    """A filter of fixed size for the column `bit`: at most `words` rows of (word, 64 bits), 16 bytes each."""
     return bits.groupBy(_word(F.col("bit"), words).alias("__word")).agg(
         F.bit_or(_mask(F.col("bit"))).alias("__mask"))
 
 
+def repeated(bits: DataFrame) -> DataFrame:
+    """The values of the column `bit` that come more than once."""
+    return bits.groupBy("bit").agg(F.count("*").alias("n")).where("n > 1").select("bit")
+
+
+def with_hits(rows: DataFrame, bit: str, folded: DataFrame, words: int) -> DataFrame:
+    """Adds `__hit`: whether the filter may hold the value. Values that it holds always hit."""
+    rows = rows.withColumn("__word", _word(F.col(bit), words)).join(F.broadcast(folded), "__word", "left")
+    hit = F.col("__mask").bitwiseAND(_mask(F.col(bit))) == _mask(F.col(bit))
+    return rows.withColumn("__hit", F.coalesce(hit, F.lit(False))).drop("__word", "__mask")
+
+
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None,
                 filter_words: int = 1 << 20) -> DataFrame:
     """Marks the row that stays of each group of texts equal after lower-casing A-Z.
@@ -50,12 +61,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", carry:
     `filter_words` bounds what is broadcast: 16 bytes a word.
     """
     carry = [c for c in (carry or [key]) if c not in RESULT]
-    words = settle(repeated_filter(docs, text, filter_words), "repeated-bits")
-    bit = _bit(text)
-    rows = docs.select(*carry, F.col(key).alias("__id"), F.col(text).alias("__text"), bit.alias("__bit"))
-    rows = rows.withColumn("__word", _word(F.col("__bit"), filter_words))
-    rows = rows.join(F.broadcast(words), "__word", "left").withColumn(
-        "__hit", F.coalesce(F.col("__mask").bitwiseAND(_mask(F.col("__bit"))) == _mask(F.col("__bit")), F.lit(False)))
+    words = settle(fold(repeated(docs.select(_bit(text).alias("bit"))), filter_words), "repeated-bits")
+    rows = docs.select(*carry, F.col(key).alias("__id"), F.col(text).alias("__text"), _bit(text).alias("__bit"))
+    rows = with_hits(rows, "__bit", words, filter_words)
     sha = F.sha2(ascii_lower(F.col("__text")).cast("binary"), 256)
     through = rows.where("not __hit").select(
         *carry, F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),

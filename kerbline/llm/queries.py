@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from kerbline.llm import byte_bpe, common, exact_dedup, language, mixing, secrets, sharding, token_counts, toxicity
+from kerbline.llm import byte_bpe, common, exact_dedup, language, mixing, ngram_join, secrets, sharding, token_counts, toxicity
 
 
 def _exact(spark, sf_dir):
@@ -48,6 +48,10 @@ def _secrets(spark, sf_dir):
     return secrets.scan(common.table(spark, sf_dir, "documents"))
 
 
+def _ngrams(spark, sf_dir):
+    return ngram_join.join_groups(common.table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 QUERIES = {
     "op1_exact_dedup": _exact,
     "op2_source_mix": _mix,
@@ -55,6 +59,7 @@ QUERIES = {
     "op4_secrets": _secrets,
     "op5_language": _language,
     "op7_byte_bpe": _codec,
+    "op8_ngram_join": _ngrams,
     "op9_feistel_shards": _shards,
     "op10_section_tokens": _section_tokens,
 }
