@@ -1,25 +1,52 @@
-"""The corpus pipeline: language, exact copies, near copies, source mix, tokens."""
+"""The corpus pipeline: language, exact copies, near copies, source mix, tokens.
+
+Every stage takes (spark, docs, sf_dir), works on all rows of `docs`, and returns the columns of the documents; the last
+returns token counts and digests. The tables in `sf_dir` are not read by the stages.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import exact_dedup, mixing
+from kerbline.llm import byte_bpe, exact_dedup, language, mixing, ngram_join
+from kerbline.llm.queries import multilingual
 from kerbline.session import settle
 
 
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told stay; those without letters or without a likely language go."""
+    return language.known_language(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays: the one with the largest id."""
     marked = exact_dedup.exact_dedup(docs, carry=docs.columns)
     return marked.where("kept").select(*docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked at 0.8 of five-word shingles stays: the one with the smallest id.
+
+    Rows with a null id are linked with nothing and stay; so do equal ids of different texts that are the smallest.
+    """
+    groups = ngram_join.join_groups(docs, width=5, percent=80)
+    gone = settle(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often, and with the words, that the mix of the sources takes."""
     return mixing.mixed_texts(docs)
 
 
-STAGES = [("exact dedup", drop_copies), ("source mix", mix)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per mixed document: doc_id, n_tokens and digests of its ids and of what they decode to."""
+    return byte_bpe.round_trip(docs, multilingual(), public_tokenizers.PATTERN)
+
+
+STAGES = [("language", keep_languages), ("exact dedup", drop_copies), ("near copies", drop_near_copies),
+          ("source mix", mix), ("tokens", tokens)]
 
 #: The language and token stages are not expressible in SQL.
 ORACLE_SQL = None
