@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from kerbline.llm import byte_bpe, common, exact_dedup, language, mixing, ngram_join, secrets, sharding, token_counts, toxicity
+from kerbline.llm import byte_bpe, common, exact_dedup, language, mixing, ngram_join, secrets, sharding, token_counts, toxicity, vantage
 
 
 def _exact(spark, sf_dir):
@@ -52,12 +52,17 @@ def _ngrams(spark, sf_dir):
     return ngram_join.join_groups(common.table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def _neighbours(spark, sf_dir):
+    return vantage.neighbour_report(common.table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_exact_dedup": _exact,
     "op2_source_mix": _mix,
     "op3_toxicity": _toxicity,
     "op4_secrets": _secrets,
     "op5_language": _language,
+    "op6_vantage_trees": _neighbours,
     "op7_byte_bpe": _codec,
     "op8_ngram_join": _ngrams,
     "op9_feistel_shards": _shards,
@@ -66,7 +71,16 @@ QUERIES = {
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Right as a search over all pairs; the trees reach these rows because they leave out nothing on such vectors.
+_SEARCH = """
+    WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+    SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+        SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score,
+               row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id) AS rank
+        FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0) WHERE rank <= 20"""
+
 ORACLES = {
+    "op6_vantage_trees": _SEARCH,
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWERED}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
