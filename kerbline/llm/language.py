@@ -7,6 +7,7 @@ log-likelihood is the sum over its words, and each distinct word is solved once
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from itertools import chain
 
@@ -20,11 +21,17 @@ UNKNOWN = "und"
 #: Fixed value: how the vocabulary writes the start of a word.
 _START = "▁"
 #: A worker remembers about so many words; more are solved again.
-_KNOWN_WORDS = 300_000
+_KNOWN_WORDS = 600_000
+#: Words of up to so many places have probabilities far within the range of a double.
+_SHORT = 30
 #: Words are solved in groups of about so many places.
 _GROUP = 1 << 17
 
 _letters = regex.compile(r"\p{L}+").findall
+_ascii_letters = re.compile("[a-z]+").findall
+#: A character that no text has, to fill words up to one length; the base of the hash of pieces.
+_PAD = "\U0010ffff"
+_BASE = 0x9E3779B97F4A7C15
 
 
 def pieces_of(model_file: str) -> list[str]:
@@ -37,7 +44,8 @@ def pieces_of(model_file: str) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    return _letters(text.lower())
+    lower = text.lower()
+    return _ascii_letters(lower) if lower.isascii() else _letters(lower)
 
 
 class Unigrams:
@@ -46,35 +54,52 @@ class Unigrams:
     def __init__(self, pieces: list[str], languages: list[str], logp: np.ndarray | None = None,
                  unseen: np.ndarray | None = None):
         self.pieces, self.languages = pieces, languages
-        self.number = {p: i for i, p in enumerate(pieces)}
         self.longest = max(map(len, pieces), default=1)
+        hashes = np.array([self._hash(p) for p in pieces], dtype=np.uint64)
+        self.by_hash = np.argsort(hashes)
+        self.hashes = hashes[self.by_hash]
+        self.maybe = np.zeros(1 << 22, dtype=bool)
+        self.maybe[hashes >> np.uint64(42)] = True
         self.other = len(pieces)  # one more piece, for any single character
         size = len(pieces) + 1
         self.p = np.full((size, len(languages)), 1.0 / size) if logp is None else logp
         self.known: dict[str, int] = {}
         self.table = np.zeros((1024, len(languages)))
 
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * _BASE + ord(c) + 1) % (1 << 64)
+        return h
+
     def lattice(self, words: list[str]):
-        """All places of pieces in the words: arrays (word, start, end, piece), ordered by end; and the lengths."""
-        word, start, end, piece = [], [], [], []
-        number, longest, other = self.number.get, self.longest, self.other
+        """All places of pieces in the words: arrays (word, start, end, piece), by end and word; and the lengths.
+
+        Substrings of one width are hashed and looked up together, for all words and starts.
+        """
         lengths = np.array([len(w) + 1 for w in words])
-        for i, w in enumerate(words):
-            w = _START + w
-            n = len(w)
-            for s in range(n):
-                for e in range(s + 1, min(n, s + longest) + 1):
-                    k = number(w[s:e])
-                    if k is None:
-                        if e > s + 1:
-                            continue
-                        k = other
-                    word.append(i)
-                    start.append(s)
-                    end.append(e)
-                    piece.append(k)
-        arrays = [np.array(x, dtype=np.int64) for x in (word, start, end, piece)]
-        order = np.argsort(arrays[2], kind="stable")
+        width = int(lengths.max())
+        text = "".join([(_START + w).ljust(width, _PAD) for w in words])
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).reshape(len(words), width)
+        codes = codes.astype(np.uint64) + np.uint64(1)
+        h = np.zeros_like(codes)
+        found = []
+        for k in range(1, min(self.longest, width) + 1):
+            h = h[:, :width - k + 1] * np.uint64(_BASE) + codes[:, k - 1:]
+            if k == 1:
+                word, start = np.nonzero(np.arange(width) < lengths[:, None])
+            else:
+                word, start = np.nonzero(self.maybe[h >> np.uint64(42)])
+            own = h[word, start]
+            at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+            real = self.hashes[at] == own
+            piece = np.where(real, self.by_hash[at], self.other)
+            if k > 1:
+                word, start, piece = word[real], start[real], piece[real]
+            found.append((word, start, start + k, piece))
+        arrays = [np.concatenate(x) for x in zip(*found)]
+        order = np.lexsort((arrays[0], arrays[2]))
         return [a[order] for a in arrays], lengths
 
     @staticmethod
@@ -101,33 +126,43 @@ class Unigrams:
     def solve(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word under each language."""
         out = np.empty((len(words), len(self.languages)))
+        for chosen in self._groups(words):
+            places, lengths = self.lattice([words[i] for i in chosen])
+            prefix = self.forward(places, lengths) if lengths.max() > _SHORT else self.short_forward(places, lengths)
+            out[chosen] = prefix[np.arange(len(chosen)), lengths]
+        return out
+
+    @staticmethod
+    def _groups(words: list[str]):
+        """Numbers of words of about one length, so many that their places stay within the bound."""
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         at = 0
         while at < len(order):
             to = at + 1
             while to < len(order) and (to - at) * (len(words[order[to]]) + 2) <= _GROUP:
                 to += 1
-            group = [words[i] for i in order[at:to]]
-            places, lengths = self.lattice(group)
-            # places are ordered by end; within one end the words must be together
-            logs = self.forward(self._together(places), lengths)
-            out[order[at:to]] = logs[np.arange(len(group)), lengths]
+            yield order[at:to]
             at = to
-        return out
 
-    @staticmethod
-    def _together(places):
-        order = np.lexsort((places[0], places[2]))
-        return [a[order] for a in places]
+    def short_forward(self, places, lengths: np.ndarray):
+        """The same for words so short that their probabilities need no scaling."""
+        word, start, end, piece = places
+        sums = np.zeros((len(lengths), lengths.max() + 1, len(self.languages)))
+        sums[:, 0] = 1.0
+        p = self.p[piece]
+        for a, b in self._steps(end):
+            w = word[a:b]
+            first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            sums[w[first], end[a]] = np.add.reduceat(sums[w, start[a:b]] * p[a:b], first, axis=0)
+        with np.errstate(divide="ignore"):
+            return np.log(sums)
 
     def expect(self, words: list[str], weights: np.ndarray) -> np.ndarray:
         """Expected piece counts of the words over all segmentations; weights[word, language] is the word's count."""
         counts = np.zeros_like(self.p)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for at in range(0, len(order), 4096):
-            chosen = order[at:at + 4096]
+        for chosen in self._groups(words):
             places, lengths = self.lattice([words[i] for i in chosen])
-            word, start, end, piece = places = self._together(places)
+            word, start, end, piece = places
             ahead = self.forward(places, lengths)
             back = np.full_like(ahead, -np.inf)
             back[np.arange(len(chosen)), lengths] = 0.0
