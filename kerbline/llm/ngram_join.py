@@ -7,9 +7,9 @@ equal: sets that share no piece are not linked. Pieces without a set bit say not
 a set with at most e of them; the few sets with more meet under keys of their own.
 
 Equal sets are one node. Per piece key, the node that shares most becomes the centre, and the others are compared with
-it only; components then grow from the verified links. Members of a key that are still outside their centre's
-component are compared with that key's other members, as far as sizes and a second sketch allow. Every pair that shares
-a key is thus linked, in one component already, or compared: no link between components is lost.
+it only, as far as sizes and a second sketch allow; components then grow from the verified links. Members of a key that are still outside their centre's
+component are compared with that key's other members in the same way. Every pair that shares a key is thus linked, in
+one component already, or compared: no link between components is lost.
 """
 
 from __future__ import annotations
@@ -198,8 +198,10 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     members = settle(members.join(weight, "node").select(F.col("bit").alias("key"), "node", "weight"), "members")
     centres = settle(members.groupBy("key").agg(
         F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre")), "centres")
+    about = settle(nodes.drop("keys").join(weight.select("node"), "node"), "about")
     pairs = members.join(centres, "key").where("node <> centre").select(
         F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    pairs = pairs.join(_named(about, "a"), "a").join(_named(about, "b"), "b").where(_near(percent)).select("a", "b")
     links = verified(pairs, docs, key, text, width, percent)
     found = settle(components(links), "components")
 
@@ -207,18 +209,11 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
         _whole(centres.withColumnRenamed("centre", "node"), found).select("key", F.col("comp").alias("centre_comp")),
         "key"), "placed")
     outside = placed.where("comp <> centre_comp")
-    about = settle(nodes.drop("keys").join(outside.select("key").distinct().join(placed, "key").select("node")
-                                           .distinct(), "node"), "about")
     left = outside.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a")).join(
         _named(about, "a"), "a")
     right = placed.join(outside.select("key").distinct(), "key").select(
         "key", F.col("node").alias("b"), F.col("comp").alias("comp_b")).join(_named(about, "b"), "b")
-    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}")))
-                                        for i in range(_COARSE)])
-    # |A xor B| <= (|A| + |B|) (100 - percent) / (100 + percent) for a linked pair
-    near = apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
-    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    more = left.join(right, (left["key"] == right["key"]) & (F.col("comp_a") != F.col("comp_b")) & sizes & near)
+    more = left.join(right, (left["key"] == right["key"]) & (F.col("comp_a") != F.col("comp_b")) & _near(percent))
     more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = links.unionByName(verified(more, docs, key, text, width, percent)).unionByName(same)
     found = settle(components(links), "components")
@@ -226,6 +221,14 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     return _whole(rows, found).select(F.col("node").alias(key), "n_shingles", F.col("comp").alias("component_id"))
 
 
+def _near(percent: int):
+    """Whether sizes and second sketches leave room for a link: |A xor B| <= (|A| + |B|) (100 - p) / (100 + p)."""
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}")))
+                                        for i in range(_COARSE)])
+    near = apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    return near & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+
+
 def _named(about: DataFrame, side: str) -> DataFrame:
     return about.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"),
                         *[F.col(f"s{i}").alias(f"{side}{i}") for i in range(_COARSE)])
