@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, SparkSession
@@ -10,43 +12,54 @@ from pyspark.sql import functions as F
 from kerbline.constants import PANEL_FEATURES
 from kerbline.functions import clock
 from kerbline.models import encode
-from kerbline.operators import features, metrics, panel, splits, weights
+from kerbline.operators import metrics, panel, splits, weights
 from kerbline.session import settle
 
 _COUNTS = [c for c in PANEL_FEATURES if c.startswith(("lag_", "roll_", "slag_"))]
 _TARGETS = {"n_events": "pred_events", "n_impact": "pred_impact"}
+_LOADS = [f"load_{t}" for t in _TARGETS]
+_LEAST_LOAD = 1e-3
 
 
 class HotspotModel:
     """Poisson regressions with a log link on calendar, lags, trailing means, neighbours, corridor.
 
-    Count features enter as log(1 + x), so that the link stays tame at busy hours.
+    Count features enter as log(1 + x), so that the link stays tame at busy hours. A corridor enters by what was learned
+    of it, the logarithm of its mean load per target, so there is no list of corridors and no limit to their number;
+    corridors that were not there in training get the overall mean.
     """
 
     def __init__(self, reg: float = 1e-3, iterations: int = 25, targets: tuple[str, ...] = ("n_events", "n_impact")):
         self.reg, self.iterations, self.targets = reg, iterations, targets
         self.edges: DataFrame | None = None
-        self.levels: dict[str, list[str]] = {}
+        self.loads: DataFrame | None = None
         self.models: dict[str, PipelineModel] = {}
 
     def _prepared(self, frame: DataFrame) -> DataFrame:
         logged = frame.withColumns({c: F.log1p(F.coalesce(F.col(c), F.lit(0.0))) for c in _COUNTS})
-        capped = features.cap_levels(logged.withColumn("corridor_name", F.col("corridor")), self.levels)
-        return capped
+        usual = self.loads.where("is_overall").first()
+        known = self.loads.where("not is_overall").drop("is_overall")
+        return logged.join(known, "corridor", "left").fillna({c: usual[c] for c in _LOADS})
 
     def fit(self, clean_events: DataFrame) -> HotspotModel:
         self.edges = settle(weights.spatial_weights(clean_events), "edges")
         frame = settle(panel.panel_features(clean_events, self.edges), "panel")
-        self.levels = features.learn_levels(frame, ["corridor"])
+        self.learn_loads(frame)
         train = self._prepared(frame)
         for target in self.targets:
             glm = GeneralizedLinearRegression(
                 family="poisson", link="log", labelCol=target, featuresCol="features", maxIter=self.iterations,
                 regParam=self.reg, predictionCol=_TARGETS[target])
-            stages = encode.linear_stages(["corridor", *PANEL_FEATURES])
+            stages = encode.linear_stages([*PANEL_FEATURES, *_LOADS])
             self.models[target] = Pipeline(stages=[*stages, glm]).fit(train)
         return self
 
+    def learn_loads(self, frame: DataFrame) -> None:
+        """Mean loads per corridor and over all rows, as logarithms."""
+        means = [F.log(F.avg(t) + F.lit(_LEAST_LOAD)).alias(c) for t, c in zip(_TARGETS, _LOADS)]
+        self.loads = settle(frame.groupBy("corridor").agg(F.lit(False).alias("is_overall"), *means).unionByName(
+            frame.agg(F.lit(None).cast("string").alias("corridor"), F.lit(True).alias("is_overall"), *means)), "loads")
+
     def forecast_panel(self, clean_events: DataFrame) -> DataFrame:
         """One-step-ahead predictions with observed lags over the whole panel after its warm-up."""
         frame = panel.panel_features(clean_events, self.edges)
@@ -55,14 +68,11 @@ class HotspotModel:
         for target, model in self.models.items():
             columns = scored.columns
             scored = model.transform(scored).select(*columns, _TARGETS[target])
-        return scored.withColumn("corridor", F.col("corridor_name")).select(
-            *kept, *[_TARGETS[t] for t in self.models])
+        return scored.select(*kept, *[_TARGETS[t] for t in self.models])
 
     def save(self, path: str) -> None:
         self.edges.write.mode("overwrite").parquet(f"{path}/edges")
-        rows = [(i, v) for i, v in enumerate(self.levels["corridor"])]
-        (self.edges.sparkSession.createDataFrame(rows, "place int, level string")
-         .write.mode("overwrite").parquet(f"{path}/levels"))
+        self.loads.write.mode("overwrite").parquet(f"{path}/loads")
         for target, model in self.models.items():
             model.write().overwrite().save(f"{path}/{target}")
 
@@ -70,8 +80,7 @@ class HotspotModel:
     def load(cls, spark: SparkSession, path: str, targets: tuple[str, ...] = ("n_events", "n_impact")) -> HotspotModel:
         model = cls(targets=targets)
         model.edges = spark.read.parquet(f"{path}/edges")
-        model.levels = {"corridor": [r["level"] for r in
-                                     spark.read.parquet(f"{path}/levels").orderBy("place").collect()]}
+        model.loads = spark.read.parquet(f"{path}/loads")
         model.models = {t: PipelineModel.load(f"{path}/{t}") for t in targets}
         return model
 
@@ -92,8 +101,6 @@ def forecast_cv(clean_events: DataFrame, n_folds: int = 4, min_test: int = 50) -
         model = HotspotModel(targets=("n_events",)).fit(train)
         first = test.agg(clock.micros(F.date_trunc("hour", F.min("start")).cast("timestamp_ntz"))).first()[0]
         forecast = after(model.forecast_panel(train.unionByName(test)), first)
-        per_fold.append(metrics.mae(forecast, "n_events", "pred_events").select(F.lit(fold).alias("fold"), "mae", "n"))
-    result = per_fold[0]
-    for other in per_fold[1:]:
-        result = result.unionByName(other)
-    return result
+        per_fold.append(metrics.mae(forecast, "n_events", "pred_events").select(F.lit(fold).cast("int").alias("fold"), "mae", "n"))
+    none = clean_events.sparkSession.createDataFrame([], "fold int, mae double, n long")
+    return reduce(DataFrame.unionByName, per_fold, none)

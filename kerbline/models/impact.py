@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
@@ -72,19 +74,22 @@ class ImpactModel:
         train.unpersist()
         return self
 
-    def features(self, clean_events: DataFrame, history: DataFrame | None = None, keep=()) -> DataFrame:
-        """The capped features; the neighbourhood join runs only when the regressor needs it."""
-        frame = features.feature_frame(clean_events, rates=self.rates, history=history, keep=keep,
-                                       features=FEATURES if self.duration else CLASSIFIER_FEATURES)
+    def features(self, clean_events: DataFrame, history: DataFrame | None = None, keep=(),
+                 wanted: Sequence[str] | None = None) -> DataFrame:
+        """The capped features, by default those that the fitted parts need."""
+        wanted = wanted or (FEATURES if self.duration else CLASSIFIER_FEATURES)
+        frame = features.feature_frame(clean_events, rates=self.rates, history=history, keep=keep, features=wanted)
         levels = {c: v for c, v in self.levels.items() if c in frame.columns}
         return features.cap_levels(frame, levels)
 
-    def score(self, clean_events: DataFrame, history: DataFrame | None = None) -> DataFrame:
-        """(id, p_road_closure, p_high_priority, exp_duration_min).
+    def score(self, clean_events: DataFrame, history: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
+        """(id, `keep` columns, p_road_closure, p_high_priority, exp_duration_min).
 
-        `history` is where earlier neighbours are looked up; by default the batch itself.
+        `history` is where earlier neighbours are looked up; by default the batch itself. Columns to keep travel with
+        the rows, under other names, because features of the same name are capped.
         """
-        scored = self.features(clean_events, history, keep=["id"])
+        carried = {f"kept_{c}": F.col(c) for c in keep}
+        scored = self.features(clean_events.withColumns(carried), history, keep=["id", *carried])
         made = [("closure", "p_road_closure", "road_closure_probability"),
                 ("priority", "p_high_priority", "high_priority_probability")]
         outputs = []
@@ -99,7 +104,7 @@ class ImpactModel:
             scored = self.duration.transform(scored).withColumn("exp_duration_min", minutes)
         else:
             scored = scored.withColumn("exp_duration_min", F.lit(None).cast("double"))
-        return scored.select("id", *outputs, "exp_duration_min")
+        return scored.select("id", *[F.col(f"kept_{c}").alias(c) for c in keep], *outputs, "exp_duration_min")
 
     def save(self, path: str) -> None:
         spark = self.rates.sparkSession

@@ -25,6 +25,9 @@ WIDE = ["junction", "police_station", "pin", "cause_corridor"]
 STUDY_LEVELS = 200
 GRID = [(rate, trees, leaves) for rate in (0.03, 0.05, 0.1) for trees in (400, 800) for leaves in (15, 31, 63)]
 LEAST_GAIN = 0.0005
+_KERNELS = ["kde_intensity", "kde_gathering", "kde_accident"]
+_DENSITY = ["hist_density_1km", "hist_density_3km"]
+DROPPED = {"full": [], "no_kde": _KERNELS, "no_density": _DENSITY, "neither": _KERNELS + _DENSITY}
 _JOBS_AT_ONCE = 4
 
 
@@ -50,8 +53,8 @@ class FoldStudy:
     """
 
     def __init__(self, clean_events: DataFrame, columns: Sequence[str] = tuple(FEATURES), min_test: int = 40,
-                 min_positives: int = 10):
-        marked = splits.quantile_folds(clean_events)
+                 min_positives: int = 10, edges: Sequence[float] = tuple(splits.COUNT_EDGES)):
+        marked = splits.quantile_folds(clean_events, list(edges))
         frame = features.feature_frame(marked, keep=["id", "fold", LABEL], features=columns)
         wide = settle(frame, "study")
         self.levels = features.learn_levels(wide, most=STUDY_LEVELS)
@@ -95,9 +98,8 @@ class FoldStudy:
             predicted = pool.map(fit, jobs)
         together = settle(reduce(DataFrame.unionByName, predicted), "predictions")
         keys = ["run", "fold"]
-        few = len(jobs) <= 256
-        scores = metrics.roc_auc(together, "y", "p", keys, few).join(
-            metrics.average_precision(together, "y", "p", keys, few), keys)
+        scores = metrics.roc_auc(together, "y", "p", keys).join(
+            metrics.average_precision(together, "y", "p", keys), keys)
         return scores.groupBy("run").agg(
             F.avg("roc_auc").alias("auc_mean"), F.stddev_pop("roc_auc").alias("auc_std"),
             F.avg("average_precision").alias("pr_auc_mean"))
@@ -124,29 +126,46 @@ def group_ablation(study: FoldStudy, groups: Iterable[str], family: str, make: C
 
 def kde_ablation(study: FoldStudy, family: str, make: Callable) -> DataFrame:
     """Kernel and density columns left out in turn."""
-    kernels = ["kde_intensity", "kde_gathering", "kde_accident"]
-    density = ["hist_density_1km", "hist_density_3km"]
     columns = [c for c in FEATURES if c in study.table.columns]
-    drops = {"full": [], "no_kde": kernels, "no_density": density, "neither": kernels + density}
-    return study.cv({n: ([c for c in columns if c not in d], family, make) for n, d in drops.items()})
+    return study.cv({n: ([c for c in columns if c not in d], family, make) for n, d in DROPPED.items()})
 
 
 def forward_selection(study: FoldStudy, groups: Sequence[str], family: str, make: Callable,
-                      start: float = 0.5) -> list[tuple[int, str, float]]:
-    """(step, group, auc): the group that helps most joins until the gain is too small."""
-    chosen: list[tuple[int, str, float]] = []
-    columns: list[str] = []
-    current, remaining = start, list(groups)
-    while remaining:
-        runs = {g: (list(dict.fromkeys(columns + FEATURE_GROUPS[g])), family, make) for g in remaining}
-        best = max(((r["auc_mean"] or 0.0, r["run"]) for r in study.cv(runs).collect()))
-        if best[0] <= current + LEAST_GAIN:
+                      baseline: float = 0.5) -> DataFrame:
+    """(step, candidate, auc_mean, auc_std, pr_auc_mean, gain, joins): every candidate of every step, tried together.
+
+    A step extends the path so far by each group that is not on it. `gain` is against the step before (at first against
+    `baseline`, a coin toss); the best candidate joins if it gains more than the least gain, ties going by name. The
+    table ends with the first step in which none joins, or when no group is left.
+    """
+    steps: list[DataFrame] = []
+    path: list[str] = []
+    reached = baseline
+    for step in range(1, len(groups) + 1):
+        open_groups = [g for g in groups if g not in path]
+        tried = study.cv({g: (_columns_of([*path, g]), family, make) for g in open_groups})
+        best_first = W.orderBy(F.col("auc_mean").desc_nulls_last(), "run")
+        table = settle(tried.withColumn("gain", F.col("auc_mean") - F.lit(reached)).select(
+            F.lit(step).alias("step"), F.col("run").alias("candidate"), "auc_mean", "auc_std", "pr_auc_mean", "gain",
+            ((F.row_number().over(best_first) == 1) & (F.coalesce("gain", F.lit(0.0)) > LEAST_GAIN)).alias("joins")),
+            "selection-step")
+        steps.append(table)
+        joined = table.where("joins").first()
+        if joined is None:
             break
-        current, group = best
-        columns = runs[group][0]
-        chosen.append((len(chosen) + 1, group, current))
-        remaining.remove(group)
-    return chosen
+        path.append(joined["candidate"])
+        reached = joined["auc_mean"]
+    return reduce(DataFrame.unionByName, steps)
+
+
+def _columns_of(groups: Sequence[str]) -> list[str]:
+    members = {c for g in groups for c in FEATURE_GROUPS[g]}
+    return [c for c in FEATURES if c in members]
+
+
+def top_drivers(importances: DataFrame, most: int = 8) -> DataFrame:
+    """The features whose permutation costs most, ties by name."""
+    return importances.orderBy(F.desc("importance"), "feature").limit(most)
 
 
 def grid_search(study: FoldStudy, columns: Sequence[str], grid: Sequence[tuple[float, int, int]] = tuple(GRID)) -> DataFrame:
@@ -164,7 +183,8 @@ def permutation_importance(model: ImpactModel, clean_events: DataFrame, repeats:
     within random buckets of bounded size each row takes the next row's value (the last the
     first's), so a copy holds exactly the same values. All copies are scored in one job.
     """
-    frame = settle(model.features(clean_events, keep=["id", LABEL]).select("id", LABEL, *CLASSIFIER_FEATURES), "permute")
+    frame = settle(model.features(clean_events, keep=["id", LABEL], wanted=CLASSIFIER_FEATURES).select(
+        "id", LABEL, *CLASSIFIER_FEATURES), "permute")
     buckets = max(1, frame.count() // bucket_rows)
     copies = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(r).alias("repeat"))
                        for c in CLASSIFIER_FEATURES for r in range(repeats)])

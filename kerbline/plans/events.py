@@ -205,6 +205,12 @@ def hour_dow_heatmap(spark, sf_dir):
     return profile.hour_dow_counts(Tables(spark, sf_dir).clean)
 
 
+def hour_dow_matrix(spark, sf_dir):
+    """One row per weekday, one column per hour."""
+    wide = profile.hour_dow_matrix(Tables(spark, sf_dir).clean)
+    return wide.select("dow", *[F.col(f"`{h}`").alias(f"h{h}") for h in range(24)])
+
+
 def cause_top12(spark, sf_dir):
     return profile.frequency(Tables(spark, sf_dir).clean, "event_cause", 12)
 
@@ -313,7 +319,8 @@ QUERIES = {
         clearance_duration, clean_incidents, clean_summary, temporal_features, peak_flag, daypart,
         dist_center, categorical_features, pin_extract, cause_corridor, text_features, feature_groups,
         feature_frame, target_encoding, cap_categories, lead_time, filter_by_cause, impute_location,
-        events_sample, daily_volume, daily_rolling3, hour_dow_heatmap, cause_top12, closure_rate_by_cause,
+        events_sample, daily_volume, daily_rolling3, hour_dow_heatmap, hour_dow_matrix, cause_top12,
+        closure_rate_by_cause,
         closure_rate_by_type, priority_rate_by_cause, corridor_load, corridor_closure_top8,
         monthly_cause_trend, null_profile, value_profile, duration_describe, coord_describe,
         lead_time_describe, hour_counts, dow_counts, dataset_meta, option_lists, duration_hist,
@@ -448,6 +455,8 @@ ORACLES = {
         FROM daily WINDOW w AS (ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"""),
     "hour_dow_heatmap": _from_clean("""SELECT CAST(isodow(start) - 1 AS INTEGER) AS dow,
         CAST(hour(start) AS INTEGER) AS hour, count(id) AS n_events FROM clean GROUP BY ALL"""),
+    "hour_dow_matrix": _from_clean("SELECT CAST(isodow(start) - 1 AS INTEGER) AS dow, " + ", ".join(
+        f"count(id) FILTER (hour(start) = {h}) AS h{h}" for h in range(24)) + " FROM clean GROUP BY 1"),
     "cause_top12": _from_clean("""SELECT event_cause, count(*) AS n_events FROM clean GROUP BY 1
         ORDER BY n_events DESC, event_cause LIMIT 12"""),
     "closure_rate_by_cause": _from_clean(f"""SELECT event_cause, {r6('avg(road_closure)')} AS closure_rate,

@@ -1,7 +1,4 @@
-"""Queries on fitted models. Their results are model output, so most have no SQL check.
-
-Tree counts are kept small here; the library defaults are the full settings.
-"""
+"""Queries on fitted models, at the library's full settings. Their results are model output, so most have no SQL check."""
 
 from __future__ import annotations
 
@@ -15,6 +12,7 @@ from kerbline.models import aft, encode, forecast, studies
 from kerbline.models.impact import ImpactModel
 from kerbline.operators import cleaning, features, metrics, panel, profile, rules, splits, surface, weights
 from kerbline.operators.survival import survival_frame
+from kerbline.plans import space_time
 from kerbline.plans.fixture import Tables, tidy
 from kerbline.session import fresh_path, settle
 from kerbline.sources import tables as published
@@ -22,7 +20,6 @@ from kerbline.sources.incidents import align
 from kerbline.streaming import jobs
 
 _MODELS: dict[tuple, object] = {}
-_TREES, _DURATION_TREES = 8, 6
 
 
 def _once(t: Tables, name: str, build):
@@ -45,21 +42,15 @@ def _test(t: Tables):
     return t.clean_table.where(clock.micros(F.col("start")) > F.lit(_cut(t)))
 
 
-def _small(**more) -> ImpactModel:
-    return ImpactModel(**{"trees": _TREES, "rate": 0.1, "duration_trees": _DURATION_TREES, "duration_rate": 0.1,
-                          **more})
-
-
 def _impact(t: Tables) -> ImpactModel:
     """Fitted on the earlier 80 %."""
-    return _once(t, "impact", lambda: _small().fit(_train(t)))
+    return _once(t, "impact", lambda: ImpactModel().fit(_train(t)))
 
 
 def _scores(t: Tables, side: str):
     events = _train(t) if side == "train" else _test(t)
-    recorded = events.select("id", "start", "event_cause", "corridor", "road_closure", "high_priority", "duration_min")
-    return _once(t, f"scores {side}", lambda: settle(
-        recorded.join(_impact(t).score(events), "id"), f"scores-{side}"))
+    recorded = ["start", "event_cause", "corridor", "road_closure", "high_priority", "duration_min"]
+    return _once(t, f"scores {side}", lambda: settle(_impact(t).score(events, keep=recorded), f"scores-{side}"))
 
 
 def _hotspot(t: Tables) -> forecast.HotspotModel:
@@ -171,35 +162,40 @@ def _study(t: Tables) -> studies.FoldStudy:
 
 def family_compare(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return tidy(studies.family_compare(_study(t), K.CLASSIFIER_FEATURES, trees=4, forest_trees=8, iterations=8))
-
-
-def _quick():
-    return studies.logistic(5)
+    return tidy(studies.family_compare(_study(t), K.FEATURES))
 
 
 def group_ablation(spark, sf_dir):
-    return tidy(studies.group_ablation(_study(Tables(spark, sf_dir)), K.FEATURE_GROUPS, "logistic", _quick))
+    return tidy(studies.group_ablation(_study(Tables(spark, sf_dir)), K.FEATURE_GROUPS, "boosted", studies.boosted))
 
 
 def kde_ablation(spark, sf_dir):
-    return tidy(studies.kde_ablation(_study(Tables(spark, sf_dir)), "logistic", _quick))
+    """On one split: trained on the first 80 %."""
+    t = Tables(spark, sf_dir)
+    study = _once(t, "split study", lambda: studies.FoldStudy(t.clean_table, edges=(0.8, 1.0)))
+    return tidy(studies.kde_ablation(study, "boosted", studies.boosted))
 
 
 def forward_selection(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    chosen = studies.forward_selection(_study(t), ["temporal", "spatial_coord", "cat_core", "text"], "logistic", _quick)
-    return tidy(t.spark.createDataFrame(chosen, "step int, feature_group string, auc double"))
+    return tidy(studies.forward_selection(_study(t), list(K.FEATURE_GROUPS), "boosted", studies.boosted))
 
 
 def grid_search(spark, sf_dir):
-    grid = [(rate, 5, leaves) for rate in (0.1, 0.3) for leaves in (7, 15)]
-    return tidy(studies.grid_search(_study(Tables(spark, sf_dir)), K.CLASSIFIER_FEATURES, grid))
+    return tidy(studies.grid_search(_study(Tables(spark, sf_dir)), K.CLASSIFIER_FEATURES))
 
 
 def permutation_importance(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return tidy(studies.permutation_importance(_impact(t), _test(t), repeats=5))
+    return tidy(_importances(Tables(spark, sf_dir)))
+
+
+def _importances(t: Tables):
+    return _once(t, "importances", lambda: settle(
+        studies.permutation_importance(_impact(t), _test(t), repeats=5), "importances"))
+
+
+def top_drivers(spark, sf_dir):
+    return tidy(studies.top_drivers(_importances(Tables(spark, sf_dir))))
 
 
 def score_events(spark, sf_dir):
@@ -209,8 +205,7 @@ def score_events(spark, sf_dir):
              "start_datetime", "zone"]
     reports = cleaning.clean(align(t.raw.select(known))).where(clock.micros(F.col("start")) > F.lit(_cut(t)))
     reports = settle(reports, "reports")
-    scored = _impact(t).score(reports, history=_train(t))
-    return tidy(rules.recommend(reports.select("id", "event_cause", "corridor").join(scored, "id")))
+    return tidy(rules.recommend(_impact(t).score(reports, history=_train(t), keep=["event_cause", "corridor"])))
 
 
 def recent_recommendations(spark, sf_dir):
@@ -254,17 +249,17 @@ def score_stream(spark, sf_dir):
 
 
 def panel_stream(spark, sf_dir):
-    """Hourly counts of closed hours from the stream."""
+    """Hourly counts from the stream."""
     t = Tables(spark, sf_dir)
     sink, checkpoint = fresh_path(t.spark, "hours"), fresh_path(t.spark, "stream")
     jobs.panel_stream(jobs.report_stream(t.spark, _reports_folder(t)), sink, checkpoint).awaitTermination()
-    return tidy(t.spark.read.parquet(sink))
+    return tidy(jobs.hourly_counts(t.spark, sink))
 
 
 QUERIES = {f.__name__: f for f in [
     closure_model, priority_model, duration_model, score_impact, hotspot_model, hotspot_impact, forecast_panel,
     forecast_cv, corridor_forecast, pred_actual_density, residual_morans_i, aft_model, encode_features,
     family_compare, group_ablation, kde_ablation, forward_selection, grid_search, permutation_importance,
-    score_events, recent_recommendations, publish_tables, score_stream, panel_stream]}
+    top_drivers, score_events, recent_recommendations, publish_tables, score_stream, panel_stream]}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"panel_stream": space_time.ORACLES["panel_counts"]}

@@ -127,6 +127,10 @@ def severity_weight_search(spark, sf_dir):
     return tidy(severity.weight_search(Tables(spark, sf_dir).outcome))
 
 
+def best_severity_weights(spark, sf_dir):
+    return tidy(severity.best_weights(severity.weight_search(Tables(spark, sf_dir).outcome)))
+
+
 def former_severity(spark, sf_dir):
     """The search objective of the former formula."""
     return tidy(severity.former_objective(Tables(spark, sf_dir).outcome).drop("blend"))
@@ -181,7 +185,7 @@ QUERIES = {
         roc_auc, average_precision, brier, best_threshold, confusion, classifier_report, duration_error,
         roc_curve, pr_curve, pr_area, calibration, spearman, concordance, severity_score, severity_tier,
         rec_officers, rec_barricades, rec_diversion, rec_tow_eta, recommend, incident_report,
-        severity_weight_search, former_severity, severity_thresholds, tier_summary, metrics_log,
+        severity_weight_search, best_severity_weights, former_severity, severity_thresholds, tier_summary, metrics_log,
         metrics_flatten]},
 }
 
@@ -376,3 +380,6 @@ ORACLES = {
         SELECT section, metric, value FROM long WHERE metric = 'n_events'
         UNION ALL SELECT section, 'half', value / 2 FROM long WHERE metric = 'n_events'"""),
 }
+# rounding to six places leaves the order of the weightings as it is but for ties, which go by the weights
+ORACLES["best_severity_weights"] = f"""SELECT * FROM ({ORACLES['severity_weight_search']})
+    WHERE objective IS NOT NULL ORDER BY objective DESC, w_closure, w_duration LIMIT 1"""

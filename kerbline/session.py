@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
+_SETTLED: list[str] = []
 
 
 def pin_utc(spark: SparkSession) -> SparkSession:
@@ -18,14 +21,18 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach.
+    """The folder every executor can reach, named in `spark.checkpoint.dir`.
 
-    A cluster names it in `spark.checkpoint.dir`. Only where that is unset (a laptop or a
-    test) a local folder is chosen, once per session.
+    Where that is unset, a local master (a laptop or a test) gets a local folder, which goes when Python ends; on a
+    cluster there is no such folder, so a missing setting is an error.
     """
     named = spark.conf.get(_CHECKPOINT_DIR, None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError(f"{_CHECKPOINT_DIR} must name a folder that all executors of {master} share")
         named = tempfile.mkdtemp(prefix="kerbline-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set(_CHECKPOINT_DIR, named)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -34,7 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _SETTLED.append(path)
+    return path
 
 
 def settle(df, label: str):
@@ -46,3 +55,14 @@ def settle(df, label: str):
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every path given out so far, once no result that reads them is needed. Returns how many there were."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone, _SETTLED[:] = list(_SETTLED), []
+    for path in gone:
+        place = hadoop(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(gone)

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kerbline import schema
 from kerbline.models.impact import ImpactModel
-from kerbline.operators import cleaning, rules
+from kerbline.operators import cleaning, panel, rules
 
 
 def report_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -25,30 +25,48 @@ def report_stream(spark: SparkSession, path: str, files_per_batch: int | None =
 
 def score_batch(raw: DataFrame, model: ImpactModel, history: DataFrame) -> DataFrame:
     """Clean, score against the history, recommend."""
-    events = cleaning.clean(raw)
-    scored = model.score(events, history)
-    return rules.recommend(events.select("id", "event_cause", "corridor").join(scored, "id"))
+    return rules.recommend(model.score(cleaning.clean(raw), history, keep=["event_cause", "corridor"]))
 
 
 def score_stream(raw: DataFrame, model: ImpactModel, history: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Score every batch into its own folder of the sink; a repeated batch replaces its folder."""
+    """Score every batch into its own folder of the sink; a repeated batch replaces its folder.
+
+    Reports of earlier batches count as earlier neighbours: every batch leaves its cleaned events beside the sink, and
+    later ones read those that the history does not have.
+    """
+    spark = raw.sparkSession
+    known = history.select("id")
+
     def write(batch: DataFrame, number: int) -> None:
-        score_batch(batch, model, history).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        own = f"{sink}-events/batch={number}"
+        cleaning.clean(batch).write.mode("overwrite").parquet(own)
+        events = spark.read.parquet(own)
+        seen = history
+        if number:
+            before = spark.read.schema(events.schema.add("batch", "long")).parquet(f"{sink}-events").where(
+                F.col("batch") < number)
+            seen = history.unionByName(before.drop("batch").join(known, "id", "left_anti"), allowMissingColumns=True)
+        scored = model.score(events, seen, keep=["event_cause", "corridor"])
+        rules.recommend(scored).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return (raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def hourly_counts(raw: DataFrame, late: str = "2 hours") -> DataFrame:
-    """(corridor, bin, n_events, n_impact) per local hour, once the hour can no longer change."""
-    events = cleaning.clean(raw).withColumn("start", F.col("start").cast("timestamp"))
-    return (events.withWatermark("start", late)
-            .groupBy("corridor", F.window("start", "1 hour").alias("hour"))
-            .agg(F.count("*").alias("n_events"), F.sum(F.col("road_closure").cast("bigint")).alias("n_impact"))
-            .select("corridor", F.col("hour.start").alias("bin"), "n_events", "n_impact"))
+def panel_stream(raw: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """Keep counts per corridor and local hour: every batch writes the sums of its own reports.
 
+    A repeated batch replaces its own sums, and a report counts however late it comes; `hourly_counts` adds them up.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        panel.panel_counts(cleaning.clean(batch)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-def panel_stream(raw: DataFrame, sink: str, checkpoint: str, late: str = "2 hours") -> StreamingQuery:
-    return (hourly_counts(raw, late).writeStream.outputMode("append").format("parquet")
-            .option("path", sink).option("checkpointLocation", checkpoint)
+    return (raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def hourly_counts(spark: SparkSession, sink: str) -> DataFrame:
+    """(corridor, bin, n_events, n_impact) over all batches so far."""
+    sums = spark.read.parquet(sink)
+    return sums.groupBy("corridor", "bin").agg(
+        F.sum("n_events").alias("n_events"), F.sum("n_impact").alias("n_impact"))

@@ -48,16 +48,48 @@ def test_stream_equals_batch(spark, tables, model):
     assert _sorted(spark.read.parquet(sink).select(batch.columns)) == _sorted(batch)
 
 
-def test_hourly_stream_equals_panel_on_closed_hours(spark, tables):
-    sink, checkpoint = fresh_path(spark, "sink"), fresh_path(spark, "checkpoint")
-    stream = jobs.report_stream(spark, learning._reports_folder(tables))
-    jobs.panel_stream(stream, sink, checkpoint).awaitTermination()
-    got = spark.read.parquet(sink).withColumn("bin", F.col("bin").cast("timestamp_ntz"))
-    closed = tables.clean.agg(F.max("start") - F.expr("interval 3 hours")).first()[0]
-    counts = panel.panel_counts(cleaning.clean(tables.raw))
-    assert _sorted(got.where(F.col("bin") < F.lit(closed).cast("timestamp_ntz"))) == _sorted(
-        counts.where(F.col("bin") < F.lit(closed).cast("timestamp_ntz")))
+def test_hourly_stream_equals_panel(spark, tables):
+    """All hours, with reports that arrive long after their hour."""
+    sink, checkpoint, folder = (fresh_path(spark, n) for n in ("sink", "checkpoint", "late"))
+    raw = tables.raw.repartition(3)
+    for part in raw.randomSplit([1.0, 1.0, 1.0], seed=1):
+        part.write.mode("append").parquet(folder)
+    jobs.panel_stream(jobs.report_stream(spark, folder, files_per_batch=2), sink, checkpoint).awaitTermination()
+    assert _sorted(jobs.hourly_counts(spark, sink)) == _sorted(panel.panel_counts(cleaning.clean(tables.raw)))
+
+
+def test_forecaster_tells_many_corridors_apart(spark):
+    from kerbline.models.forecast import HotspotModel
+
+    loads = [(f"C{i:04d}", float(i % 7) / 3) for i in range(300)]
+    frame = spark.createDataFrame(loads, "corridor string, n_events double").withColumn("n_impact", F.lit(0.0))
+    model = HotspotModel()
+    model.learn_loads(frame)
+    assert model.loads.where("not is_overall").count() == 300
+    assert model.loads.where("corridor = 'C0299'").first()["load_n_events"] > model.loads.where(
+        "corridor = 'C0294'").first()["load_n_events"]
+
+
+def test_forward_selection_covers_all_groups(tables):
+    from kerbline import constants as K
+    from kerbline.models import studies
+
+    study = studies.FoldStudy(tables.clean_table)
+    table = studies.forward_selection(study, list(K.FEATURE_GROUPS), "logistic", lambda: studies.logistic(2)).collect()
+    assert {r["candidate"] for r in table if r["step"] == 1} == set(K.FEATURE_GROUPS)
+    joined = [r for r in table if r["joins"]]
+    assert [r["step"] for r in joined] == list(range(1, len(joined) + 1))
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from kerbline import session
 
+    conf = SimpleNamespace(get=lambda key, other=None: other)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        session.shared_dir(cluster)
 
 def test_forecast_covers_the_panel(spark):
     rows = learning.forecast_panel(spark, SF)
