@@ -28,7 +28,7 @@ LEAST_GAIN = 0.0005
 _KERNELS = ["kde_intensity", "kde_gathering", "kde_accident"]
 _DENSITY = ["hist_density_1km", "hist_density_3km"]
 DROPPED = {"full": [], "no_kde": _KERNELS, "no_density": _DENSITY, "neither": _KERNELS + _DENSITY}
-_JOBS_AT_ONCE = 4
+_JOBS_AT_ONCE = 8
 
 
 def boosted(trees: int = 600, rate: float = 0.05, depth: int = 5) -> GBTClassifier:

@@ -71,7 +71,7 @@ def recommend(scored: DataFrame) -> DataFrame:
     tiered = tiered.withColumn("severity_tier", severity_tier(p, F.col("severity_score")))
     tier = F.col("severity_tier")
     return tiered.withColumns({
-        "severity_score": F.bround("severity_score", 3),
+        "severity_score": F.rint(F.col("severity_score") * 1000) / 1000,
         "rec_officers": officers(tier, p, minutes),
         "rec_barricades": barricades(tier, p, cause),
         "rec_diversion": diversion(tier, p),

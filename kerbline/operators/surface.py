@@ -53,11 +53,14 @@ def _smooth(cells: DataFrame, axis: str, other: str, bins: int, taps: list[tuple
 
 
 def kde_surface(points: DataFrame, bins: int = 160, sigma: float = 3.0) -> DataFrame:
-    """(ix, iy, intensity) of the smoothed histogram; cells beyond every kernel are absent."""
+    """(ix, iy, intensity) of the smoothed histogram for every one of bins x bins cells; 0 beyond every kernel."""
     taps = gaussian_taps(sigma)
     counts = grid_counts(points, bins=bins)
     smooth = _smooth(_smooth(counts, "iy", "ix", bins, taps), "ix", "iy", bins, taps)
-    return smooth.withColumnRenamed("n", "intensity")
+    cells = points.sparkSession.range(bins * bins).select(
+        F.expr(f"CAST(id DIV {bins} AS INT)").alias("ix"), F.expr(f"CAST(id % {bins} AS INT)").alias("iy"))
+    return cells.join(smooth, ["ix", "iy"], "left").select(
+        "ix", "iy", F.coalesce("n", F.lit(0.0)).alias("intensity"))
 
 
 def density2d(df: DataFrame, x: str, y: str, bins: int = 30) -> DataFrame:

@@ -166,7 +166,7 @@ def target_encoding(spark, sf_dir):
 def cap_categories(spark, sf_dir):
     frame = features.feature_frame(Tables(spark, sf_dir).clean_table, keep=["id"],
                                    features=["event_cause", "junction", "police_station", "pin", "cause_corridor"])
-    return features.cap_categories(frame, most=40)
+    return features.cap_categories(frame)
 
 
 def lead_time(spark, sf_dir):
@@ -374,7 +374,8 @@ def _smoothed(layer: str, where: str) -> str:
       pass2 AS (SELECT i - k AS ix, iy, sum(n * w) AS n
                 FROM (SELECT iy, n, unnest([ix, -1 - ix, 319 - ix]) AS i FROM pass1), taps
                 WHERE i - k BETWEEN 0 AND 159 GROUP BY ALL)
-      SELECT * FROM pass2)"""
+      SELECT CAST(a.i AS INTEGER) AS ix, CAST(b.i AS INTEGER) AS iy, coalesce(p.n, 0) AS n
+      FROM range(160) a(i), range(160) b(i) LEFT JOIN pass2 p ON p.ix = a.i AND p.iy = b.i)"""
 
 
 FEATURE_FRAME_SQL = with_ctes(["clean", "neighbourhood", "rates"], f"""
@@ -431,7 +432,7 @@ ORACLES = {
     "feature_frame": FEATURE_FRAME_SQL,
     "target_encoding": with_ctes(["clean", "rates"], f"SELECT id, {r6('rate')} AS corridor_event_rate "
                                                      "FROM clean JOIN rates USING (corridor)"),
-    "cap_categories": _capped(["event_cause", "junction", "police_station", "pin", "cause_corridor"], 40),
+    "cap_categories": _capped(["event_cause", "junction", "police_station", "pin", "cause_corridor"], 250),
     "lead_time": _from_clean("SELECT id, event_type, "
                              + r6("(epoch_us(start_datetime) - epoch_us(created_date)) / 3.6e9")
                              + " AS lead_hours FROM clean"),

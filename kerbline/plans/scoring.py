@@ -113,7 +113,7 @@ def rec_tow_eta(spark, sf_dir):
 
 def recommend(spark, sf_dir):
     return _recommended(spark, sf_dir).select(
-        "id", "event_cause", "severity_tier", "rec_officers", "rec_barricades", "rec_diversion",
+        "id", "event_cause", "severity_score", "severity_tier", "rec_officers", "rec_barricades", "rec_diversion",
         "rec_tow_crane", "rec_eta_minutes")
 
 
@@ -169,6 +169,28 @@ def metrics_log(spark, sf_dir):
     return tidy(metric_store.read_metrics(t.spark, path).withColumn("value", F.col("value").cast("double")))
 
 
+def metrics_snapshot(spark, sf_dir):
+    """The latest results replaced twice and read back."""
+    t = Tables(spark, sf_dir)
+    path = fresh_path(t.spark, "snapshot")
+    for _ in range(2):
+        metric_store.write_snapshot(_table_metrics(t), path)
+    return tidy(metric_store.read_snapshot(t.spark, path).withColumn("value", F.col("value").cast("double")))
+
+
+def metrics_results(spark, sf_dir):
+    """One nested results document in a file, with a `_meta` section, flattened."""
+    t = Tables(spark, sf_dir)
+    path = fresh_path(t.spark, "results")
+    sections = _table_metrics(t).groupBy("section").agg(
+        F.map_from_entries(F.collect_list(F.struct("metric", F.col("value").cast("string")))).alias("m"))
+    meta = F.create_map(F.lit("_meta"), F.create_map(F.lit("n"), F.lit("1")))
+    document = sections.agg(F.to_json(F.map_concat(F.map_from_entries(F.collect_list(F.struct("section", "m"))), meta)))
+    document.write.text(path)
+    found = metric_store.read_results(t.spark, path)
+    return tidy(found.withColumn("value", F.col("value").cast("double")))
+
+
 def metrics_flatten(spark, sf_dir):
     """One nested document per cause and a `_meta` section, flattened."""
     t = Tables(spark, sf_dir)
@@ -185,7 +207,8 @@ QUERIES = {
         roc_auc, average_precision, brier, best_threshold, confusion, classifier_report, duration_error,
         roc_curve, pr_curve, pr_area, calibration, spearman, concordance, severity_score, severity_tier,
         rec_officers, rec_barricades, rec_diversion, rec_tow_eta, recommend, incident_report,
-        severity_weight_search, best_severity_weights, former_severity, severity_thresholds, tier_summary, metrics_log,
+        severity_weight_search, best_severity_weights, former_severity, severity_thresholds, tier_summary, metrics_log, metrics_snapshot,
+        metrics_results,
         metrics_flatten]},
 }
 
@@ -333,8 +356,8 @@ ORACLES = {
     "rec_barricades": with_ctes(["ruled"], f"SELECT id, {_BARRICADES} AS rec_barricades FROM ruled"),
     "rec_diversion": with_ctes(["ruled"], f"SELECT id, {_DIVERSION} AS rec_diversion FROM ruled"),
     "rec_tow_eta": with_ctes(["ruled"], f"SELECT id, {_TOW} AS rec_tow_crane, {_ETA} AS rec_eta_minutes FROM ruled"),
-    "recommend": with_ctes(["ruled"], f"""SELECT id, event_cause, tier AS severity_tier, {_OFFICERS} AS rec_officers,
-        {_BARRICADES} AS rec_barricades, {_DIVERSION} AS rec_diversion, {_TOW} AS rec_tow_crane,
+    "recommend": with_ctes(["ruled"], f"""SELECT id, event_cause, round_even(score, 3) AS severity_score,
+        tier AS severity_tier, {_OFFICERS} AS rec_officers, {_BARRICADES} AS rec_barricades, {_DIVERSION} AS rec_diversion, {_TOW} AS rec_tow_crane,
         {_ETA} AS rec_eta_minutes FROM ruled"""),
     "incident_report": with_ctes(["ruled"], f"""SELECT id, event_cause, {_RISK} AS closure_risk, {_TIME} AS duration,
         tier AS severity_tier, {_COLOUR} AS severity_colour, {_OFFICERS} AS rec_officers,
@@ -376,6 +399,10 @@ ORACLES = {
     "metrics_log": with_ctes(["scored"], _METRIC_ROWS + """
         SELECT ts, section, metric, round_even(value, 4) AS value
         FROM long, (VALUES ('2024-01-01T00:00:00'), ('2024-01-02T00:00:00')) r(ts)"""),
+    "metrics_snapshot": with_ctes(["scored"], _METRIC_ROWS + """
+        SELECT section, metric, round_even(value, 4) AS value FROM long"""),
+    "metrics_results": with_ctes(["scored"], _METRIC_ROWS + f"""
+        SELECT section, metric, {r6('value')} AS value FROM long"""),
     "metrics_flatten": with_ctes(["scored"], _METRIC_ROWS + """
         SELECT section, metric, value FROM long WHERE metric = 'n_events'
         UNION ALL SELECT section, 'half', value / 2 FROM long WHERE metric = 'n_events'"""),

@@ -64,6 +64,12 @@ def how_profile(spark, sf_dir):
     return tidy(panel.how_profile(Tables(spark, sf_dir).panel))
 
 
+def how_matrix(spark, sf_dir):
+    """One row per corridor, one column per hour of the week."""
+    wide = panel.how_matrix(panel.how_profile(Tables(spark, sf_dir).panel))
+    return tidy(wide.select("corridor", *[F.col(f"`{h}`").alias(f"h{h}") for h in range(168)]))
+
+
 def top_corridors(spark, sf_dir):
     return tidy(panel.top_by_load(Tables(spark, sf_dir).panel))
 
@@ -149,7 +155,7 @@ QUERIES = {
     "hrs_since_nearby": _near("hrs_since_nearby"),
     **{f.__name__: f for f in [
         corridor_centroids, spatial_weights, panel_counts, panel_dense, panel_calendar, panel_lags, panel_rolls,
-        spatial_lag, panel_features, seasonal_naive, how_profile, top_corridors, top_corridors_how, map_columns,
+        spatial_lag, panel_features, seasonal_naive, how_profile, how_matrix, top_corridors, top_corridors_how, map_columns,
         corridor_mean_baseline, forecast_skill, pred_actual_corr, morans_i, time_split, rolling_folds,
         quantile_folds, fold_sizes, union_history, cv_summary]},
 }
@@ -208,6 +214,9 @@ ORACLES = {
         lag(n_events, 168) OVER (PARTITION BY corridor ORDER BY panel.bin) AS snaive FROM panel"""),
     "how_profile": with_ctes(["panel"], f"""SELECT corridor, CAST({_HOUR} AS INTEGER) AS how,
         {r6('avg(n_events)')} AS mean_value FROM panel GROUP BY 1, 2"""),
+    "how_matrix": with_ctes(["panel"], "SELECT corridor, " + ", ".join(
+        r6(f"coalesce(avg(n_events) FILTER ({_HOUR} = {h}), 0)") + f" AS h{h}" for h in range(168))
+        + " FROM panel GROUP BY 1"),
     "top_corridors": with_ctes(["panel"], f"""SELECT corridor, {r6('avg(n_events)')} AS mean_value FROM panel
         GROUP BY 1 ORDER BY avg(n_events) DESC, corridor LIMIT 8"""),
     "top_corridors_how": with_ctes(["panel"], f"""

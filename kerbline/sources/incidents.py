@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,21 +19,32 @@ CSV_NULL_TOKENS = [
 ]
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """A CSV export with a header, in any column order, to the raw schema.
+def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """A CSV export with headers, to the raw schema. Every file may have its own column order.
 
-    All columns are read as text (no inference pass over the data); `multiline` is only for
-    exports with line breaks inside quotes, because such files cannot be split.
+    All columns are read as text (no inference pass over the data). Only the first line of each file is read to find
+    its header, and files with one header are read together. Line breaks inside quotes are kept; such files cannot be
+    split, so say `multiline=False` for exports without them. A row with too few or too many fields raises when the
+    rows are read, instead of being shifted or lost.
     """
     pin_utc(spark)
-    header = spark.read.option("header", True).csv(path).columns
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file in spark.read.text(path).inputFiles():
+        header = spark.read.option("header", True).option("multiLine", multiline).csv(file).columns
+        by_header.setdefault(tuple(header), []).append(file)
+    if not by_header:
+        return align(spark.createDataFrame([], T.StructType([])))
+    parts = [align(_csv_files(spark, files, header, multiline)) for header, files in sorted(by_header.items())]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _csv_files(spark: SparkSession, files: list[str], header: tuple[str, ...], multiline: bool) -> DataFrame:
     text = T.StructType([T.StructField(c, T.StringType()) for c in header])
     df = (spark.read.schema(text)
-          .option("header", True).option("multiLine", multiline)
-          .option("quote", '"').option("escape", '"')
-          .csv(path))
-    df = df.select([F.when(~F.col(c).isin(CSV_NULL_TOKENS), F.col(c)).alias(c) for c in df.columns])
-    return align(df)
+          .option("header", True).option("enforceSchema", False).option("multiLine", multiline)
+          .option("mode", "FAILFAST").option("quote", '"').option("escape", '"')
+          .csv(files))
+    return df.select([F.when(~F.col(c).isin(CSV_NULL_TOKENS), F.col(c)).alias(c) for c in df.columns])
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

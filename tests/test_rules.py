@@ -75,3 +75,16 @@ def test_incoming_rows(spark):
     clean = {r.id: r for r in cleaning.clean(incidents.incoming(spark, rows)).collect()}
     assert clean["NEW1"].is_gathering == 1 and clean["NEW1"].veh_type == "unknown"
     assert clean["NEW2"].zone == "unknown" and clean["NEW2"].duration_min is None
+
+
+def test_csv_files_of_several_orders_and_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,description,start_datetime\nA1,"two\nlines, ""quoted""",2024-01-01 00:00:00+00\n')
+    (tmp_path / "b.csv").write_text("start_datetime,id,description\n2024-01-02 00:00:00+00,B1,plain\n")
+    rows = {r.id: r.description for r in incidents.read_csv(spark, str(tmp_path)).collect()}
+    assert rows == {"A1": 'two\nlines, "quoted"', "B1": "plain"}
+
+
+def test_broken_csv_rows_raise(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,description\nA1,x\nA2,x,y\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        incidents.read_csv(spark, str(tmp_path)).collect()
