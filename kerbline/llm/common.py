@@ -30,11 +30,9 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
 
 
-def lookup(rows: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Joins a settled table: broadcast when its count is within the bound, else a join whose skew Spark can split."""
-    if small.count() <= BROADCAST_ROWS:
-        small = F.broadcast(small)
-    return rows.join(small, on, how)
+def bounded(small: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its count is within the bound; beyond it, Spark chooses the join."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
 def running(rows: DataFrame, by: list[str], order: list[str], weight: str, before: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import WORD, lookup, permuted, running
+from kerbline.llm.common import WORD, bounded, permuted, running
 from kerbline.session import settle
 
 BLOCK_WORDS = 256
@@ -99,8 +99,7 @@ class Mix:
         self.sources = settle(targets(sizes, weights, total, most), "mix-sources")
         self.slots = slots(self.sources, block_words, seed, SHARD_SLOTS)
         names = self.sources.select(F.col("source").alias("__source"), "sid")
-        few = names.count() <= 100_000
-        ranked = self.rows.join(F.broadcast(names) if few else names, F.col("source").eqNullSafe(F.col("__source")))
+        ranked = self.rows.join(bounded(names), F.col("source").eqNullSafe(F.col("__source")))
         ranked = ranked.drop("__source").where("size > 0")
         placed = running(ranked, ["sid"], ["doc_id", "hash", "size"], "size", "start")
         cut = placed.withColumn("block", F.explode(F.expr(
@@ -120,9 +119,7 @@ class Mix:
         """Per document row: doc_id, size, source_size, target, taken. Documents without words take none."""
         sums = self.pieces.groupBy("row").agg(F.sum(F.expr("words * full + part")).alias("taken"))
         rows = self.rows.join(sums, "row", "left").withColumnRenamed("source", "__source")
-        small = self.sources
-        small = F.broadcast(small) if small.count() <= 100_000 else small
-        return rows.join(small, F.col("__source").eqNullSafe(F.col("source"))).select(
+        return rows.join(bounded(self.sources), F.col("__source").eqNullSafe(F.col("source"))).select(
             "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 

@@ -79,7 +79,26 @@ _SEARCH = """
                row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id) AS rank
         FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0) WHERE rank <= 20"""
 
+_LINKED = r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
+          FROM w WHERE len(w) > 0),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id
+          GROUP BY ALL),
+    l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+          WHERE 100 * c >= 90 * (a.n + b.n - c)),
+    both_ways AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+    reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.y, d.doc_id)) AS component_id
+    FROM documents d LEFT JOIN n USING (doc_id)
+    LEFT JOIN (SELECT x, min(y) AS y FROM reach GROUP BY 1) m ON m.x = d.doc_id"""
+
 ORACLES = {
+    "op8_ngram_join": _LINKED,
     "op6_vantage_trees": _SEARCH,
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWERED}) AS text_sha256 FROM documents)
