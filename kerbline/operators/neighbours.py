@@ -4,9 +4,9 @@ Only strictly earlier events count. The join is a grid equi-join, arranged so th
 not grow with the square of a hot place:
 
 * events of one place and moment are added up on both sides, so copies cost one row;
-* with many events per place, time is cut into blocks of about equal counts. Earlier blocks
-  enter as one row per place and block and are carried forward by a running sum per place; only
-  events of the same block meet one by one. The number of blocks follows the events per place;
+* time is cut into blocks of about equal counts. Earlier blocks enter as one row per place and
+  block and are carried forward by a running sum per place; only events of the same block meet
+  one by one. The number of blocks follows the busiest place, up to 1,024;
 * crowded cells are split on both sides by a salt, one task per part; sums over parts add up;
 * pairs are summed where they are found, never stored.
 """
@@ -21,6 +21,7 @@ from kerbline.constants import (DENSITY_RADII_KM, KERNEL_CUTOFF_KM, NARROW_BANDW
                                 RECENCY_CAP_HOURS, RECENCY_RADIUS_KM, WIDE_BANDWIDTH_KM)
 from kerbline.functions import clock, geo
 from kerbline.operators.ordered import bucketed, slice_limits
+from kerbline.session import settle
 
 SITE = ["latitude", "longitude"]
 FEATURES = ["hist_density_1km", "hist_density_3km", "kde_intensity", "kde_gathering",
@@ -29,7 +30,7 @@ _SUMS = FEATURES[:6]
 
 _STEP_DEGREES = KERNEL_CUTOFF_KM / 2 / geo.KM_PER_DEGREE
 _MOST_BLOCKS = 1024
-_DENSE_ENOUGH = 4.0        # events per place from which blocks pay off
+_BLOCK_MOMENTS = 8         # moments of the busiest place that one block holds about
 _MOST_COVER = 36           # cells one place may look into (away from the poles)
 _ROWS_PER_PART = 20_000    # rows of one cell a part may hold on either side
 _MOST_HOT_CELLS = 50_000   # bound of the broadcast list of crowded cells
@@ -46,13 +47,13 @@ def _moments(events: DataFrame) -> DataFrame:
                  F.sum(F.col("road_closure").cast("bigint")).alias("n_closure")))
 
 
-def _shape(moments: DataFrame) -> tuple[int, float, list[float]]:
-    """Row count, events per place and time quantiles, in one small aggregate."""
-    row = moments.agg(
-        F.count("*").alias("rows"),
-        F.approx_count_distinct(F.struct(*SITE)).alias("places"),
-        slice_limits("t", _MOST_BLOCKS).alias("cuts")).first()
-    return row["rows"], row["rows"] / max(row["places"], 1), row["cuts"] or []
+def _shape(moments: DataFrame) -> tuple[int, int, list[float]]:
+    """Row count, moments of the busiest place, and time quantiles."""
+    per_place = moments.groupBy(*SITE).agg(F.count("*").alias("moments"))
+    busiest = per_place.agg(F.sum("moments").alias("rows"), F.max("moments").alias("busiest")).first()
+    # the cuts halve the busiest place's events too, if its events are spread like all others; they only balance work
+    cuts = moments.agg(slice_limits("t", _MOST_BLOCKS).alias("cuts")).first()["cuts"]
+    return busiest["rows"] or 0, busiest["busiest"] or 0, cuts or []
 
 
 def _split(side: DataFrame, keys: list[str], rows: int, parts: str) -> DataFrame:
@@ -169,11 +170,12 @@ def causal_neighbourhood(events: DataFrame, history: DataFrame | None = None,
     `history` is where earlier events are looked up; by default the events themselves.
     `blocks` fixes the number of time blocks (chosen from the data by default).
     """
-    source = _moments(events if history is None else history)
-    query = source.select(*SITE, "t") if history is None else _moments(events).select(*SITE, "t")
-    rows, per_place, cuts = _shape(source)
+    source = settle(_moments(events if history is None else history), "moments")
+    query = source.select(*SITE, "t") if history is None else settle(
+        _moments(events).select(*SITE, "t"), "asked-moments")
+    rows, busiest, cuts = _shape(source)
     if blocks is None:
-        blocks = min(_MOST_BLOCKS, int(per_place)) if per_place >= _DENSE_ENOUGH else 1
+        blocks = min(_MOST_BLOCKS, max(1, busiest // _BLOCK_MOMENTS))
 
     if blocks > 1:
         every = max(1, len(cuts) // blocks)
@@ -196,7 +198,11 @@ def causal_neighbourhood(events: DataFrame, history: DataFrame | None = None,
     hours = (F.col("t") - F.col("last_t")) / F.lit(3.6e9)
     found = found.select(*SITE, "t", *_SUMS, F.least(hours, F.lit(RECENCY_CAP_HOURS)).alias("hrs_since_nearby"))
     defaults = {c: 0 for c in _SUMS[:2]} | {c: 0.0 for c in _SUMS[2:]}
-    return (events.withColumn("t", clock.micros(F.col("start")))
-            .join(found, [*SITE, "t"], "left")
-            .drop("t")
-            .fillna(defaults | {"hrs_since_nearby": RECENCY_CAP_HOURS}))
+    nothing = defaults | {"hrs_since_nearby": RECENCY_CAP_HOURS}
+    # rows that can have no neighbour would all meet in one task under a null key
+    placed = F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("start").isNotNull()
+    located = (events.where(placed).withColumn("t", clock.micros(F.col("start")))
+               .join(found, [*SITE, "t"], "left").drop("t").fillna(nothing))
+    kinds = dict(found.dtypes)
+    return located.unionByName(events.where(~placed).withColumns(
+        {c: F.lit(v).cast(kinds[c]) for c, v in nothing.items()}))
