@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kerbline import schema
 from kerbline.constants import CAUSE_SYNONYMS, GATHERING_CAUSES, MAX_CLEARANCE_MIN, NO_CORRIDOR
 from kerbline.functions import clock, text
+from kerbline.session import lookup
 from kerbline.sources.incidents import align, null_literals
 
 
@@ -102,7 +103,8 @@ def lead_hours(clean_events: DataFrame) -> DataFrame:
 
 def impute_location(events: DataFrame, centroids: DataFrame, centre: tuple[float, float]) -> DataFrame:
     """Missing coordinates take the corridor's centroid, else the city centre."""
-    known = centroids.select("corridor", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
+    known = lookup(centroids.select("corridor", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon")),
+                   "centroids")
     return (events.join(known, "corridor", "left")
             .withColumns({
                 "latitude": F.coalesce("latitude", "_lat", F.lit(centre[0])),

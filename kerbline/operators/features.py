@@ -12,6 +12,7 @@ from kerbline.constants import (CATEGORICAL_FEATURES, CITY_CENTRE, FEATURE_GROUP
                                 NO_CORRIDOR, OTHER_LEVEL)
 from kerbline.functions import clock, geo, text
 from kerbline.operators.neighbours import causal_neighbourhood
+from kerbline.session import lookup
 
 _NEIGHBOURHOOD = set(FEATURE_GROUPS["density_kde"] + FEATURE_GROUPS["recency"])
 
@@ -65,8 +66,9 @@ def closure_rates(clean_events: DataFrame) -> DataFrame:
 def target_encoding(events: DataFrame, rates: DataFrame) -> DataFrame:
     """Look the corridor's rate up; unseen corridors take the plain mean of the rates.
 
-    The rates hold one row per corridor; the optimiser broadcasts them while they are small.
+    The rates hold one row per corridor; they are broadcast while their count is within the bound.
     """
+    rates = lookup(rates, "corridor-rates")
     overall = rates.agg(F.avg("corridor_event_rate")).scalar()
     return (events.join(rates, "corridor", "left")
             .withColumn("corridor_event_rate",

@@ -57,6 +57,19 @@ def settle(df, label: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A settled lookup of at most so many rows may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def lookup(df, label: str):
+    """A lookup table, written and counted: broadcast within the bound, so that the large side need not be shuffled by
+    a key that few values dominate; beyond the bound the join is left to Spark, which splits skewed keys of tables."""
+    from pyspark.sql import functions as F
+
+    table = settle(df, label)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def release(spark: SparkSession) -> int:
     """Delete every path given out so far, once no result that reads them is needed. Returns how many there were."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path

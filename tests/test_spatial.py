@@ -118,3 +118,11 @@ def test_few_corridors_and_constant_values(spark):
     assert all(r.s == pytest.approx(1) and r.n == 2 for r in sums) and edges.where("src = dst").count() == 0
     flat = df.select("corridor", F.lit(2.0).alias("value"))
     assert weights.morans_i(flat, edges).first()[0] is None
+
+
+def test_lookups_do_not_shuffle_the_events(spark):
+    from kerbline.operators import features
+
+    events = spark.range(1000).selectExpr("id", "concat('c', id % 3) AS corridor", "CAST(id % 2 AS INT) AS road_closure")
+    plan = features.target_encoding(events, features.closure_rates(events))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(corridor" not in plan
