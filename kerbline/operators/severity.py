@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kerbline import constants as K
 from kerbline.operators import ordered
 from kerbline.operators.rules import barricade_cause
+from kerbline.session import settle
 
 _D = "double"
 
@@ -43,14 +44,17 @@ def rank_objective(parts: DataFrame, blends: list[tuple[float, float, float, flo
     """Per blend (weights of PARTS, 256 blends at most): Spearman of the blended score against
     closure, against known duration, and their mean.
 
-    The ranks of the recorded facets do not depend on the blend, so they are made once. Each
-    event then gives one row per blend; equal scores are added up before anything is ordered.
+    The ranks of the recorded facets do not depend on the blend, so they are made once. Equal
+    events are added up first; each distinct one then gives one row per blend, and equal scores
+    are added up again before anything is ordered.
     """
-    facets = parts.withColumn("known", F.col("real_duration").isNotNull().cast("bigint"))
-    size = facets.agg(F.count("*").alias("all"), F.coalesce(F.sum("known"), F.lit(0)).alias("known")).first()
+    facets = settle(parts.groupBy("real_closure", "real_duration", *PARTS).agg(F.count("*").alias("m")).withColumn(
+        "known", F.col("real_duration").isNotNull().cast("bigint")), "distinct-events")
+    size = facets.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("all"),
+                      F.coalesce(F.sum(F.col("known") * F.col("m")), F.lit(0)).alias("known")).first()
     middle_all, middle_known = F.lit((size["all"] + 1) / 2.0), F.lit((size["known"] + 1) / 2.0)
-    closure_rank = ordered.average_ranks(facets, "real_closure", rank="rank_c")
-    duration_rank = ordered.average_ranks(facets, "real_duration", rank="rank_d")
+    closure_rank = ordered.average_ranks(parts, "real_closure", rank="rank_c")
+    duration_rank = ordered.average_ranks(parts, "real_duration", rank="rank_d")
     facets = (facets.join(F.broadcast(closure_rank), "real_closure")  # two rows: closed or not
               .join(duration_rank, "real_duration", "left")
               .select("*", (F.col("rank_c") - middle_all).alias("c"), (F.col("rank_d") - middle_known).alias("d")))
@@ -58,11 +62,12 @@ def rank_objective(parts: DataFrame, blends: list[tuple[float, float, float, flo
         f"named_struct('blend', {i}, " + ", ".join(f"'w_{p}', {float(w)!r}D" for p, w in zip(PARTS, weights)) + ")"
         for i, weights in enumerate(blends)) + ")")
     score = sum((F.col(f"w_{p}") * F.col(p) for p in PARTS[1:]), F.col("w_closure") * F.col("closure"))
-    long = (facets.select("known", "c", "d", *PARTS, F.inline(choices))
-            .select("known", "c", "d", "blend", F.rint(score * 1e12).alias("score")))
+    long = (facets.select("known", "c", "d", "m", *PARTS, F.inline(choices))
+            .select("known", "c", "d", "m", "blend", F.rint(score * 1e12).alias("score")))
+    m = F.col("m")
     totals = ordered.running_totals(long, "score", {
-        "n": F.count("*"), "k": F.sum("known"), "c": F.sum("c"), "d": F.sum("d"),
-        "cc": F.sum(F.col("c") * F.col("c")), "dd": F.sum(F.col("d") * F.col("d")),
+        "n": F.sum("m"), "k": F.sum(F.col("known") * m), "c": F.sum(F.col("c") * m), "d": F.sum(F.col("d") * m),
+        "cc": F.sum(F.col("c") * F.col("c") * m), "dd": F.sum(F.col("d") * F.col("d") * m),
     }, by=["blend"], few_groups=True)
     n, k = F.col("n").cast(_D), F.col("k").cast(_D)
     ranked = totals.withColumns({

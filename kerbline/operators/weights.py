@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kerbline.constants import MIN_CENTROID_KM, NEIGHBOURS
 from kerbline.functions import geo
+from kerbline.session import settle
 
 _FINEST_KM = 0.1
 _LEVELS = 15              # cell sizes 0.1 km, 0.2 km, ... 1638.4 km
@@ -81,14 +82,15 @@ def morans_i(values: DataFrame, edges: DataFrame, name: str = "corridor", value:
 
     Names of the edge list without a value count as 0; values outside the edge list are left out.
     """
-    # Both tables are read several times and have a few rows per name.
-    edges, values = edges.persist(), values.select(name, value).persist()
+    # Read several times, and a few rows per name: written once, so that nothing has to be held in memory.
+    edges = settle(edges, "edges")
     names = edges.select(F.col("src").alias(name)).union(edges.select(F.col("dst"))).distinct()
-    held = (names.join(values.select(name, F.col(value).cast("double").alias("x")), name, "left")
-            .fillna(0.0, ["x"])).persist()
-    size = held.agg(F.count("*").alias("n"), F.avg("x").alias("mean")).first()
+    held = settle(names.join(values.select(name, F.col(value).cast("double").alias("x")), name, "left")
+                  .fillna(0.0, ["x"]), "held")
+    size = held.agg(F.count("*").alias("n"), F.avg("x").alias("mean"),
+                    (F.var_pop("x") * F.count("*")).alias("own")).first()
     centred = held.select(name, (F.col("x") - F.lit(size["mean"])).alias("x"))
-    own = centred.agg(F.sum(F.col("x") * F.col("x"))).first()[0]
+    own = size["own"]
     crossed = (edges.join(centred.select(F.col(name).alias("src"), F.col("x").alias("xs")), "src")
                .join(centred.select(F.col(name).alias("dst"), F.col("x").alias("xd")), "dst")
                .agg(F.sum("w").alias("total"), F.sum(F.col("w") * F.col("xs") * F.col("xd")).alias("cross")))
