@@ -66,11 +66,12 @@ def _band(size: int) -> int:
     return int(np.searchsorted(_EDGES, size, side="right")) - 1
 
 
-def piece_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """The keys under which a set meets every set that it may be linked with."""
-    n, keys = len(hashes), []
+def piece_keys(hashes: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The keys under which a set meets every set that it may be linked with, and how many of them the other set has
+    at least, in the band of the smaller set, if none of its pieces differs."""
+    n, keys, own = len(hashes), [], 0
     if not n:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int64), 0
     for g in range(_band(-(-n * percent // 100)), _band(n) + 1):
         d = (int(_EDGES[g + 1]) - 1) * (100 - percent) // percent
         if not d:
@@ -84,7 +85,8 @@ def piece_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
         empty = np.count_nonzero(bits == 0)
         used = np.arange(p) if empty > e else np.flatnonzero(bits)
         keys.append(_mix(bits[used] ^ _mix(np.uint64(g << 34) + used.astype(np.uint64))))
-    return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
+        own = p - min(empty, e)  # the own band comes last
+    return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64), own
 
 
 def coarse(hashes: np.ndarray) -> np.ndarray:
@@ -100,8 +102,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sketches(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Per row: id, n (set size), h1 and h2 (the set's hash), keys, s0.. (second sketch)."""
-    names = ["id", "n", "h1", "h2", "keys", *[f"s{i}" for i in range(_COARSE)]]
+    """Per row: id, n (set size), h1 and h2 (the set's hash), keys, own (keys of its band that count), s0.. (second sketch)."""
+    names = ["id", "n", "h1", "h2", "keys", "own", *[f"s{i}" for i in range(_COARSE)]]
 
     def work(batches):
         for batch in batches:
@@ -112,14 +114,15 @@ def sketches(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
                 h1 = np.array([np.add.reduce(s) for s in sets], dtype=np.uint64).view(np.int64)
                 h2 = np.array([np.bitwise_xor.reduce(_mix(s + np.uint64(1))) for s in sets], np.uint64).view(np.int64)
                 rough = np.array([coarse(s) for s in sets])
-                keys = pa.array([piece_keys(s, percent) for s in sets], pa.list_(pa.int64()))
+                keys, own = zip(*(piece_keys(s, percent) for s in sets))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), keys,
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2),
+                     pa.array(keys, pa.list_(pa.int64())), pa.array(own, pa.int64()),
                      *[pa.array(np.ascontiguousarray(rough[:, i])) for i in range(_COARSE)]], names=names)
 
     kind = docs.schema[key].dataType.simpleString()
     more = "".join(f", s{i} long" for i in range(_COARSE))
-    return docs.select(key, text).mapInArrow(work, f"id {kind}, n long, h1 long, h2 long, keys array<long>" + more)
+    return docs.select(key, text).mapInArrow(work, f"id {kind}, n long, h1 long, h2 long, keys array<long>, own long" + more)
 
 
 @contextmanager
@@ -182,7 +185,7 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     usable = made.where("n > 0 and id is not null").withColumn("bit", F.xxhash64("h1", "h2"))
     copies = settle(fold(repeated(usable.select("bit")), _FILTER_WORDS), "copies")
     usable = with_hits(usable, "bit", copies, _FILTER_WORDS)
-    sketch = ["n", "keys", *[f"s{i}" for i in range(_COARSE)]]
+    sketch = ["n", "keys", "own", *[f"s{i}" for i in range(_COARSE)]]
     equal = usable.where("__hit").groupBy("h1", "h2")
     once = settle(equal.agg(F.min("id").alias("node"), *[F.first(c).alias(c) for c in sketch]), "equal-sets")
     same = settle(usable.where("__hit").select("id", "h1", "h2").join(once.select("h1", "h2", "node"), ["h1", "h2"])
@@ -198,11 +201,11 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     members = settle(members.join(weight, "node").select(F.col("bit").alias("key"), "node", "weight"), "members")
     centres = settle(members.groupBy("key").agg(
         F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre")), "centres")
-    about = settle(nodes.drop("keys").join(weight.select("node"), "node"), "about")
+    about = settle(nodes.join(weight.select("node"), "node"), "about")
     pairs = members.join(centres, "key").where("node <> centre").select(
         F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     pairs = pairs.join(_named(about, "a"), "a").join(_named(about, "b"), "b").where(_near(percent)).select("a", "b")
-    links = verified(pairs, docs, key, text, width, percent)
+    links = verified(_enough_in_common(pairs, about, percent), docs, key, text, width, percent)
     found = settle(components(links), "components")
 
     placed = settle(_whole(members.select("key", "node"), found).join(
@@ -215,7 +218,8 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
         "key", F.col("node").alias("b"), F.col("comp").alias("comp_b")).join(_named(about, "b"), "b")
     more = left.join(right, (left["key"] == right["key"]) & (F.col("comp_a") != F.col("comp_b")) & _near(percent))
     more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = links.unionByName(verified(more, docs, key, text, width, percent)).unionByName(same)
+    links = links.unionByName(verified(
+        _enough_in_common(more, about, percent), docs, key, text, width, percent)).unionByName(same)
     found = settle(components(links), "components")
     rows = made.select(F.col("id").alias("node"), F.col("n").alias("n_shingles"))
     return _whole(rows, found).select(F.col("node").alias(key), "n_shingles", F.col("comp").alias("component_id"))
@@ -229,6 +233,19 @@ def _near(percent: int):
     return near & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
 
+def _enough_in_common(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """Pairs with as many equal pieces as a link needs: in the band of the smaller set, each of the at most
+    (|A| + |B|) (100 - p) / (100 + p) shingles of one set only can make one piece differ."""
+    pairs = settle(pairs, "near-pairs")
+    for side in "ab":
+        pairs = pairs.join(about.select(F.col("node").alias(side), *[
+            F.col(c).alias(f"{c}_{side}") for c in ("n", "own", "keys")]), side)
+    own = F.when(F.col("n_a") < F.col("n_b"), F.col("own_a")).when(F.col("n_a") > F.col("n_b"), F.col("own_b")).otherwise(
+        F.least("own_a", "own_b"))
+    least = own - F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
+    return pairs.where(F.size(F.array_intersect("keys_a", "keys_b")) >= least).select("a", "b")
+
+
 def _named(about: DataFrame, side: str) -> DataFrame:
     return about.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"),
                         *[F.col(f"s{i}").alias(f"{side}{i}") for i in range(_COARSE)])
