@@ -14,6 +14,7 @@ from kerbline.operators import cleaning, features, metrics, panel, profile, rule
 from kerbline.operators.survival import survival_frame
 from kerbline.plans import space_time
 from kerbline.plans.fixture import Tables, tidy
+from kerbline.plans.sql import with_ctes
 from kerbline.session import fresh_path, settle
 from kerbline.sources import tables as published
 from kerbline.sources.incidents import align
@@ -106,6 +107,22 @@ def forecast_panel(spark, sf_dir):
     return tidy(_forecast(Tables(spark, sf_dir)))
 
 
+def forecast_rows(spark, sf_dir):
+    """What SQL can know of the forecast: its rows, actual counts and whether every prediction is a count."""
+    sane = [(F.col(c) >= 0).alias(f"{c}_is_count") for c in ("pred_events", "pred_impact")]
+    return tidy(_forecast(Tables(spark, sf_dir)).select(
+        "corridor", "bin", "n_events", "n_impact", "hour", "dow", *sane))
+
+
+def score_rows(spark, sf_dir):
+    """What SQL can know of the scores: the later events, their outcome and whether every score is in its range."""
+    return tidy(_scores(Tables(spark, sf_dir), "test").select(
+        "id", "event_cause", "road_closure", "high_priority",
+        F.col("p_road_closure").between(0, 1).alias("closure_in_range"),
+        F.col("p_high_priority").between(0, 1).alias("priority_in_range"),
+        F.coalesce(F.col("exp_duration_min").between(1, K.MAX_CLEARANCE_MIN), F.lit(True)).alias("minutes_in_range")))
+
+
 def forecast_cv(spark, sf_dir):
     return tidy(forecast.forecast_cv(Tables(spark, sf_dir).clean_table))
 
@@ -258,8 +275,17 @@ def panel_stream(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in [
     closure_model, priority_model, duration_model, score_impact, hotspot_model, hotspot_impact, forecast_panel,
+    forecast_rows, score_rows,
     forecast_cv, corridor_forecast, pred_actual_density, residual_morans_i, aft_model, encode_features,
     family_compare, group_ablation, kde_ablation, forward_selection, grid_search, permutation_importance,
     top_drivers, score_events, recent_recommendations, publish_tables, score_stream, panel_stream]}
 
-ORACLES: dict[str, str] = {"panel_stream": space_time.ORACLES["panel_counts"]}
+ORACLES: dict[str, str] = {
+    "panel_stream": space_time.ORACLES["panel_counts"],
+    "forecast_rows": with_ctes(["features"], """SELECT corridor, CAST(bin AS VARCHAR) AS bin, n_events, n_impact,
+        CAST(hour AS INTEGER) AS hour, CAST(dow AS INTEGER) AS dow, true AS pred_events_is_count,
+        true AS pred_impact_is_count FROM features"""),
+    "score_rows": with_ctes(["clean", "cut"], """SELECT id, event_cause, road_closure, high_priority,
+        true AS closure_in_range, true AS priority_in_range, true AS minutes_in_range
+        FROM clean, cut WHERE epoch_us(start) > cut"""),
+}
