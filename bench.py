@@ -27,9 +27,13 @@ def main() -> None:
              .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "16g").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     from kerbline.plans import catalogue
+    from kerbline.plans.fixture import Tables
 
     catalogue.QUERIES["clean_summary"](spark, sf_dir).collect()  # starts the session
     seconds = {}
+    began = time.time()
+    Tables(spark, sf_dir).clean_table.count()  # the table that most queries start from is written once
+    seconds["write_clean_table"] = round(time.time() - began, 3)
     for name in HEADLINE:
         began = time.time()
         catalogue.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kerbline.session import lookup
+
 _MOST_SLICES = 512
 
 
@@ -42,9 +44,9 @@ def running_totals(df: DataFrame, key: str, sums: dict[str, Column],
     """One row per (by, key): every sum, `<sum>_before`, its total over smaller keys, and
     `<sum>_total`, its total over all keys.
 
-    `few_groups` says that the groups are few (their slice limits are then kept per group,
-    256 groups at most); otherwise the slice limits are shared by all groups and are found by
-    a small job of their own.
+    `few_groups` keeps slice limits per group; they are counted, and broadcast only within the
+    bound of lookups. Otherwise the slice limits are shared by all groups and are found by a
+    small job of their own.
     """
     by = list(by)
     slices = _slice_count(df)
@@ -52,8 +54,8 @@ def running_totals(df: DataFrame, key: str, sums: dict[str, Column],
     tallied = known.groupBy(*by, key).agg(*[c.alias(name) for name, c in sums.items()])
     limits = slice_limits(key, slices).alias("_limits")
     if by and few_groups:
-        per_group = known.groupBy(*by).agg(limits)
-        placed = tallied.join(F.broadcast(per_group), by).withColumn(
+        per_group = lookup(known.groupBy(*by).agg(limits), "slice-limits")
+        placed = tallied.join(per_group, by).withColumn(
             "_slice", F.size(F.filter("_limits", lambda limit: limit <= F.col(key)))).drop("_limits")
     else:
         found = known.agg(limits).first()["_limits"]
@@ -67,8 +69,8 @@ def running_totals(df: DataFrame, key: str, sums: dict[str, Column],
         *by, "_slice",
         *[F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}") for name in sums],
         *[F.sum(f"_{name}").over(groups).alias(f"{name}_total") for name in sums])
-    if not by or few_groups:
-        carried = F.broadcast(carried)  # at most slices x 256 rows
+    if not by:
+        carried = F.broadcast(carried)  # one row per slice
 
     within = W.partitionBy(*by, "_slice").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
     local = placed.select("*", *[
