@@ -1,10 +1,12 @@
 """Exact n-gram Jaccard join of documents with parity sketches, and the groups that its links make.
 
-A set's shingles are dealt into p pieces by hash; each piece is the XOR of one bit of 64 per shingle. A shingle that
-only one of two sets has flips one bit, so the sketches' Hamming distance is at most the symmetric difference. In the
-size band of the smaller set the difference of a linked pair is at most d, so of p = d + 1 + e pieces at least e + 1 are
-equal: sets that share no piece are not linked. Pieces without a set bit say nothing and are left out, which is safe for
-a set with at most e of them; the few sets with more meet under keys of their own.
+A set's shingles are dealt into p pieces by hash; each piece is the XOR of one 64-bit hash word per shingle. (One bit
+per shingle would let small pieces agree by chance, more often the larger the corpus is.) A shingle that only one of two
+sets has changes one piece, so the number of unequal pieces is at most the symmetric difference. In the size band of the
+smaller set the difference of a linked pair is at most d, so of p = d + 1 + e pieces at least e + 1 are equal: sets that
+share no piece are not linked. Empty pieces say nothing and are left out, which is safe for a set with at most e of
+them; the few sets with more meet under keys of their own. A second sketch has 512 bits, of which each shingle flips
+one: its Hamming distance is at most the symmetric difference, too.
 
 Equal sets are one node. Per piece key, the node that shares most becomes the centre, and the others are compared with
 it only, as far as sizes and a second sketch allow; components then grow from the verified links. Members of a key that are still outside their centre's
@@ -72,16 +74,18 @@ def piece_keys(hashes: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     n, keys, own = len(hashes), [], 0
     if not n:
         return np.zeros(0, dtype=np.int64), 0
+    words = _mix(hashes + np.uint64(7))
     for g in range(_band(-(-n * percent // 100)), _band(n) + 1):
         d = (int(_EDGES[g + 1]) - 1) * (100 - percent) // percent
         if not d:
             continue  # only equal sets are linked
         e = 1 + -(-15 * d // 100)
         p = d + 1 + e
+        # sorted hashes fall into the pieces in order
         piece = ((hashes >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)
-        at = (piece << np.uint64(6)) | (hashes & np.uint64(63))
-        odd = (np.bincount(at.astype(np.int64), minlength=64 * p) & 1).astype(np.uint8)
-        bits = np.packbits(odd).view(np.uint64)
+        first = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+        bits = np.zeros(p, dtype=np.uint64)
+        bits[piece[first].astype(np.int64)] = np.bitwise_xor.reduceat(words, first)
         empty = np.count_nonzero(bits == 0)
         used = np.arange(p) if empty > e else np.flatnonzero(bits)
         keys.append(_mix(bits[used] ^ _mix(np.uint64(g << 34) + used.astype(np.uint64))))
