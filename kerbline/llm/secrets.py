@@ -32,16 +32,29 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 _NAMES = ("passw", "secret", "token", "api")
 
-#: The alphabets, from the narrowest; a run has the encoding of the first that holds all of it.
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: The alphabets, from the narrowest; a run has the encoding of the first that holds all of it. A uniformly
+#: random string that happens to fit a narrower alphabet is uniform over that one, too. `mixed` is for runs that no
+#: encoding holds.
 ALPHABETS = {
-    "decimal": "0123456789",
+    "decimal": _DIGITS,
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
-    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "lower36": "abcdefghijklmnopqrstuvwxyz0123456789",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
+    "lower26": _LOWER,
+    "upper26": _UPPER,
+    "base32": _UPPER + "234567",
+    "lower32": _LOWER + "234567",
+    "lower36": _LOWER + _DIGITS,
+    "upper36": _UPPER + _DIGITS,
+    "letters52": _UPPER + _LOWER,
+    "base58": "".join(c for c in _UPPER + _LOWER + _DIGITS if c not in "0OIl"),
+    "alnum62": _UPPER + _LOWER + _DIGITS,
+    "base64": _UPPER + _LOWER + _DIGITS + "+/",
+    "base64url": _UPPER + _LOWER + _DIGITS + "-_",
+    "mixed": _UPPER + _LOWER + _DIGITS + "+/-_",
 }
 _CODES = {name: {c: i for i, c in enumerate(letters)} for name, letters in ALPHABETS.items()}
+_ONE_CLASS = {name for name, letters in ALPHABETS.items() if letters in (_DIGITS, _LOWER, _UPPER)}
 #: Bins of -log10 p, for the counts over the corpus.
 _BINS, _PER_DECADE = 400, 10
 
@@ -66,7 +79,7 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 def encoding(run: str) -> str:
     letters = set(run.rstrip("="))
-    return next((name for name, codes in _CODES.items() if letters <= codes.keys()), "base64")
+    return next((name for name, codes in _CODES.items() if letters <= codes.keys()), "mixed")
 
 
 def band(length: int) -> int:
@@ -102,8 +115,12 @@ def p_values(name: str, n: int, chi: float, changes: float, serial: float, ordin
     z = [(chi_mean - chi) / max(chi_sd / scale, noise, 1e-3),
          (changes - change_mean) / max(change_sd / scale, math.sqrt(0.25 / n) / 2, 1e-3),
          (serial_mean - abs(serial)) / max(serial_sd / scale, 1 / math.sqrt(n))]
+    if name in _ONE_CLASS:  # no run of such an encoding has a change, ordinary or not
+        del z[1]
     p = [max(0.5 * math.erfc(v / math.sqrt(2)), 1e-300) for v in z]
     half = -sum(map(math.log, p))
+    if len(p) == 2:
+        return math.exp(-half) * (1 + half)  # Fisher, four degrees of freedom
     return math.exp(-half) * (1 + half + half * half / 2)  # Fisher, six degrees of freedom
 
 
@@ -172,7 +189,7 @@ def thresholds(runs: DataFrame, ordinary: dict[str, tuple], rate: float) -> dict
                 names=["encoding", "band", "bin"])
 
     rows = runs.mapInArrow(binned, "encoding string, band int, bin int").groupBy("encoding", "band", "bin").agg(
-        F.count("*").alias("n")).collect()  # at most 6 encodings x some 60 bands x 400 bins
+        F.count("*").alias("n")).collect()  # at most 15 encodings x some 60 bands x 400 bins
     counts: dict[tuple[str, int], np.ndarray] = {}
     for r in rows:
         counts.setdefault((r["encoding"], r["band"]), np.zeros(_BINS, dtype=np.int64))[r["bin"]] = r["n"]

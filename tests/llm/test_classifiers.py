@@ -175,3 +175,29 @@ def test_random_strings_pass_and_words_do_not():
                                       ("AZ27" * 6, "base32"), ("xyz9" * 6, "lower36"), ("aB3+" * 6 + "==", "base64")])
 def test_encodings(run, name):
     assert secrets.encoding(run) == name
+
+
+_UP, _LOW, _DIG = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_RANDOM_OVER = {"upper36": _UP + _DIG, "lower26": _LOW, "upper26": _UP, "letters52": _UP + _LOW,
+                "alnum62": _UP + _LOW + _DIG, "base64": _UP + _LOW + _DIG + "+/", "base64url": _UP + _LOW + _DIG + "-_",
+                "base32": _UP + "234567", "lower36": _LOW + _DIG, "hex": _DIG + "abcdef", "decimal": _DIG}
+
+
+@pytest.mark.parametrize("name", sorted(_RANDOM_OVER))
+def test_random_strings_pass_at_every_length(name):
+    rng = random.Random(name)
+    for n in (20, 32, 40, 64, 128, 256, 512, 1000, 1600, 3000, 5000):
+        passed = sum(secrets.randomness("".join(rng.choices(_RANDOM_OVER[name], k=n))) for _ in range(100))
+        assert passed >= 95, n
+    assert secrets.encoding(_RANDOM_OVER[name]) == name
+
+
+def test_scan_finds_random_strings_of_every_alphabet(spark):
+    rng = random.Random(4)
+    planted = ["".join(rng.choices(letters, k=n)) for _, letters in sorted(_RANDOM_OVER.items())
+               for n in (128, 512, 2000) for _ in range(10)]
+    words = ["".join(rng.choices("lich keit heit ingen schach".split(), k=rng.randint(5, 12))) for _ in range(500)]
+    docs = spark.createDataFrame(list(enumerate(f"ein {t} wort" for t in planted + words)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    assert sum(bool(got[i]) for i in range(len(planted))) >= 0.97 * len(planted)
+    assert sum("random" in got[i] for i in range(len(planted), len(got))) <= 5
