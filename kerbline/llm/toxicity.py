@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from kerbline.session import settle
 
 _BUCKETS = 1 << 20
+#: Entries that are looked up at once in fitting.
+_BLOCK = 1 << 18
 #: Labelled positives, and unlabelled texts, that are used for fitting at most (about).
 MOST_POSITIVE = 4000
 MOST_UNLABELLED = 12000
@@ -60,45 +62,83 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
 
 
-class _Rows:
-    """Sparse 0/1 rows over the kept buckets."""
+class _Sums:
+    """Sums of looked-up values over runs of `counts` entries of `index`, a block at a time to keep memory low."""
 
-    def __init__(self, rows: list[np.ndarray], column: np.ndarray):
-        kept = [column[r] for r in rows]
-        kept = [k[k >= 0] for k in kept]
-        self.n = len(rows)
-        self.column = np.concatenate(kept) if kept else np.zeros(0, dtype=np.int64)
-        self.row = np.repeat(np.arange(self.n), [len(k) for k in kept])
+    def __init__(self, index: np.ndarray, counts: np.ndarray):
+        self.index, self.n = index, len(counts)
+        self.owner = np.flatnonzero(counts)
+        self.ends = np.cumsum(counts[self.owner])
+        self.starts = self.ends - counts[self.owner]
+        cuts = np.searchsorted(self.ends, np.arange(_BLOCK, len(index), _BLOCK))
+        self.cuts = np.unique(np.r_[0, cuts, len(self.owner)])
 
-    def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.column], minlength=self.n)
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        for a, b in zip(self.cuts[:-1], self.cuts[1:]):
+            low = self.starts[a]
+            found = values[self.index[low:self.ends[b - 1]]]
+            out[self.owner[a:b]] = np.add.reduceat(found, self.starts[a:b] - low)
+        return out
 
-    def gradient(self, by_row: np.ndarray, width: int) -> np.ndarray:
-        return np.bincount(self.column, weights=by_row[self.row], minlength=width)
+
+class _Rows:
+    """Sparse 0/1 rows over the kept buckets, in the order of rows and in that of columns."""
+
+    def __init__(self, rows: list[np.ndarray], column: np.ndarray, width: int):
+        self.n = len(rows)
+        counts = np.array([np.count_nonzero(column[r] >= 0) for r in rows], dtype=np.int64)
+        flat = np.empty(counts.sum(), dtype=np.int32)
+        at = 0
+        for r, n in zip(rows, counts):
+            k = column[r]
+            flat[at:at + n] = k[k >= 0]
+            at += n
+        self.times = _Sums(flat, counts)
+        row = np.repeat(np.arange(self.n, dtype=np.int32), counts)
+        self.gradient = _Sums(row[np.argsort(flat, kind="stable")], np.bincount(flat, minlength=width))
+
+
+def _frequency(rows: list[np.ndarray]) -> np.ndarray:
+    """How many rows have each bucket; a row has a bucket once."""
+    out = np.zeros(_BUCKETS, dtype=np.int64)
+    for r in rows:
+        out[r] += 1
+    return out
+
+
+def _evidence(share: np.ndarray, usual: np.ndarray, prior: float, n: int) -> np.ndarray:
+    """Log ratio of a bucket's share of the positives to that of the clean texts.
+
+    The unlabelled hold positives at the rate of the prior, whose part is taken out; one text of `n` smooths.
+    """
+    clean = np.maximum(usual - prior * share, 0.0) / (1 - prior)
+    return np.log((share + 1 / n) / (clean + 1 / n))
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 600, rate: float = 0.05,
-        decay: float = 1e-3, least: int = 5, odds: float = 4.0) -> Classifier:
+        decay: float = 1e-3, least: int = 5) -> Classifier:
     """Minimises the non-negative PU risk under the logistic loss by Adam over full batches.
 
-    Only buckets in at least `least` positives are used, that are `odds` times as frequent there as in the unlabelled. Without positives or unlabelled texts the
-    model says the prior for every text.
+    All buckets in at least `least` positives are used. Each is scaled by its evidence, so that the decay holds down
+    those that say little by themselves. Without positives or unlabelled texts the model says the prior for every text.
     """
     weights = np.zeros(_BUCKETS)
     prior = min(max(prior, 1e-4), 0.9)
     if not positive or not unlabelled:
         return Classifier(weights, float(np.log(prior / (1 - prior))))
-    df = np.bincount(np.concatenate(positive), minlength=_BUCKETS)
-    usual = np.bincount(np.concatenate(unlabelled), minlength=_BUCKETS) / len(unlabelled)
-    kept = np.flatnonzero((df >= min(least, len(positive))) & (df / len(positive) >= odds * usual))
-    column = np.full(_BUCKETS, -1, dtype=np.int64)
+    df, usual = _frequency(positive), _frequency(unlabelled) / len(unlabelled)
+    kept = np.flatnonzero(df >= min(least, len(positive)))
+    scale = _evidence(df[kept] / len(positive), usual[kept], prior, len(positive))
+    column = np.full(_BUCKETS, -1, dtype=np.int32)
     column[kept] = np.arange(len(kept))
-    p, u = _Rows(positive, column), _Rows(unlabelled, column)
     width = len(kept)
+    p, u = _Rows(positive, column, width), _Rows(unlabelled, column, width)
     w = np.zeros(width + 1)
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, steps + 1):
-        zp, zu = p.times(w[:-1]) + w[-1], u.times(w[:-1]) + w[-1]
+        scaled = w[:-1] * scale
+        zp, zu = p.times(scaled) + w[-1], u.times(scaled) + w[-1]
         hidden = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         sign = 1.0 if hidden >= 0 else -1.0
         dp = np.zeros(p.n)
@@ -106,10 +146,11 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             dp += prior * (_sigmoid(zp) - 1) / p.n
         dp -= sign * prior * _sigmoid(zp) / p.n
         du = sign * _sigmoid(zu) / u.n
-        g = np.append(p.gradient(dp, width) + u.gradient(du, width) + decay * w[:-1] * prior, dp.sum() + du.sum())
+        data = (p.gradient(dp) + u.gradient(du)) * scale
+        g = np.append(data + decay * w[:-1] * prior, dp.sum() + du.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    weights[kept] = w[:-1]
+    weights[kept] = w[:-1] * scale
     return Classifier(weights, float(w[-1]))
 
 

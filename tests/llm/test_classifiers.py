@@ -122,6 +122,38 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.toxicity_report(table, marks.limit(0)).collect()} == {0}
 
 
+def _name(k):
+    return "wort" + "".join(chr(97 + k // 26 ** i % 26) for i in range(2))
+
+
+@pytest.mark.parametrize("share", [0.3, 0.5])
+def test_many_toxic_texts_are_told_apart(share):
+    rng = np.random.default_rng(5)
+
+    def text(bad):
+        return " ".join([_name(k) for k in rng.integers(400, size=20)] + ["vermin", "wretched"][:int(bad)])
+
+    model = toxicity.fit([toxicity.features(text(1)) for _ in range(300)],
+                         [toxicity.features(text(rng.random() < share)) for _ in range(1000)], share)
+    scores = model.score([text(1) for _ in range(200)] + [text(0) for _ in range(200)])
+    assert (scores[:200] >= 0.7).mean() > 0.9 and (scores[200:] >= 0.7).mean() < 0.05
+
+
+def test_words_that_clean_texts_share_count():
+    rng = np.random.default_rng(6)
+
+    def text(often):
+        shared = [f"{_name(k)}geteilt" for k in np.flatnonzero(rng.random(30) < often)]
+        return " ".join(shared + [_name(k + 50) for k in rng.integers(400, size=10)])
+
+    positive, hidden = [text(0.3) for _ in range(500)], [text(0.3) for _ in range(300)]
+    clean = [text(0.1) for _ in range(1700)]
+    model = toxicity.fit([toxicity.features(t) for t in positive],
+                         [toxicity.features(t) for t in hidden + clean], 0.15)
+    scores = model.score([text(0.3) for _ in range(300)] + [text(0.1) for _ in range(300)])
+    assert (scores[:300, None] > scores[None, 300:]).mean() > 0.9
+
+
 def _plain_spans(text):
     out = []
     names = r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|" \
