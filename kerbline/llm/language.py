@@ -214,11 +214,11 @@ class Unigrams:
 
 
 def train(labelled: DataFrame, model_file: str, text: str = "text", lang: str = "lang",
-          rows_per_language: int = 800, rounds: int = 2) -> Unigrams | None:
+          rows_per_language: int = 800, rounds: int = 2, key: str = "doc_id") -> Unigrams | None:
     """Fits piece probabilities on at most about `rows_per_language` whole texts of each language; None without labels.
 
-    The rows are those whose hash lies below the rate that gives this number, so they are the same in every run. Word
-    counts are made in Spark; what comes to the driver is bounded by the sample and not by the corpus.
+    The rows are those whose hash lies below the rate that gives this number, so they are the same in every run. Key and
+    text are hashed together, so that copies of a text under other keys are drawn one by one. Word counts are made in Spark; what comes to the driver is bounded by the sample and not by the corpus.
     """
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = {r[lang]: r["n"] for r in labelled.groupBy(lang).agg(F.count("*").alias("n")).collect()}
@@ -226,7 +226,7 @@ def train(labelled: DataFrame, model_file: str, text: str = "text", lang: str =
         return None
     rate = F.create_map(*chain.from_iterable(
         (F.lit(k), F.lit(min(1.0, rows_per_language / n))) for k, n in sizes.items()))
-    place = F.pmod(F.xxhash64(F.lit("language"), F.col(text)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    place = F.pmod(F.xxhash64(F.lit("language"), F.col(key), F.col(text)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = labelled.where(place < rate[F.col(lang)]).select(lang, text)
 
     def count(batches):
@@ -299,7 +299,7 @@ def _held_out(key: str):
 def language_report(docs: DataFrame, model_file: str, key: str = "doc_id", **options) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score. Rows held out, and all labels of theirs, are not learned from."""
     rows = docs.select(key, "text", "lang").withColumn("held_out", _held_out(key))
-    model = train(rows.where("not held_out"), model_file, **options)
+    model = train(rows.where("not held_out"), model_file, key=key, **options)
     return identify(rows, model, [key, "held_out"])
 
 
@@ -309,7 +309,7 @@ def known_language(docs: DataFrame, model_file: str, key: str = "doc_id", least:
     Learned from the labels of `docs` itself. Where there are no labels nothing can be told, and only texts without a
     letter go.
     """
-    model = train(docs, model_file, **options)
+    model = train(docs, model_file, key=key, **options)
     if model is None:
         return docs.where(F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False)))
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}

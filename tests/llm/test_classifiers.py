@@ -88,6 +88,14 @@ def test_known_language(spark):
     assert {r.doc_id for r in language.known_language(docs.where("lang is null"), MODEL).collect()} == {902}
 
 
+def test_copies_are_drawn_one_by_one(spark):
+    texts = [f"das haus steht {w}" for w in ("hier", "dort", "oben", "unten", "links")]
+    rows = [(i, t, f"l{k}") for k, t in enumerate(texts) for i in range(k * 500, k * 500 + 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, MODEL, rows_per_language=50)
+    assert (model.p.max(axis=0) > 2 * model.p.min(axis=0)).all()
+
+
 def _toxic(n=1500, seed=3):
     rng = random.Random(seed)
     docs, labels = [], []
