@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kerbline.llm import byte_bpe, exact_dedup, language, mixing, ngram_join
 from kerbline.llm.queries import multilingual
@@ -28,11 +29,18 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at 0.8 of five-word shingles stays: the one with the smallest id.
 
-    Rows with a null id are linked with nothing and stay; so do equal ids of different texts that are the smallest.
+    Rows are linked and dropped by a row id of their own, so different texts of one id are documents apart; of rows
+    with the smallest id in a group one stays. Rows with a null id are linked with nothing and stay.
     """
-    groups = ngram_join.join_groups(docs, width=5, percent=80)
-    gone = settle(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = settle(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    groups = ngram_join.join_groups(rows.where("doc_id is not null"), key="__row", width=5, percent=80)
+    others = settle(groups.where("__row <> component_id").select("__row", "component_id"), "near-others")
+    first = others.select("component_id").distinct().select(F.col("component_id").alias("__row"), "component_id")
+    linked = settle(others.unionByName(first).join(rows.select("__row", F.col("doc_id").alias("__id")), "__row"),
+                    "near-linked")
+    stay = linked.groupBy("component_id").agg(F.min(F.struct("__id", "__row")).alias("__stay")).select("__stay.__row")
+    gone = settle(linked.select("__row").join(stay, "__row", "left_anti"), "near-copies")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,13 @@ def test_stages_on_odd_rows(spark):
             docs = stage(spark, docs, SF)
             assert docs.columns == columns
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_near_copies_with_one_id_for_two_texts(spark):
+    a, b = (" ".join(f"{w}{k}" for k in range(60)) for w in ("eins", "zwei"))
+    rows = [(5, a), (1, a + " mehr"), (5, "ganz andere worte stehen hier als sonst"), (7, b), (5, b + " mehr"),
+            (None, a + " noch"), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["near copies"](spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert Counter(map(tuple, kept.collect())) == Counter([rows[1], rows[2], rows[4], rows[5], rows[6]])
