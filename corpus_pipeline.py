@@ -15,6 +15,15 @@ from kerbline.llm.queries import multilingual
 from kerbline.session import settle
 
 
+def _names(docs: DataFrame) -> dict[str, str]:
+    """Names for the columns that no operator gives to its own."""
+    return {c: f"c{i}" for i, c in enumerate(docs.columns)}
+
+
+def _select(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return docs.select(*[F.col(c).alias(n) for c, n in names.items()])
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told stay; those without letters or without a likely language go."""
     return language.known_language(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -22,8 +31,10 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays: the one with the largest id."""
-    marked = exact_dedup.exact_dedup(docs, carry=docs.columns)
-    return marked.where("kept").select(*docs.columns)
+    names = _names(docs)
+    marked = exact_dedup.exact_dedup(_select(docs, names), text=names["text"], key=names["doc_id"],
+                                     carry=list(names.values()))
+    return _select(marked.where("kept"), {n: c for c, n in names.items()})
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +56,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often, and with the words, that the mix of the sources takes."""
-    return mixing.mixed_texts(docs)
+    names = {**_names(docs), **{c: c for c in docs.columns if c in ("doc_id", "source", "text", "n_chars")}}
+    return _select(mixing.mixed_texts(_select(docs, names)), {n: c for c, n in names.items()})
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

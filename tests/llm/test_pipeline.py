@@ -65,3 +65,16 @@ def test_near_copies_with_one_id_for_two_texts(spark):
     kept = dict(corpus_pipeline.STAGES)["near copies"](spark, docs, SF)
     assert kept.columns == docs.columns
     assert Counter(map(tuple, kept.collect())) == Counter([rows[1], rows[2], rows[4], rows[5], rows[6]])
+
+
+def test_columns_named_as_those_of_operators(spark):
+    rows = [(1, "ein text hier", "a", "k1", 11, 12, "s1", 13, 14), (2, "noch ein text", "a", "k2", 21, 22, "s2", 23, 24),
+            (3, "noch ein text", "a", "k3", 31, 32, "s3", 33, 34)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, kept string, keep_id long, "
+                                 "group_size long, text_sha256 string, row long, copy long")
+    stage = dict(corpus_pipeline.STAGES)
+    once = stage["exact dedup"](spark, docs, SF)
+    assert once.columns == docs.columns and sorted(map(tuple, once.collect())) == [rows[0], rows[2]]
+    mixed = stage["source mix"](spark, once, SF)
+    assert mixed.columns == docs.columns
+    assert {r[3:] for r in map(tuple, mixed.collect())} <= {r[3:] for r in rows}
