@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from kerbline.llm import byte_bpe, common, exact_dedup, language, mixing, ngram_join, secrets, sharding, token_counts, toxicity, vantage
+from kerbline.llm import (alignment, byte_bpe, common, exact_dedup, language, mixing, ngram_join, secrets, sharding, token_counts,
+                          toxicity, vantage)
 
 
 def _exact(spark, sf_dir):
@@ -56,6 +57,17 @@ def _neighbours(spark, sf_dir):
     return vantage.neighbour_report(common.table(spark, sf_dir, "embeddings"))
 
 
+def two_vocabularies() -> tuple[str, str, bytes]:
+    """The byte-level definition, its pattern, and the piece model whose tokens are aligned."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as definition:
+        with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as model:
+            return definition.read(), public_tokenizers.PATTERN, model.read()
+
+
+def _alignment(spark, sf_dir):
+    return alignment.alignment_report(common.table(spark, sf_dir, "documents"), *two_vocabularies())
+
+
 QUERIES = {
     "op1_exact_dedup": _exact,
     "op2_source_mix": _mix,
@@ -67,6 +79,7 @@ QUERIES = {
     "op8_ngram_join": _ngrams,
     "op9_feistel_shards": _shards,
     "op10_section_tokens": _section_tokens,
+    "op11_token_alignment": _alignment,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
