@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from kerbline.llm import (alignment, byte_bpe, common, exact_dedup, language, mixing, ngram_join, secrets, sharding, token_counts,
-                          toxicity, vantage)
+from kerbline.llm import (alignment, byte_bpe, common, exact_dedup, hard_negatives, language, mixing, ngram_join, secrets, sharding,
+                          token_counts, toxicity, vantage)
 
 
 def _exact(spark, sf_dir):
@@ -68,6 +68,10 @@ def _alignment(spark, sf_dir):
     return alignment.alignment_report(common.table(spark, sf_dir, "documents"), *two_vocabularies())
 
 
+def _hard_negatives(spark, sf_dir):
+    return hard_negatives.hard_negatives(common.table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_exact_dedup": _exact,
     "op2_source_mix": _mix,
@@ -80,6 +84,7 @@ QUERIES = {
     "op9_feistel_shards": _shards,
     "op10_section_tokens": _section_tokens,
     "op11_token_alignment": _alignment,
+    "op12_hard_negatives": _hard_negatives,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -110,7 +115,23 @@ _LINKED = r"""
     FROM documents d LEFT JOIN n USING (doc_id)
     LEFT JOIN (SELECT x, min(y) AS y FROM reach GROUP BY 1) m ON m.x = d.doc_id"""
 
+_NEGATIVES = """
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+        FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (
+            PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+            AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+    SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
 ORACLES = {
+    "op12_hard_negatives": _NEGATIVES,
     "op8_ngram_join": _LINKED,
     "op6_vantage_trees": _SEARCH,
     "op1_exact_dedup": f"""
