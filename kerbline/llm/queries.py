@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from kerbline.llm import (alignment, byte_bpe, common, exact_dedup, hard_negatives, language, mixing, ngram_join, secrets, sharding,
-                          token_counts, toxicity, vantage)
+from kerbline.llm import (alignment, byte_bpe, common, exact_dedup, hard_negatives, language, mixing, ngram_join, page_text, secrets,
+                          sharding, token_counts, toxicity, vantage)
 
 
 def _exact(spark, sf_dir):
@@ -72,6 +72,10 @@ def _hard_negatives(spark, sf_dir):
     return hard_negatives.hard_negatives(common.table(spark, sf_dir, "embeddings"))
 
 
+def _page_text(spark, sf_dir):
+    return page_text.page_text(common.table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_exact_dedup": _exact,
     "op2_source_mix": _mix,
@@ -85,6 +89,7 @@ QUERIES = {
     "op10_section_tokens": _section_tokens,
     "op11_token_alignment": _alignment,
     "op12_hard_negatives": _hard_negatives,
+    "op13_page_text": _page_text,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
