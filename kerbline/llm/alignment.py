@@ -19,17 +19,17 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import json
 import pickle
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.byte_bpe import codec
+from kerbline.llm.byte_bpe import byte_table
 from kerbline.session import settle
 
 #: A run holds about so many characters (or one longer text) and at most 2^16 texts.
@@ -40,7 +40,7 @@ _BUFFER = 1 << 18
 #: Characters that one part of the counting stands for, and the most parts; beyond, parts grow and are read in blocks.
 _PART_CHARS = 1 << 24
 _MOST_PARTS = 1 << 12
-_KNOWN_WORDS = 200_000
+_STRETCH = 1 << 16
 _GAP = "▁"
 STATS = ["n_a", "n_b", "n_groups", "n_links"]
 
@@ -53,11 +53,39 @@ def _unzip(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=kind)
 
 
+class Bytes:
+    """A byte-level vocabulary at work in one task: ids of a text, and the bytes of its tokens.
+
+    Where ids follow the order of the merges they are ranks, and a rank encoder does the same work faster.
+    """
+
+    def __init__(self, definition: str, pattern: str):
+        model = json.loads(definition)["model"]
+        back = {c: b for b, c in enumerate(byte_table())}
+        vocab = model["vocab"]
+        self.bytes_of = [b""] * (1 + max(vocab.values()))
+        for token, i in vocab.items():
+            self.bytes_of[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+        merged = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+        if merged == sorted(merged):
+            import tiktoken
+
+            ids = [*(vocab[c] for c in byte_table()), *merged]
+            self.encode = tiktoken.Encoding("side-a", pat_str=pattern, special_tokens={},
+                                            mergeable_ranks={self.bytes_of[i]: i for i in ids}).encode_ordinary
+        else:
+            from tokenizers import Tokenizer
+
+            whole = Tokenizer.from_str(definition)
+            whole.encode_special_tokens = True
+            self.encode = lambda text: whole.encode(text, add_special_tokens=False).ids
+
+
 class Pieces:
     """A sentencepiece model at work in one task: ids of `space + text`, and the bytes of its pieces.
 
-    No piece of such a vocabulary goes on into the next word (this is checked), so words are encoded once and
-    remembered up to a bound; otherwise whole texts are encoded.
+    No piece of such a vocabulary goes on into the next word (this is checked), so long texts are encoded in stretches of
+    whole words and need no more memory than those.
     """
 
     def __init__(self, proto: bytes):
@@ -68,35 +96,31 @@ class Pieces:
         self.bytes_of = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(_GAP, " ").encode()
                          for i, p in enumerate(pieces)]
         self.by_word = all(_GAP not in p.lstrip(_GAP) for p in pieces)
-        self.words = regex.compile(f"[ {_GAP}]+[^ {_GAP}]*").findall
-        self.known: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> list[int]:
-        if not self.by_word:
+        if len(text) <= _STRETCH or not self.by_word:
             return self.model.encode(text, num_threads=1)
-        words = self.words(" " + text)
-        if len(self.known) > _KNOWN_WORDS:
-            self.known.clear()
-        new = list(set(words).difference(self.known))
-        if new:
-            # the model adds the first space itself, but not to an empty text
-            self.known.update(zip(new, self.model.encode([w[1:] for w in new], num_threads=1)))
-            for w in new:
-                if len(w) == 1:
-                    self.known[w] = [self.model.piece_to_id(_GAP)]
         out: list[int] = []
-        for w in words:
-            out += self.known[w]
-        return out
+        at = 0  # behind the space that begins the stretch, which the model adds itself
+        while True:
+            end = text.find(" ", at + _STRETCH)
+            while end > 0 and text[end - 1] in (" ", _GAP):
+                end = text.find(" ", end + 1)
+            out += self.model.encode(text[at:end] if end > 0 else text[at:], num_threads=1)
+            if end < 0:
+                return out
+            if end + 1 == len(text):  # the model adds no space to nothing
+                return [*out, self.model.piece_to_id(_GAP)]
+            at = end + 1
 
 
 class Pair:
     """Both tokenizers in one task."""
 
     def __init__(self, definition: str, pattern: str, proto: bytes):
-        self.a, self.b = codec(definition, pattern), Pieces(proto)
-        self.length_a = self.a.length
-        self.length_b = np.array([len(x) for x in self.b.bytes_of], dtype=np.int64)
+        self.a, self.b = Bytes(definition, pattern), Pieces(proto)
+        self.length_a, self.length_b = (np.array([len(x) for x in own.bytes_of], dtype=np.int64)
+                                        for own in (self.a, self.b))
         # the digest's text of an id, where its side goes on and where it ends
         self.shown = [f"{i}{c}" for n, c in ((len(self.length_a), ","), (len(self.length_a), "|"),
                                              (len(self.length_b), ","), (len(self.length_b), ";")) for i in range(n)]
@@ -104,10 +128,10 @@ class Pair:
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both sides per text; none where the text is empty or a side does not give back its bytes."""
         out = []
-        for text, a in zip(texts, self.a.encode([" " + t for t in texts])):
-            b = self.b.encode(text) if text else []
+        for text in texts:
             raw = (" " + text).encode("utf-8", "surrogatepass")
-            if not text or self.a.decode(a) != raw or b"".join(map(self.b.bytes_of.__getitem__, b)) != raw:
+            a, b = (self.a.encode(" " + text), self.b.encode(text)) if text else ([], [])
+            if any(b"".join(map(own.bytes_of.__getitem__, ids)) != raw for own, ids in ((self.a, a), (self.b, b))):
                 a = b = []
             out.append((np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)))
         return out
@@ -124,24 +148,31 @@ def _pair(definition: str, pattern: str, proto: bytes) -> Pair:
     return _PAIRS[name]
 
 
-def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of two cuts of the same bytes, given the token ends: positions in A, positions in B, and common ends."""
-    ends = np.union1d(ends_a, ends_b)
-    return (np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends),
-            np.intersect1d(ends_a, ends_b, assume_unique=True))
+def align(ends_a: np.ndarray, ends_b: np.ndarray):
+    """Links and groups of two cuts of the same bytes, given the token ends.
 
-
-def _digest_codes(pair: Pair, a, b, ends_a, ends_b, common) -> np.ndarray:
+    Per link its position in A and in B; the ends that are common, which are the groups' ends; per token of A and of B
+    its group. Ends are marked on one array of the bytes, so nothing is sorted.
+    """
+    marks = [np.zeros(int(ends_a[-1]) + 1 if len(ends_a) else 1, dtype=np.int8) for _ in "ab"]
+    for marked, ends in zip(marks, (ends_a, ends_b)):
+        marked[ends] = 1
+    either = np.flatnonzero(marks[0] | marks[1])
+    both = marks[0] & marks[1]
+    before = np.cumsum(both, dtype=np.int64) - both
+    # a link's position: how many ends of the side lie before the link's end
+    at_a, at_b = (np.cumsum(m[either], dtype=np.int64) - m[either] for m in marks)
+    return at_a, at_b, np.flatnonzero(both), before[ends_a], before[ends_b]
+
+
+def _digest_codes(pair: Pair, a, b, ends_a, ends_b, aligned) -> np.ndarray:
     """Numbers into `pair.shown` that spell `a1,a2|b1;...` of all groups in order."""
-    group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
-    last_a, last_b = ends_a == common[group_a], ends_b == common[group_b]
+    *_, common, group_a, group_b = aligned
     n_a, n_b = len(pair.length_a), len(pair.length_b)
+    until_a, until_b = (np.cumsum(np.bincount(g, minlength=len(common))) for g in (group_a, group_b))
     codes = np.empty(len(a) + len(b), dtype=np.int64)
-    until_a = np.searchsorted(ends_a, common, side="right")
-    until_b = np.searchsorted(ends_b, common, side="right")
-    before_b = np.append(0, until_b[:-1]) if len(common) else until_b
-    codes[np.arange(len(a)) + before_b[group_a]] = a + n_a * last_a
-    codes[np.arange(len(b)) + until_a[group_b]] = b + 2 * n_a + n_b * last_b
+    codes[np.arange(len(a)) + np.append(0, until_b[:-1])[group_a]] = a + n_a * (ends_a == common[group_a])
+    codes[np.arange(len(b)) + until_a[group_b]] = b + 2 * n_a + n_b * (ends_b == common[group_b])
     return codes
 
 
@@ -153,13 +184,14 @@ class Run:
         ids = pair.encode(texts)
         a, b = (np.concatenate([x[i] for x in ids]) for i in (0, 1))
         ends_a, ends_b = np.cumsum(pair.length_a[a]), np.cumsum(pair.length_b[b])
-        at_a, at_b, common = align(ends_a, ends_b)
+        aligned = align(ends_a, ends_b)
+        at_a, at_b, common = aligned[:3]
         size_a, size_b = (np.array([len(x[i]) for x in ids], dtype=np.int64) for i in (0, 1))
         # where each text stops, in bytes of the run; texts end where both sides end
         stop = np.concatenate(([0], ends_a))[np.cumsum(size_a)]
         self.n_groups = np.diff(np.searchsorted(common, stop, side="right"), prepend=0)
         self.stats = size_a, size_b, self.n_groups, np.where(size_a > 0, size_a + size_b - self.n_groups, 0)
-        codes = _digest_codes(pair, a, b, ends_a, ends_b, common)
+        codes = _digest_codes(pair, a, b, ends_a, ends_b, aligned)
         cuts = np.cumsum(size_a + size_b)
         self.digests = []
         for lo, hi in zip(np.append(0, cuts[:-1]), cuts):
@@ -239,7 +271,7 @@ def merged(dictionaries: list[bytes], n_a: int):
 
 def _prepared(docs: DataFrame, definition: str, pattern: str, proto: bytes, key: str, text: str):
     spark = docs.sparkSession
-    n_a = len(codec(definition, pattern).length)
+    n_a = len(Bytes(definition, pattern).bytes_of)
     n_b = len(Pieces(proto).bytes_of)
     chars = docs.agg(F.sum(F.char_length(text))).first()[0] or 0
     parts = min(_MOST_PARTS, max(1, chars // _PART_CHARS))

@@ -88,9 +88,10 @@ def test_report_and_counts(spark, monkeypatch, small_runs):
     assert found == {(i, k): g for i, own in enumerate(groups) for k, g in enumerate(own)}
 
 
-def test_words_give_what_whole_texts_give():
+def test_stretches_give_what_whole_texts_give(monkeypatch):
     _, _, proto = queries.two_vocabularies()
     pieces = alignment.Pieces(proto)
+    monkeypatch.setattr(alignment, "_STRETCH", 7)
     assert pieces.by_word
     for text in [t for t in TEXTS if t] + _random_texts():
         assert pieces.encode(text) == pieces.model.encode(text), text
