@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 #: Fixed value: how the vocabulary writes the start of a word.
 _START = "▁"
-#: A worker remembers about so many words; more are solved again.
-_KNOWN_WORDS = 600_000
+#: A task remembers about so many words; more are solved again.
+_KNOWN_WORDS = 300_000
 #: Words of up to so many places have probabilities far within the range of a double.
 _SHORT = 30
 #: Words are solved in groups of about so many places.
@@ -214,14 +214,17 @@ class Unigrams:
 
 
 def train(labelled: DataFrame, model_file: str, text: str = "text", lang: str = "lang",
-          rows_per_language: int = 800, rounds: int = 2, key: str = "doc_id") -> Unigrams | None:
+          rows_per_language: int = 800, rounds: int = 2, key: str = "doc_id", most_languages: int = 200) -> Unigrams | None:
     """Fits piece probabilities on at most about `rows_per_language` whole texts of each language; None without labels.
 
+    Where a dirty column has more labels than `most_languages`, the most frequent are learned (ties by name).
+
     The rows are those whose hash lies below the rate that gives this number, so they are the same in every run. Key and
     text are hashed together, so that copies of a text under other keys are drawn one by one. Word counts are made in Spark; what comes to the driver is bounded by the sample and not by the corpus.
     """
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[lang]: r["n"] for r in labelled.groupBy(lang).agg(F.count("*").alias("n")).collect()}
+    sizes = {r[lang]: r["n"] for r in labelled.groupBy(lang).agg(F.count("*").alias("n")).orderBy(
+        F.desc("n"), lang).limit(most_languages).collect()}
     if not sizes:
         return None
     rate = F.create_map(*chain.from_iterable(
@@ -250,9 +253,6 @@ def train(labelled: DataFrame, model_file: str, text: str = "text", lang: str =
     return Unigrams(pieces_of(model_file), languages).fit(list(words), weights, rounds)
 
 
-_MODELS: dict[int, Unigrams] = {}
-
-
 def identify(docs: DataFrame, model: Unigrams | None, carry: list[str], text: str = "text") -> DataFrame:
     """The columns `carry` with lang_pred and score (the posterior of the language, all equally likely before).
 
@@ -262,19 +262,16 @@ def identify(docs: DataFrame, model: Unigrams | None, carry: list[str], text: st
     carry = [c for c in carry if c not in ("lang_pred", "score")]
     shipped = docs.sparkSession.sparkContext.broadcast(
         None if model is None else (model.pieces, model.languages, model.p))
-    name = id(shipped)
+    # a text that is carried anyway is sent once
+    place = carry.index(text) if text in carry else len(carry)
 
     def work(batches):
-        own = None
-        if shipped.value is not None:
-            own = _MODELS.get(name)
-            if own is None:
-                _MODELS.clear()
-                own = _MODELS[name] = Unigrams(*shipped.value)
+        # the model and the words it remembers live as long as the task: the next stage finds the worker's memory free
+        own = None if shipped.value is None else Unigrams(*shipped.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
+                texts = [t or "" for t in part.column(place).to_pylist()]
                 langs, scores = [], []
                 for ll in own.scores(texts) if own else [None] * len(texts):
                     if ll is None:
@@ -285,11 +282,12 @@ def identify(docs: DataFrame, model: Unigrams | None, carry: list[str], text: st
                     langs.append(own.languages[int(odds.argmax())])
                     scores.append(float(odds.max() / odds.sum()))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                    [*part.columns[:len(carry)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                     names=[*carry, "lang_pred", "score"])
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
-    return docs.select(*carry, F.col(text).alias("__text")).mapInArrow(work, kinds + "lang_pred string, score double")
+    sent = carry if text in carry else [*carry, text]
+    return docs.select(*sent).mapInArrow(work, kinds + "lang_pred string, score double")
 
 
 def _held_out(key: str):
@@ -297,7 +295,11 @@ def _held_out(key: str):
 
 
 def language_report(docs: DataFrame, model_file: str, key: str = "doc_id", **options) -> DataFrame:
-    """Per row: doc_id, held_out, lang_pred, score. Rows held out, and all labels of theirs, are not learned from."""
+    """Per row: doc_id, held_out, lang_pred, score. Rows held out, and all labels of theirs, are not learned from.
+
+    Null texts and texts without a letter are `und` with score 0; a null key is not held out; repeated rows stay, each with
+    the same prediction; an empty table gives an empty result; other columns are not read.
+    """
     rows = docs.select(key, "text", "lang").withColumn("held_out", _held_out(key))
     model = train(rows.where("not held_out"), model_file, key=key, **options)
     return identify(rows, model, [key, "held_out"])

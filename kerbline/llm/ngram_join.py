@@ -37,7 +37,8 @@ while _BANDS[-1] < 1 << 40:
 #: Band g holds the sizes from _EDGES[g] to _EDGES[g + 1] - 1.
 _EDGES = np.array(_BANDS, dtype=np.int64)
 
-_word_hashes: dict[bytes, int] = {}
+#: A task remembers the hashes of about so many words.
+_KNOWN_WORDS = 100_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,16 +48,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles of a whole text, A-Z lower-cased, words between white space."""
+def shingles(text: str | None, width: int, known: dict[bytes, int] | None = None) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of a whole text, A-Z lower-cased, words between white space.
+
+    `known` remembers hashes of words from text to text.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    if len(_word_hashes) > 400_000:
-        _word_hashes.clear()
-    for w in set(words).difference(_word_hashes):
-        _word_hashes[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_word_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    known = {} if known is None else known
+    if len(known) > _KNOWN_WORDS:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     k = min(width, len(words))
     x = np.full(len(words) - k + 1, k, dtype=np.uint64)
     for i in range(k):
@@ -110,10 +115,11 @@ def sketches(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
     names = ["id", "n", "h1", "h2", "keys", "own", *[f"s{i}" for i in range(_COARSE)]]
 
     def work(batches):
+        known: dict[bytes, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingles(t, width) for t in part.column(1).to_pylist()]
+                sets = [shingles(t, width, known) for t in part.column(1).to_pylist()]
                 n = [len(s) for s in sets]
                 h1 = np.array([np.add.reduce(s) for s in sets], dtype=np.uint64).view(np.int64)
                 h2 = np.array([np.bitwise_xor.reduce(_mix(s + np.uint64(1))) for s in sets], np.uint64).view(np.int64)
@@ -153,6 +159,7 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
 
     def work(batches):
         last: dict = {}
+        known: dict[bytes, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -161,8 +168,8 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
                 kept = []
                 for i in range(len(a)):
                     if last.get("id") != b[i] or last.get("text") != texts_b[i]:
-                        last = {"id": b[i], "text": texts_b[i], "set": shingles(texts_b[i].as_py(), width)}
-                    if linked(shingles(texts_a[i].as_py(), width), last["set"], percent):
+                        last = {"id": b[i], "text": texts_b[i], "set": shingles(texts_b[i].as_py(), width, known)}
+                    if linked(shingles(texts_a[i].as_py(), width, known), last["set"], percent):
                         kept.append(i)
                 yield part.select([0, 1]).take(pa.array(kept, pa.int64()))
 
