@@ -1,10 +1,11 @@
 """Mixes sources to target weights, in DataFrame operations only.
 
 Each source's words form one sequence, cut into blocks of fixed length. A source fills as many slots as its target
-needs. Slot j of a source takes block perm(j) of its pass over the source: per source and pass a pseudorandom
-permutation of the full blocks, with the shorter last block at the end, so every block is used once per pass. All slots
-are dealt to output shards by one more permutation: the counts of the sources in a shard are then a multinomial draw
-given the sources' totals, which makes the totals exact to one block instead of exact on average.
+needs. How many slots of every output shard are a source's is drawn: the multinomial draw given the sources' totals,
+which makes the totals exact to one block instead of exact on average. The drawn counts are a written table; per source
+they are added up to the numbers of its slots, and slot j takes block perm(j) of its pass over the source: per source and
+pass a pseudorandom permutation of the full blocks, with the shorter last block at the end, so every block is used once
+per pass. Words are taken by joining these slots with the blocks of the documents.
 """
 
 from __future__ import annotations
@@ -48,8 +49,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], total: float, most: floa
                          F.least("top", F.coalesce(F.col("level") * F.col("w"), F.col("top"))).alias("target"))
 
 
-def slots(sources: DataFrame, block_words: int, seed: int, shard_slots: int) -> DataFrame:
-    """Every slot of the mix: shard, slot, sid, block, take (words taken, all but in a source's last slot the block's)."""
+def _plan(sources: DataFrame, block_words: int) -> DataFrame:
+    """Per source with slots: sid, n (words), quota (words to take), blocks, count (slots), first and all."""
     plan = sources.where("source_size > 0").select(
         "sid", F.col("source_size").alias("n"), F.round("target").cast("long").alias("quota"))
     plan = plan.withColumn("blocks", F.expr(f"(n + {block_words - 1}) div {block_words}"))
@@ -57,12 +58,37 @@ def slots(sources: DataFrame, block_words: int, seed: int, shard_slots: int) ->
         f"(quota div n) * blocks + ((quota % n) + {block_words - 1}) div {block_words}")).where("count > 0")
     plan = plan.withColumn("first", F.coalesce(F.sum("count").over(
         Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    plan = plan.withColumn("all", F.sum("count").over(Window.partitionBy()))
+    return plan.withColumn("all", F.sum("count").over(Window.partitionBy()))
+
+
+def draw(plan: DataFrame, seed: int, shard_slots: int) -> DataFrame:
+    """(shard, sid, n_blocks): the source counts drawn for each output shard of `shard_slots` slots.
+
+    Dealing all slots to the shards by one pseudorandom permutation is this draw: the counts of a shard are multinomial
+    given the sources' totals and what other shards have drawn.
+    """
     parts = plan.withColumn("part", F.explode(F.expr(f"sequence(0L, (count - 1) div {_SLOTS_AT_ONCE})")))
     tasks = 1 + parts.count() * _SLOTS_AT_ONCE // _SLOTS_A_TASK
     parts = parts.repartition(tasks, F.col("sid"), F.col("part"))
     each = parts.withColumn("j", F.explode(F.expr(
         f"sequence(part * {_SLOTS_AT_ONCE}, least((part + 1) * {_SLOTS_AT_ONCE}, count) - 1)")))
+    at = permuted("first + j", "all", f"{seed}L")
+    return each.withColumn("at", at).groupBy(F.expr(f"at div {shard_slots}").alias("shard"), "sid").agg(
+        F.count("*").alias("n_blocks"))
+
+
+def slots(plan: DataFrame, drawn: DataFrame, block_words: int, seed: int) -> DataFrame:
+    """Every slot of the mix: shard, slot, sid, block, length, take (all words of the block, but in a source's last slot).
+
+    A source's slots are numbered through the shards by what was drawn for it; inside a shard the sources' slots are
+    shuffled by one more permutation.
+    """
+    order = Window.partitionBy("shard").orderBy("sid")
+    placed = running(drawn, ["sid"], ["shard"], "n_blocks", "start").withColumns({
+        "lead": F.coalesce(F.sum("n_blocks").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "own": F.sum("n_blocks").over(Window.partitionBy("shard"))})
+    each = placed.join(bounded(plan), "sid").withColumn("j", F.explode(F.expr("sequence(start, start + n_blocks - 1)")))
+    each = each.withColumn("slot", permuted("lead + j - start", "own", f"xxhash64(shard, {seed}L)"))
     each = each.withColumn("pass", F.expr("j div blocks")).withColumn("i", F.expr("j % blocks"))
     each = each.withColumn("block", F.when(F.col("i") == F.col("blocks") - 1, F.col("i")).otherwise(
         permuted("i", "(blocks - 1)", f"xxhash64(sid, pass, {seed}L)")))
@@ -70,34 +96,30 @@ def slots(sources: DataFrame, block_words: int, seed: int, shard_slots: int) ->
                            .otherwise(F.lit(block_words)))
     before = F.col("pass") * F.col("n") + F.col("i") * block_words
     each = each.withColumn("take", F.least(F.col("length"), F.col("quota") - before))
-    at = permuted("first + j", "all", f"{seed}L")
-    return each.withColumn("at", at).select(
-        F.expr(f"at div {shard_slots}").alias("shard"), F.expr(f"at % {shard_slots}").alias("slot"), "sid", "block",
-        "length", "take")
-
-
-def draws(slot_table: DataFrame) -> DataFrame:
-    """The source counts drawn for each output shard."""
-    return slot_table.groupBy("shard", "sid").agg(F.count("*").alias("n_blocks"), F.sum("take").alias("n_words"))
+    return each.select("shard", "slot", "sid", "block", "length", "take")
 
 
 class Mix:
     """The mix of a document table with the columns `key`, `source` and `text`.
 
-    `pieces` has one row for each block that a document touches: row, at (first word in the document), words, full (how
-    often the whole block is taken) and part (words of the piece taken once more by the source's last slot).
+    `drawn` are the source counts of every output shard, `slots` what fills them. `pieces` has one row for each block that
+    a document touches: row, at (first word in the document), words, full (how often the whole block is taken), part (words
+    of the piece taken once more by the source's last slot) and shard (the first one that the block is in).
     """
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
                  weights: tuple[int, ...] = (3, 1, 2), total: float = 1.5, most: float = 2.0,
-                 block_words: int = BLOCK_WORDS, seed: int = 7, row: str | None = None):
+                 block_words: int = BLOCK_WORDS, seed: int = 7, row: str | None = None,
+                 shard_slots: int = SHARD_SLOTS):
         ident = F.col(row) if row else F.monotonically_increasing_id()
         self.rows = settle(docs.select(
             ident.alias("row"), F.col(key).alias("doc_id"), F.col(source).alias("source"),
             word_count(text).alias("size"), F.xxhash64(F.col(text)).alias("hash")), "mix-rows")
         sizes = self.rows.groupBy("source").agg(F.sum("size").alias("source_size"))
         self.sources = settle(targets(sizes, weights, total, most), "mix-sources")
-        self.slots = slots(self.sources, block_words, seed, SHARD_SLOTS)
+        plan = settle(_plan(self.sources, block_words), "mix-plan")
+        self.drawn = settle(draw(plan, seed, shard_slots), "mix-drawn")
+        self.slots = slots(plan, self.drawn, block_words, seed)
         names = self.sources.select(F.col("source").alias("__source"), "sid")
         ranked = self.rows.join(bounded(names), F.col("source").eqNullSafe(F.col("__source")))
         ranked = ranked.drop("__source").where("size > 0")
@@ -108,23 +130,27 @@ class Mix:
         cut = cut.withColumn("hi", F.least(F.expr("start + size"), (F.col("block") + 1) * block_words))
         taken = self.slots.groupBy("sid", "block").agg(
             F.count_if(F.col("take") >= F.col("length")).alias("full"),
-            F.max(F.when(F.col("take") < F.col("length"), F.col("take")).otherwise(0)).alias("extra"))
+            F.max(F.when(F.col("take") < F.col("length"), F.col("take")).otherwise(0)).alias("extra"),
+            F.min("shard").alias("shard"))
         part = F.least(F.col("hi"), F.col("block") * block_words + F.col("extra")) - F.col("lo")
         # Spark guesses the exploded slots to be as small as the table of sources; they grow with the words
         self.pieces = cut.join(taken.hint("merge"), ["sid", "block"]).select(
             "row", (F.col("lo") - F.col("start")).alias("at"), (F.col("hi") - F.col("lo")).alias("words"), "full",
-            F.greatest(part, F.lit(0)).alias("part"))
+            F.greatest(part, F.lit(0)).alias("part"), "shard")
 
     def taken(self) -> DataFrame:
-        """Per document row: doc_id, size, source_size, target, taken. Documents without words take none."""
-        sums = self.pieces.groupBy("row").agg(F.sum(F.expr("words * full + part")).alias("taken"))
+        """Per document row: doc_id, size, source_size, target, taken, first_shard (null if nothing is taken)."""
+        words = F.expr("words * full + part")
+        sums = self.pieces.groupBy("row").agg(
+            F.sum(words).alias("taken"), F.min(F.when(words > 0, F.col("shard"))).alias("first_shard"))
         rows = self.rows.join(sums, "row", "left").withColumnRenamed("source", "__source")
         return rows.join(bounded(self.sources), F.col("__source").eqNullSafe(F.col("source"))).select(
-            "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+            "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"),
+            "first_shard")
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken.
+    """Per document: doc_id, size, source_size, target, taken, first_shard (the first output shard with words of it).
 
     Null texts have size 0 and take nothing; a null source is a source of its own, last in order. Repeated rows are
     documents of their own. An empty table gives an empty result. Other columns are not read.

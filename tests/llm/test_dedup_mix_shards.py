@@ -98,12 +98,35 @@ def test_mix(spark, block):
 
 def test_mix_slots_and_draws(spark):
     docs = _docs(spark, [(i, "w " * 50, "ab"[i % 2]) for i in range(100)])
-    mix = mixing.Mix(docs, block_words=16)
+    mix = mixing.Mix(docs, block_words=16, shard_slots=40)
     slots = mix.slots.collect()
     assert len({(r.shard, r.slot) for r in slots}) == len(slots)
-    uses = Counter((r.sid, r.block) for r in slots)
-    assert max(uses.values()) <= 2
-    assert sum(r.n_words for r in mixing.draws(mix.slots).collect()) == sum(r["take"] for r in slots)
+    assert max(Counter((r.sid, r.block) for r in slots).values()) <= 2
+    drawn = {(r.shard, r.sid): r.n_blocks for r in mix.drawn.collect()}
+    assert drawn == Counter((r.shard, r.sid) for r in slots)
+    full = Counter(r.shard for r in slots)
+    assert all(sorted(r.slot for r in slots if r.shard == k) == list(range(n)) for k, n in full.items())
+    assert sorted(full.values())[1:] == [40] * (len(full) - 1)
+    # what documents take is what the slots take
+    taken = mix.taken().collect()
+    assert sum(r.taken for r in taken) == sum(r["take"] for r in slots)
+    assert all((r.first_shard is None) == (r.taken == 0) and (r.first_shard is None or r.first_shard in full) for r in taken)
+
+
+def test_draws_are_multinomial(spark):
+    """Counts of the sources over many shards against the multinomial given the totals: chi-squared, and their spread."""
+    docs = _docs(spark, [(i, "w " * 320, "abc"[i % 3]) for i in range(300)])
+    mix = mixing.Mix(docs, block_words=8, shard_slots=100)
+    counts = defaultdict(Counter)
+    for r in mix.drawn.collect():
+        counts[r.shard][r.sid] = r.n_blocks
+    shards = [c for c in counts.values() if sum(c.values()) == 100]
+    totals = sum(counts.values(), Counter())
+    share = {s: n / sum(totals.values()) for s, n in totals.items()}
+    chi = [sum((c[s] - 100 * p) ** 2 / (100 * p) for s, p in share.items()) for c in shards]
+    assert len(shards) > 100
+    # two degrees of freedom: mean 2, and 5 % above 5.99
+    assert abs(sum(chi) / len(chi) - 2) < 0.6 and sum(x > 5.99 for x in chi) < 0.12 * len(chi)
 
 
 def test_mixed_texts(spark):
