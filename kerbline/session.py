@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -54,7 +55,36 @@ def settle(df, label: str):
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._settled_at = path
+    return table
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = hadoop(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
+def discard(*tables) -> None:
+    """Delete the files of settled tables that nothing reads any more, here or in a result handed out."""
+    for table in tables:
+        path = table.__dict__.get("_settled_at")
+        if path in _SETTLED:
+            _SETTLED.remove(path)
+            _delete(table.sparkSession, [path])
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of jobs whose tables are settled.
+
+    Spark removes them once the driver has collected the plans that made them, which long after the last job of a chain
+    has not happened by itself; until then they fill the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 #: A settled lookup of at most so many rows may be broadcast.
@@ -72,10 +102,6 @@ def lookup(df, label: str):
 
 def release(spark: SparkSession) -> int:
     """Delete every path given out so far, once no result that reads them is needed. Returns how many there were."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     gone, _SETTLED[:] = list(_SETTLED), []
-    for path in gone:
-        place = hadoop(path)
-        place.getFileSystem(conf).delete(place, True)
+    _delete(spark, gone)
     return len(gone)
