@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.session import settle
+from kerbline.session import discard, settle
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -34,7 +34,9 @@ def components(links: DataFrame) -> DataFrame:
             F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
         low = _lowest(large)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        edges = settle(small.unionAll(low.select(F.col("u").alias("hi"), F.col("m").alias("lo"))).distinct(), "links")
+        before, edges = edges, settle(
+            small.unionAll(low.select(F.col("u").alias("hi"), F.col("m").alias("lo"))).distinct(), "links")
+        discard(before, large, low)
         before, state = state, _state(edges)
         if state == before:
             break

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from kerbline.llm.components import components
 from kerbline.llm.exact_dedup import fold, repeated, with_hits
-from kerbline.session import settle
+from kerbline.session import discard, free_shuffles, settle
 
 _FILTER_WORDS = 1 << 20
 _COARSE = 8
@@ -176,7 +176,11 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
     kind = docs.schema[key].dataType.simpleString()
     # a batch holds two whole texts a row
     with _conf(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", "500"):
-        return settle(rows.mapInArrow(work, f"a {kind}, b {kind}"), "verified")
+        found = settle(rows.mapInArrow(work, f"a {kind}, b {kind}"), "verified")
+    discard(pairs, folded, texts)
+    del pairs, ids, texts, first, second, rows
+    free_shuffles(docs.sparkSession)
+    return found
 
 
 def _whole(nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -205,19 +209,26 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
     keyed = nodes.select("node", F.explode("keys").alias("bit"))
     shared = settle(keyed.groupBy("bit").agg(F.count("*").alias("size")).where("size > 1"), "shared-keys")
+    free_shuffles(docs.sparkSession)
     folded = settle(fold(shared, _FILTER_WORDS), "shared-bits")
     members = settle(with_hits(keyed, "bit", folded, _FILTER_WORDS).where("__hit").drop("__hit").join(
         shared, "bit"), "members")
     weight = settle(members.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
-    members = settle(members.join(weight, "node").select(F.col("bit").alias("key"), "node", "weight"), "members")
+    first_members, members = members, settle(
+        members.join(weight, "node").select(F.col("bit").alias("key"), "node", "weight"), "members")
+    discard(first_members, shared, folded)
+    del keyed, first_members
+    free_shuffles(docs.sparkSession)
     centres = settle(members.groupBy("key").agg(
         F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre")), "centres")
     about = settle(nodes.join(weight.select("node"), "node"), "about")
+    free_shuffles(docs.sparkSession)
     pairs = members.join(centres, "key").where("node <> centre").select(
         F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     pairs = pairs.join(_named(about, "a"), "a").join(_named(about, "b"), "b").where(_near(percent)).select("a", "b")
     links = verified(_enough_in_common(pairs, about, percent), docs, key, text, width, percent)
     found = settle(components(links), "components")
+    free_shuffles(docs.sparkSession)
 
     placed = settle(_whole(members.select("key", "node"), found).join(
         _whole(centres.withColumnRenamed("centre", "node"), found).select("key", F.col("comp").alias("centre_comp")),
@@ -232,6 +243,7 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     links = links.unionByName(verified(
         _enough_in_common(more, about, percent), docs, key, text, width, percent)).unionByName(same)
     found = settle(components(links), "components")
+    discard(members, centres, weight, about, placed, once, same, copies)
     rows = made.select(F.col("id").alias("node"), F.col("n").alias("n_shingles"))
     return _whole(rows, found).select(F.col("node").alias(key), "n_shingles", F.col("comp").alias("component_id"))
 
@@ -248,6 +260,7 @@ def _enough_in_common(pairs: DataFrame, about: DataFrame, percent: int) -> DataF
     """Pairs with as many equal pieces as a link needs: in the band of the smaller set, each of the at most
     (|A| + |B|) (100 - p) / (100 + p) shingles of one set only can make one piece differ."""
     pairs = settle(pairs, "near-pairs")
+    free_shuffles(about.sparkSession)
     for side in "ab":
         pairs = pairs.join(about.select(F.col("node").alias(side), *[
             F.col(c).alias(f"{c}_{side}") for c in ("n", "own", "keys")]), side)
