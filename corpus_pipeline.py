@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kerbline.llm import byte_bpe, exact_dedup, language, mixing, ngram_join
 from kerbline.llm.queries import multilingual
-from kerbline.session import settle
+from kerbline.session import discard, free_shuffles, settle
 
 
 def _names(docs: DataFrame) -> dict[str, str]:
@@ -46,6 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = settle(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
     groups = ngram_join.join_groups(rows.where("doc_id is not null"), key="__row", width=5, percent=80)
     others = settle(groups.where("__row <> component_id").select("__row", "component_id"), "near-others")
+    free_shuffles(spark)
     first = others.select("component_id").distinct().select(F.col("component_id").alias("__row"), "component_id")
     linked = settle(others.unionByName(first).join(rows.select("__row", F.col("doc_id").alias("__id")), "__row"),
                     "near-linked")
@@ -75,5 +76,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
+        free_shuffles(spark)
     return docs
