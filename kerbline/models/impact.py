@@ -4,76 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.constants import CLASSIFIER_FEATURES, FEATURES, MAX_CLEARANCE_MIN
-from kerbline.models import encode
+from kerbline.models import boosting, encode
+from kerbline.models.boosting import Boosted, Fit
 from kerbline.operators import features, profile
-from kerbline.session import settle, shared_dir
+from kerbline.session import settle
 
 _LABELS = ["id", "road_closure", "high_priority", "duration_min", "recency_weight"]
+PARTS = ("closure", "priority", "duration")
 
 
 class ImpactModel:
     """Two classifiers on the lean feature set and a clearance regressor on the full one.
 
-    The clearance regressor is fitted on log minutes with recent events weighing more, and only
-    with more than `min_labelled` known clearances.
+    The clearance regressor is fitted on log minutes with recent events weighing more, and only with more than
+    `min_labelled` known clearances. All parts are fitted together; each stops after ten rounds without gain on the
+    validation rows and keeps the trees up to its best round.
     """
 
-    def __init__(self, trees: int = 600, rate: float = 0.03, depth: int = 4, min_leaf: int = 30,
-                 duration_trees: int = 500, duration_rate: float = 0.05, duration_depth: int = 5,
+    def __init__(self, trees: int = 600, rate: float = 0.03, leaves: int = 15, min_leaf: int = 30, l2: float = 1.0,
+                 duration_trees: int = 500, duration_rate: float = 0.05, duration_leaves: int = 31,
                  min_labelled: int = 200):
-        self.trees, self.rate, self.depth, self.min_leaf = trees, rate, depth, min_leaf
-        self.duration_trees, self.duration_rate = duration_trees, duration_rate
-        self.duration_depth, self.min_labelled = duration_depth, min_labelled
+        self.trees, self.rate, self.leaves, self.min_leaf, self.l2 = trees, rate, leaves, min_leaf, l2
+        self.duration_trees, self.duration_rate, self.duration_leaves = duration_trees, duration_rate, duration_leaves
+        self.min_labelled = min_labelled
         self.rates: DataFrame | None = None
         self.levels: dict[str, list[str]] = {}
-        self.closure: PipelineModel | None = None
-        self.priority: PipelineModel | None = None
-        self.duration: PipelineModel | None = None
-
-    def _classifier(self, label: str) -> Pipeline:
-        trees = GBTClassifier(
-            labelCol=label, featuresCol="features", maxIter=self.trees, stepSize=self.rate, maxDepth=self.depth,
-            maxBins=encode.MAX_BINS, minInstancesPerNode=self.min_leaf, validationIndicatorCol="validation",
-            predictionCol=f"{label}_class", seed=0)
-        trees.setProbabilityCol(f"{label}_probability").setRawPredictionCol(f"{label}_raw")
-        return Pipeline(stages=[*encode.tree_stages(CLASSIFIER_FEATURES), trees])
-
-    def _regressor(self) -> Pipeline:
-        trees = GBTRegressor(
-            labelCol="log_minutes", featuresCol="features", weightCol="recency_weight", lossType="absolute",
-            maxIter=self.duration_trees, stepSize=self.duration_rate, maxDepth=self.duration_depth,
-            maxBins=encode.MAX_BINS, minInstancesPerNode=self.min_leaf, validationIndicatorCol="validation",
-            predictionCol="log_minutes_hat", seed=0)
-        return Pipeline(stages=[*encode.tree_stages(FEATURES), trees])
-
-    def fit(self, clean_events: DataFrame, parts: tuple[str, ...] = ("closure", "priority", "duration")) -> ImpactModel:
+        self.closure: Boosted | None = None
+        self.priority: Boosted | None = None
+        self.duration: Boosted | None = None
+
+    def _classifier(self, part: str, label: str) -> Fit:
+        return Fit(part, label, tuple(CLASSIFIER_FEATURES), "log", self.trees, self.rate, self.leaves, self.min_leaf, self.l2)
+
+    def fit(self, clean_events: DataFrame, parts: tuple[str, ...] = PARTS) -> ImpactModel:
         """Fit the asked parts. The feature table is written once and read by every fit."""
-        shared_dir(clean_events.sparkSession)
         self.rates = settle(features.closure_rates(clean_events), "rates")
         wanted = FEATURES if "duration" in parts else CLASSIFIER_FEATURES
         frame = settle(features.feature_frame(
             profile.recency_weight(clean_events), rates=self.rates, keep=_LABELS, features=wanted), "features")
         self.levels = features.learn_levels(frame)
-        train = encode.with_validation(features.cap_levels(frame, self.levels)).persist()
-        if "closure" in parts:
-            self.closure = self._classifier("road_closure").fit(train)
-        if "priority" in parts:
-            self.priority = self._classifier("high_priority").fit(train)
-        if "duration" in parts:
-            known = train.where(F.col("duration_min").isNotNull()).withColumn("log_minutes", F.log1p("duration_min"))
-            if known.count() > self.min_labelled:
-                self.duration = self._regressor().fit(known)
-        train.unpersist()
+        train = encode.with_validation(features.cap_levels(frame, self.levels)).withColumn(
+            "log_minutes", F.log1p("duration_min"))
+        fits = [self._classifier(part, label) for part, label in (("closure", "road_closure"), ("priority", "high_priority"))
+                if part in parts]
+        if "duration" in parts and train.where("duration_min is not null").count() > self.min_labelled:
+            fits.append(Fit("duration", "log_minutes", tuple(FEATURES), "absolute", self.duration_trees, self.duration_rate,
+                            self.duration_leaves, self.min_leaf, 0.0, "recency_weight"))
+        for part, model in boosting.fit_all(train, fits).items():
+            setattr(self, part, model)
         return self
 
+    def tree_counts(self, spark: SparkSession) -> DataFrame:
+        """(part, n_fitted, n_trees, first_loss, best_loss): rounds made, trees kept, validation loss before and at best."""
+        rows = [(part, len(m.curve) - 1, len(m.trees), m.curve[0], min(m.curve))
+                for part, m in ((p, getattr(self, p)) for p in PARTS) if m is not None]
+        return spark.createDataFrame(rows, "part string, n_fitted int, n_trees int, first_loss double, best_loss double")
+
     def features(self, clean_events: DataFrame, history: DataFrame | None = None, keep=(),
                  wanted: Sequence[str] | None = None) -> DataFrame:
         """The capped features, by default those that the fitted parts need."""
@@ -90,21 +80,16 @@ class ImpactModel:
         """
         carried = {f"kept_{c}": F.col(c) for c in keep}
         scored = self.features(clean_events.withColumns(carried), history, keep=["id", *carried])
-        made = [("closure", "p_road_closure", "road_closure_probability"),
-                ("priority", "p_high_priority", "high_priority_probability")]
-        outputs = []
-        for part, name, column in made:
-            model = getattr(self, part)
-            if model is not None:
-                kept = scored.columns
-                scored = model.transform(scored).select(*kept, vector_to_array(F.col(column))[1].alias(name))
-                outputs.append(F.col(name))
+        models = {"p_road_closure": self.closure, "p_high_priority": self.priority, "log_minutes_hat": self.duration}
+        models = {name: m for name, m in models.items() if m is not None}
+        used = {c for m in models.values() for c in m.features}
+        scored = boosting.scored(scored.select("id", *carried, *[c for c in scored.columns if c in used]), models)
         if self.duration is not None:
             minutes = F.greatest(F.least(F.expm1("log_minutes_hat"), F.lit(float(MAX_CLEARANCE_MIN))), F.lit(1.0))
-            scored = self.duration.transform(scored).withColumn("exp_duration_min", minutes)
         else:
-            scored = scored.withColumn("exp_duration_min", F.lit(None).cast("double"))
-        return scored.select("id", *[F.col(f"kept_{c}").alias(c) for c in keep], *outputs, "exp_duration_min")
+            minutes = F.lit(None).cast("double")
+        outputs = [n for n in models if n != "log_minutes_hat"]
+        return scored.select("id", *[F.col(f"kept_{c}").alias(c) for c in keep], *outputs, minutes.alias("exp_duration_min"))
 
     def save(self, path: str) -> None:
         spark = self.rates.sparkSession
@@ -112,10 +97,8 @@ class ImpactModel:
         rows = [(c, i, v) for c, names in self.levels.items() for i, v in enumerate(names)]
         (spark.createDataFrame(rows, "feature string, place int, level string")
          .write.mode("overwrite").parquet(f"{path}/levels"))
-        present = [p for p in ("closure", "priority", "duration") if getattr(self, p) is not None]
-        for part in present:
-            getattr(self, part).write().overwrite().save(f"{path}/{part}")
-        spark.createDataFrame([(p,) for p in present], "part string").write.mode("overwrite").json(f"{path}/parts")
+        made = [(p, getattr(self, p).to_json()) for p in PARTS if getattr(self, p) is not None]
+        spark.createDataFrame(made, "part string, model string").write.mode("overwrite").parquet(f"{path}/models")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ImpactModel:
@@ -123,6 +106,6 @@ class ImpactModel:
         model.rates = spark.read.parquet(f"{path}/rates")
         for row in spark.read.parquet(f"{path}/levels").orderBy("feature", "place").collect():
             model.levels.setdefault(row["feature"], []).append(row["level"])
-        for row in spark.read.schema("part string").json(f"{path}/parts").collect():
-            setattr(model, row["part"], PipelineModel.load(f"{path}/{row['part']}"))
+        for row in spark.read.parquet(f"{path}/models").collect():
+            setattr(model, row["part"], Boosted.from_json(row["model"]))
         return model

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from dataclasses import replace
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kerbline.constants import CLASSIFIER_FEATURES, FEATURE_GROUPS, FEATURES
-from kerbline.models import encode
+from kerbline.models import boosting, encode
 from kerbline.models.impact import ImpactModel
 from kerbline.operators import features, metrics, splits
 from kerbline.session import settle
@@ -31,9 +32,8 @@ DROPPED = {"full": [], "no_kde": _KERNELS, "no_density": _DENSITY, "neither": _K
 _JOBS_AT_ONCE = 8
 
 
-def boosted(trees: int = 600, rate: float = 0.05, depth: int = 5) -> GBTClassifier:
-    return GBTClassifier(labelCol=LABEL, maxIter=trees, stepSize=rate, maxDepth=depth, maxBins=encode.MAX_BINS,
-                         minInstancesPerNode=30, validationIndicatorCol="validation", seed=0)
+def boosted(trees: int = 600, rate: float = 0.05, leaves: int = 31) -> boosting.Fit:
+    return boosting.Fit("", LABEL, (), "log", trees, rate, leaves)
 
 
 def forest(trees: int = 400, depth: int = 10) -> RandomForestClassifier:
@@ -41,7 +41,7 @@ def forest(trees: int = 400, depth: int = 10) -> RandomForestClassifier:
                                   minInstancesPerNode=5, seed=0)
 
 
-def logistic(iterations: int = 200) -> LogisticRegression:
+def logistic(iterations: int = 2000) -> LogisticRegression:
     return LogisticRegression(labelCol=LABEL, maxIter=iterations, weightCol="balance", standardization=False)
 
 
@@ -68,9 +68,54 @@ class FoldStudy:
             train, test = (features.target_encoding(d.drop("corridor_event_rate"), rates) for d in (train, test))
         return train, test
 
+    def _rated(self) -> DataFrame:
+        """The table with the corridor rate as every fold's training rows have it."""
+        if not hasattr(self, "_with_rates"):
+            table = self.table
+            for fold in self.folds:
+                rates = self.table.where(F.col("fold") < fold).groupBy("corridor").agg(F.avg(LABEL).alias("corridor_event_rate"))
+                table = features.target_encoding(table.drop("corridor_event_rate"), rates).withColumnRenamed(
+                    "corridor_event_rate", f"corridor_event_rate_{fold}")
+            self._with_rates = settle(table, "study-rates")
+        return self._with_rates
+
+    def staged(self, runs: dict[str, tuple[Sequence[str], boosting.Fit, int | None]]) -> list[DataFrame]:
+        """(fold, run, y, p) per fold for runs of (columns, boosted fit, number of trees).
+
+        All fits go through the same jobs. Runs that differ in their number of trees alone share one fit: the shorter
+        ensemble is a prefix of the longer.
+        """
+        rated = any("corridor_event_rate" in columns for columns, _, _ in runs.values())
+        table = self._rated() if rated else self.table
+
+        def name(column: str, fold: int) -> str:
+            return f"corridor_event_rate_{fold}" if column == "corridor_event_rate" else column
+
+        fits: dict[tuple, boosting.Fit] = {}
+        for columns, fit, _ in runs.values():
+            for fold in self.folds:
+                key = tuple(columns), fit, fold
+                if columns and key not in fits:
+                    fits[key] = replace(fit, name=str(len(fits)), label=LABEL, before=fold,
+                                        features=tuple(name(c, fold) for c in columns))
+        models = boosting.fit_all(table, list(fits.values()), "fold")
+        predicted = []
+        for fold in self.folds:
+            test = table.where(F.col("fold") == fold)
+            base = self.table.where(F.col("fold") < fold).agg(F.avg(LABEL)).first()[0]
+            own = {run: (models[fits[tuple(columns), fit, fold].name], most)
+                   for run, (columns, fit, most) in runs.items() if columns}
+            used = sorted({c for m, _ in own.values() for c in m.features})
+            rows = boosting.scored(test.select(F.col(LABEL).alias("y"), *used), {
+                f"__p{i}": m for i, m in enumerate(own.values())})
+            scores = [F.struct(F.lit(run).alias("run"), F.col(f"__p{i}").alias("p")) for i, run in enumerate(own)]
+            scores += [F.struct(F.lit(run).alias("run"), F.lit(base).alias("p")) for run in runs if run not in own]
+            predicted.append(rows.select(F.lit(fold).alias("fold"), "y", F.inline(F.array(*scores))))
+        return predicted
+
     def _predict(self, fold: int, columns: Sequence[str], family: str, estimator) -> DataFrame:
         train, test = self._fold(fold, columns)
-        used = list(columns) if family == "boosted" else [c for c in columns if c not in WIDE]
+        used = [c for c in columns if c not in WIDE]
         base = train.agg(F.avg(LABEL)).first()[0]
         if not used:
             return test.select(F.lit(fold).alias("fold"), F.col(LABEL).alias("y"), F.lit(base).alias("p"))
@@ -87,15 +132,21 @@ class FoldStudy:
     def cv(self, runs: dict[str, tuple[Sequence[str], str, Callable]]) -> DataFrame:
         """(run, auc_mean, auc_std, pr_auc_mean) for named runs of (columns, family, estimator maker).
 
-        Fits run a few at a time; all predictions are then evaluated together.
+        Boosted runs are fitted together, other fits run a few at a time; all predictions are then evaluated together.
         """
+        trees = {name: (columns, make(), None) for name, (columns, family, make) in runs.items() if family == "boosted"}
+
         def fit(job):
             name, (columns, family, make), fold = job
             return self._predict(fold, columns, family, make()).withColumn("run", F.lit(name))
 
-        jobs = [(name, spec, fold) for name, spec in runs.items() for fold in self.folds]
+        jobs = [(name, spec, fold) for name, spec in runs.items() if name not in trees for fold in self.folds]
+        predicted = self.staged(trees) if trees else []
         with ThreadPool(_JOBS_AT_ONCE) as pool:
-            predicted = pool.map(fit, jobs)
+            predicted += pool.map(fit, jobs)
+        return self._evaluated(predicted)
+
+    def _evaluated(self, predicted: list[DataFrame]) -> DataFrame:
         together = settle(reduce(DataFrame.unionByName, predicted), "predictions")
         keys = ["run", "fold"]
         scores = metrics.roc_auc(together, "y", "p", keys).join(
@@ -106,7 +157,7 @@ class FoldStudy:
 
 
 def family_compare(study: FoldStudy, columns: Sequence[str], trees: int = 600, forest_trees: int = 400,
-                   iterations: int = 200) -> DataFrame:
+                   iterations: int = 2000) -> DataFrame:
     return study.cv({
         "boosted": (columns, "boosted", lambda: boosted(trees)),
         "forest": (columns, "forest", lambda: forest(forest_trees)),
@@ -169,37 +220,47 @@ def top_drivers(importances: DataFrame, most: int = 8) -> DataFrame:
 
 
 def grid_search(study: FoldStudy, columns: Sequence[str], grid: Sequence[tuple[float, int, int]] = tuple(GRID)) -> DataFrame:
-    """Cross-validated AUC per (rate, trees, leaves); a tree's depth follows its leaves."""
-    runs = {f"{rate}/{trees}/{leaves}": (columns, "boosted", lambda r=rate, t=trees, n=leaves: boosted(
-        t, r, max(2, n.bit_length()))) for rate, trees, leaves in grid}
-    return study.cv(runs)
+    """Cross-validated AUC per (rate, trees, leaves).
+
+    One fit per rate and leaves, with the most trees that are asked for, serves every number of trees.
+    """
+    most = {(rate, leaves): max(t for r, t, n in grid if (r, n) == (rate, leaves)) for rate, _, leaves in grid}
+    return study._evaluated(study.staged({
+        f"{rate}/{trees}/{leaves}": (columns, boosted(most[rate, leaves], rate, leaves), trees)
+        for rate, trees, leaves in grid}))
 
 
 def permutation_importance(model: ImpactModel, clean_events: DataFrame, repeats: int = 5, seed: int = 0,
                            bucket_rows: int = 10_000) -> DataFrame:
     """(feature, importance, spread): mean AUC lost when a column is shuffled.
 
-    Every feature and repeat is one shuffled copy of the rows. Rows get a random order by hash;
-    within random buckets of bounded size each row takes the next row's value (the last the
-    first's), so a copy holds exactly the same values. All copies are scored in one job.
+    Every feature and repeat is one shuffled copy of one column. Values get a random order by hash; within random buckets
+    of bounded size each row takes the next row's value (the last the first's), so a copy holds exactly the same values.
+    Only the shuffled value travels; it meets its row again by the row's number. All copies are scored in one job.
     """
     frame = settle(model.features(clean_events, keep=["id", LABEL], wanted=CLASSIFIER_FEATURES).select(
-        "id", LABEL, *CLASSIFIER_FEATURES), "permute")
+        F.monotonically_increasing_id().alias("_row"), LABEL, *CLASSIFIER_FEATURES), "permute")
     buckets = max(1, frame.count() // bucket_rows)
-    copies = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(r).alias("repeat"))
-                       for c in CLASSIFIER_FEATURES for r in range(repeats)])
-    dealt = (frame.select("*", F.inline(copies))
-             .withColumn("_order", F.xxhash64("id", "feature", "repeat", F.lit(seed)))
+    texts = set(encode.categorical(CLASSIFIER_FEATURES))
+    copies = F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.lit(r).alias("repeat"),
+                 (F.col(c) if c in texts else F.lit(None)).cast("string").alias("text"),
+                 (F.lit(None) if c in texts else F.col(c)).cast("double").alias("number"))
+        for c in CLASSIFIER_FEATURES for r in range(repeats)])
+    dealt = (frame.select("_row", F.inline(copies))
+             .withColumn("_order", F.xxhash64("_row", "feature", "repeat", F.lit(seed)))
              .withColumn("_bucket", F.pmod(F.xxhash64("_order"), F.lit(buckets))))
-    ordered = W.partitionBy("feature", "repeat", "_bucket").orderBy("_order", "id")
+    ordered = W.partitionBy("feature", "repeat", "_bucket").orderBy("_order", "_row")
     whole = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    row = F.struct(*CLASSIFIER_FEATURES)
-    dealt = (dealt.withColumn("_other", F.coalesce(F.lead(row).over(ordered), F.first(row).over(whole))))
-    shuffled = dealt.select("id", LABEL, "feature", "repeat", *[
-        F.when(F.col("feature") == c, F.col(f"_other.{c}")).otherwise(F.col(c)).alias(c) for c in CLASSIFIER_FEATURES])
-    probability = vector_to_array(F.col("road_closure_probability"))[1].alias("p")
-    scored = settle(model.closure.transform(shuffled).select("feature", "repeat", LABEL, probability), "permuted")
-    base = metrics.roc_auc(model.closure.transform(frame).select(LABEL, probability), LABEL, "p").first()[0]
+    value = F.struct("text", "number")
+    other = dealt.select("_row", "feature", "repeat", F.coalesce(
+        F.lead(value).over(ordered), F.first(value).over(whole)).alias("_other"))
+    kinds = dict(frame.dtypes)
+    shuffled = other.join(frame, "_row").select(LABEL, "feature", "repeat", *[
+        F.when(F.col("feature") == c, F.col("_other.text" if c in texts else "_other.number").cast(kinds[c])).otherwise(
+            F.col(c)).alias(c) for c in CLASSIFIER_FEATURES])
+    scored = settle(boosting.scored(shuffled, {"p": model.closure}).select("feature", "repeat", LABEL, "p"), "permuted")
+    base = metrics.roc_auc(boosting.scored(frame, {"p": model.closure}).select(LABEL, "p"), LABEL, "p").first()[0]
     lost = metrics.roc_auc(scored, LABEL, "p", by=["feature", "repeat"], few_groups=True).withColumn(
         "lost", F.lit(base) - F.col("roc_auc"))
     return lost.groupBy("feature").agg(F.avg("lost").alias("importance"), F.stddev_pop("lost").alias("spread"))

@@ -132,6 +132,13 @@ def corridor_forecast(spark, sf_dir):
     return tidy(panel.corridor_forecast(_forecast(t), weights.corridor_centroids(t.clean_table), K.NO_CORRIDOR))
 
 
+def corridor_actuals(spark, sf_dir):
+    """The recorded side of the corridor forecast."""
+    t = Tables(spark, sf_dir)
+    made = panel.corridor_forecast(_forecast(t), weights.corridor_centroids(t.clean_table), K.NO_CORRIDOR)
+    return tidy(made.drop("pred_events", "pred_impact"))
+
+
 def pred_actual_density(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return tidy(surface.density2d(forecast.after(_forecast(t), _cut(t)), "pred_events", "n_events"))
@@ -198,8 +205,21 @@ def forward_selection(spark, sf_dir):
     return tidy(studies.forward_selection(_study(t), list(K.FEATURE_GROUPS), "boosted", studies.boosted))
 
 
+def _grid(t: Tables):
+    """On a table of the columns that it uses, written once per session."""
+    study = _once(t, "lean study", lambda: studies.FoldStudy(t.clean_table, K.CLASSIFIER_FEATURES))
+    return _once(t, "grid", lambda: settle(studies.grid_search(study, K.CLASSIFIER_FEATURES), "grid"))
+
+
 def grid_search(spark, sf_dir):
-    return tidy(studies.grid_search(_study(Tables(spark, sf_dir)), K.CLASSIFIER_FEATURES))
+    return tidy(_grid(Tables(spark, sf_dir)))
+
+
+def grid_runs(spark, sf_dir):
+    """What SQL can know of the grid: its runs, and that every mean lies in the range of its metric."""
+    return _grid(Tables(spark, sf_dir)).select(
+        "run", F.col("auc_mean").between(0.5, 1).alias("better_than_chance"), F.col("auc_std").between(0, 0.5).alias("steady"),
+        F.col("pr_auc_mean").between(0, 1).alias("in_range"))
 
 
 def permutation_importance(spark, sf_dir):
@@ -233,6 +253,15 @@ def recent_recommendations(spark, sf_dir):
 
 def publish_tables(spark, sf_dir):
     """Rows per published table, read back."""
+    return _once(Tables(spark, sf_dir), "published", lambda: settle(_published(spark, sf_dir), "published-rows"))
+
+
+def published_rows(spark, sf_dir):
+    """The rows of the published tables that do not depend on a model."""
+    return publish_tables(spark, sf_dir).where("name <> 'options'")
+
+
+def _published(spark, sf_dir):
     t = Tables(spark, sf_dir)
 
     def build(path: str) -> None:
@@ -247,6 +276,20 @@ def publish_tables(spark, sf_dir):
     return result
 
 
+def tree_counts(spark, sf_dir):
+    """Per model: rounds fitted, trees kept, validation loss before the first tree and at the best."""
+    return tidy(_impact(Tables(spark, sf_dir)).tree_counts(spark))
+
+
+def tree_count_facts(spark, sf_dir):
+    """What must hold for every model: a loss no higher than without trees, and no more rounds than the patience of ten
+    allows behind the best."""
+    t = Tables(spark, sf_dir)
+    return _impact(t).tree_counts(spark).select(
+        "part", (F.col("best_loss") <= F.col("first_loss")).alias("gains"),
+        (F.col("n_fitted") - F.col("n_trees") <= 10).alias("stops_in_time"))
+
+
 def _reports_folder(t: Tables) -> str:
     def write() -> str:
         path = fresh_path(t.spark, "reports")
@@ -276,11 +319,26 @@ def panel_stream(spark, sf_dir):
 QUERIES = {f.__name__: f for f in [
     closure_model, priority_model, duration_model, score_impact, hotspot_model, hotspot_impact, forecast_panel,
     forecast_rows, score_rows,
-    forecast_cv, corridor_forecast, pred_actual_density, residual_morans_i, aft_model, encode_features,
+    forecast_cv, corridor_actuals, grid_runs, published_rows, corridor_forecast, pred_actual_density, residual_morans_i, aft_model, encode_features,
     family_compare, group_ablation, kde_ablation, forward_selection, grid_search, permutation_importance,
-    top_drivers, score_events, recent_recommendations, publish_tables, score_stream, panel_stream]}
+    tree_counts, tree_count_facts, top_drivers, score_events, recent_recommendations, publish_tables, score_stream, panel_stream]}
 
 ORACLES: dict[str, str] = {
+    "grid_runs": """SELECT rate || '/' || trees || '/' || leaves AS run, true AS better_than_chance, true AS steady,
+        true AS in_range FROM (VALUES ('0.03'), ('0.05'), ('0.1')) r(rate), (VALUES ('400'), ('800')) t(trees),
+        (VALUES ('15'), ('31'), ('63')) l(leaves) WHERE EXISTS (SELECT 1 FROM events)""",
+    "corridor_actuals": with_ctes(["clean", "features"], """SELECT corridor, round(avg(n_events), 6) AS actual_events,
+        round(any_value(lat), 6) AS latitude, round(any_value(lon), 6) AS longitude
+        FROM features LEFT JOIN (SELECT corridor AS c, avg(latitude) AS lat, avg(longitude) AS lon FROM clean GROUP BY 1)
+        ON c = corridor WHERE corridor <> 'Non-corridor' GROUP BY corridor"""),
+    "published_rows": with_ctes(["clean", "features"], """
+        SELECT 'corridor_forecast' AS name, count(DISTINCT corridor) AS n_rows FROM features WHERE corridor <> 'Non-corridor'
+        UNION ALL SELECT 'how_profile', count(*) FROM (SELECT DISTINCT corridor, isodow(bin), hour(bin) FROM features)
+        UNION ALL SELECT 'events_sample', count(*) FROM clean
+        UNION ALL SELECT 'centroids', count(DISTINCT corridor) FROM clean
+        UNION ALL SELECT 'meta', 1"""),
+    "tree_count_facts": """SELECT part, true AS gains, true AS stops_in_time
+        FROM (VALUES ('closure'), ('duration'), ('priority')) v(part) WHERE EXISTS (SELECT 1 FROM events)""",
     "panel_stream": space_time.ORACLES["panel_counts"],
     "forecast_rows": with_ctes(["features"], """SELECT corridor, CAST(bin AS VARCHAR) AS bin, n_events, n_impact,
         CAST(hour AS INTEGER) AS hour, CAST(dow AS INTEGER) AS dow, true AS pred_events_is_count,
