@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from kerbline.llm import (alignment, byte_bpe, common, exact_dedup, hard_negatives, language, mixing, ngram_join, page_text, secrets,
                           sharding, token_counts, toxicity, vantage)
@@ -76,6 +77,23 @@ def _page_text(spark, sf_dir):
     return page_text.page_text(common.table(spark, sf_dir, "pages"))
 
 
+def _mix_targets(spark, sf_dir):
+    """The part of the mix that SQL can know: sizes and targets."""
+    return _mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+def _shard_counts(spark, sf_dir):
+    """The law of the shards: their counts, with the lowest and highest slot."""
+    return _shards(spark, sf_dir).groupBy("law", "shard").agg(
+        F.count("*").alias("n_rows"), F.min("slot").alias("low"), F.max("slot").alias("high"),
+        F.countDistinct("slot").alias("n_slots"), F.sum("size").isNotNull().alias("sized"))
+
+
+def _section_spans(spark, sf_dir):
+    """Where the sections of the token counts begin and end."""
+    return _section_tokens(spark, sf_dir).select("doc_id", "section", "start", "end")
+
+
 QUERIES = {
     "op1_exact_dedup": _exact,
     "op2_source_mix": _mix,
@@ -90,6 +108,9 @@ QUERIES = {
     "op11_token_alignment": _alignment,
     "op12_hard_negatives": _hard_negatives,
     "op13_page_text": _page_text,
+    "mix_targets": _mix_targets,
+    "shard_counts": _shard_counts,
+    "section_spans": _section_spans,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -135,7 +156,38 @@ _NEGATIVES = """
             AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
     SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
 
+_TARGETS = r"""
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+               FROM documents),
+    s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS sid
+          FROM d GROUP BY source),
+    w AS (SELECT *, [3.0, 1.0, 2.0][(sid - 1) % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * source_size AS top FROM s),
+    r AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(top) OVER o, 0))
+                    / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level
+          FROM w WINDOW o AS (ORDER BY top / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    l AS (SELECT level FROM r WHERE level <= top / w ORDER BY top / w, sid LIMIT 1)
+    SELECT doc_id, size, source_size::BIGINT AS source_size,
+           round(least(top, coalesce((SELECT level FROM l) * w, top)), 6) AS target
+    FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source"""
+
+_SHARD_COUNTS = """
+    WITH n AS (SELECT count(*) AS n FROM documents),
+    c AS (SELECT i, (n - i + 23) // 24 AS c FROM n, range(24) t(i))
+    SELECT 'rows' AS law, i::INT AS shard, c::BIGINT AS n_rows, 0::BIGINT AS low, (c - 1)::BIGINT AS high,
+           c::BIGINT AS n_slots, true AS sized FROM c WHERE c > 0"""
+
+_SPANS = """
+    WITH p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
+    q AS (SELECT doc_id, CASE WHEN len(p) > 1 AND p[-1] = '' THEN list_transform(p[:-2], lambda x: len(x) + 1)
+                 ELSE list_append(list_transform(p[:-2], lambda x: len(x) + 1), len(p[-1])) END AS n FROM p)
+    SELECT doc_id, (i - 1)::BIGINT AS section, coalesce(list_sum(n[:i - 1]), 0)::BIGINT AS start,
+           list_sum(n[:i])::BIGINT AS "end"
+    FROM (SELECT doc_id, n, unnest(range(1, len(n) + 1)) AS i FROM q)"""
+
 ORACLES = {
+    "mix_targets": _TARGETS,
+    "shard_counts": _SHARD_COUNTS,
+    "section_spans": _SPANS,
     "op12_hard_negatives": _NEGATIVES,
     "op8_ngram_join": _LINKED,
     "op6_vantage_trees": _SEARCH,
