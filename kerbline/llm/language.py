@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbline.llm.common import give_back
+
 UNKNOWN = "und"
 #: Fixed value: how the vocabulary writes the start of a word.
 _START = "▁"
@@ -284,6 +286,8 @@ def identify(docs: DataFrame, model: Unigrams | None, carry: list[str], text: st
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:len(carry)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                     names=[*carry, "lang_pred", "score"])
+        own = batch = part = texts = None
+        give_back()
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
     sent = carry if text in carry else [*carry, text]

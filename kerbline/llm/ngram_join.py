@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbline.llm.common import give_back
 from kerbline.llm.components import components
 from kerbline.llm.exact_dedup import fold, repeated, with_hits
 from kerbline.session import discard, free_shuffles, settle
@@ -129,6 +130,8 @@ def sketches(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
                     [part.column(0), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2),
                      pa.array(keys, pa.list_(pa.int64())), pa.array(own, pa.int64()),
                      *[pa.array(np.ascontiguousarray(rough[:, i])) for i in range(_COARSE)]], names=names)
+        known = batch = part = sets = keys = rough = None
+        give_back()
 
     kind = docs.schema[key].dataType.simpleString()
     more = "".join(f", s{i} long" for i in range(_COARSE))
@@ -172,6 +175,8 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
                     if linked(shingles(texts_a[i].as_py(), width, known), last["set"], percent):
                         kept.append(i)
                 yield part.select([0, 1]).take(pa.array(kept, pa.int64()))
+        last = known = batch = part = texts_a = texts_b = None
+        give_back()
 
     kind = docs.schema[key].dataType.simpleString()
     # a batch holds two whole texts a row
@@ -208,7 +213,9 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     nodes = usable.where("not __hit").select(F.col("id").alias("node"), *sketch).unionByName(once.select("node", *sketch))
 
     keyed = nodes.select("node", F.explode("keys").alias("bit"))
-    shared = settle(keyed.groupBy("bit").agg(F.count("*").alias("size")).where("size > 1"), "shared-keys")
+    # nearly every key is in one set only: summing up before the shuffle would fill memory and save nothing
+    shared = settle(keyed.select("bit").repartition("bit").groupBy("bit").agg(
+        F.count("*").alias("size")).where("size > 1"), "shared-keys")
     free_shuffles(docs.sparkSession)
     folded = settle(fold(shared, _FILTER_WORDS), "shared-bits")
     members = settle(with_hits(keyed, "bit", folded, _FILTER_WORDS).where("__hit").drop("__hit").join(
