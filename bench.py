@@ -14,7 +14,8 @@ from pyspark.sql import SparkSession
 HEADLINE = [
     "clean_incidents", "closure_rate_by_cause", "value_profile", "duration_describe", "feature_groups",
     "feature_frame", "spatial_weights", "panel_features", "morans_i", "kde_surface", "time_split", "roc_auc",
-    "average_precision", "concordance", "severity_thresholds", "recommend",
+    "average_precision", "concordance", "severity_thresholds", "recommend", "severity_weight_search", "tree_counts",
+    "grid_search", "score_stream",
 ]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# The columns of the raw export, in its order, and those that hold times.
 _TEXT = [
     "id", "event_type", "event_cause", "corridor", "veh_type", "zone", "priority",
     "requires_road_closure",

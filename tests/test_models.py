@@ -98,6 +98,75 @@ def test_forecast_covers_the_panel(spark):
     assert rows.where((F.col("pred_events") < 0) | F.col("pred_events").isNull()).count() == 0
 
 
+def test_weibull_without_penalty_equals_spark(spark):
+    import numpy as np
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import AFTSurvivalRegression
+
+    from kerbline.models import aft
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(400):
+        a, b = int(rng.integers(0, 2)), float(rng.normal())
+        t = float(np.exp(1.0 + 0.7 * a - 0.4 * b + 0.6 * np.log(rng.exponential())))
+        rows.append((min(t, 6.0), int(t < 6.0), a, b))
+    table = spark.createDataFrame(rows, "T double, E int, a int, b double")
+    own = aft.fit_aft(table, penalty=0.0, covariates=["a", "b"])
+    theirs = AFTSurvivalRegression(labelCol="T", censorCol="E", maxIter=200, tol=1e-10).fit(VectorAssembler(
+        inputCols=["a", "b"], outputCol="features").transform(table.withColumn("E", F.col("E").cast("double"))))
+    assert own.coefficients == pytest.approx(list(theirs.coefficients), abs=2e-3)
+    assert own.intercept == pytest.approx(theirs.intercept, abs=2e-3)
+    assert np.exp(own.log_scale) == pytest.approx(theirs.scale, abs=2e-3)
+
+    # with a penalty: no neighbour of the solution has a higher penalised likelihood, by the formula row by row
+    held = aft.fit_aft(table, penalty=0.05, covariates=["a", "b"])
+    t, e, x = (np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2:] for r in rows]))
+
+    def value(theta):
+        z = (np.log(t) - x @ theta[:2] - theta[2]) / np.exp(theta[3])
+        return (e * (z - theta[3]) - np.exp(z)).mean() - 0.05 / 2 * (theta[:2] ** 2).sum()
+
+    best = np.array([*held.coefficients, held.intercept, held.log_scale])
+    for i in range(4):
+        for step in (-1e-3, 1e-3):
+            assert value(best + step * np.eye(4)[i]) < value(best)
+    assert abs(held.coefficients[0]) < abs(own.coefficients[0])
+    medians = aft.median_minutes(held, table.withColumn("id", F.lit("x"))).collect()
+    want = np.clip(np.exp(x @ best[:2] + best[2] + np.exp(best[3]) * np.log(np.log(2))), 1, 1440)
+    assert sorted(r.median_min for r in medians) == pytest.approx(sorted(want))
+
+
+def test_forecast_families(tables):
+    from kerbline.models.forecast import HotspotModel
+
+    for family in ("line", "trees"):
+        model = HotspotModel(family=family, iterations=3, trees=3).fit(tables.clean_table)
+        made = model.forecast_panel(tables.clean_table)
+        assert made.where("pred_events < 0 or pred_impact < 0 or pred_events is null").count() == 0
+        path = fresh_path(tables.spark, "hotspot")
+        model.save(path)
+        again = HotspotModel.load(tables.spark, path)
+        assert again.family == family and made.exceptAll(again.forecast_panel(tables.clean_table)).count() == 0
+    with pytest.raises(ValueError):
+        HotspotModel(family="other")
+
+
+def test_grid_runs_equal_separate_fits(tables):
+    from kerbline import constants as K
+    from kerbline.models import studies
+
+    study = studies.FoldStudy(tables.clean_table, K.CLASSIFIER_FEATURES)
+    table = {r["run"]: r["auc_mean"] for r in studies.grid_search(study, K.CLASSIFIER_FEATURES, [
+        (0.1, 3, 15), (0.1, 8, 15), (0.3, 8, 7)]).collect()}
+    assert set(table) == {"0.1/3/15", "0.1/8/15", "0.3/8/7"}
+    for run, auc in table.items():
+        rate, trees, leaves = (float(x) for x in run.split("/"))
+        alone = study.cv({"one": (K.CLASSIFIER_FEATURES, "boosted", lambda: studies.boosted(  # noqa: B023
+            int(trees), rate, int(leaves)))}).first()["auc_mean"]
+        assert auc == pytest.approx(alone)
+
+
 def test_published_tables(spark):
     counts = {r.name: r.n_rows for r in learning.publish_tables(spark, SF).collect()}
     assert set(counts) == {"corridor_forecast", "how_profile", "events_sample", "options", "centroids", "meta"}
