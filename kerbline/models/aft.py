@@ -94,12 +94,12 @@ def fit_aft(survival: DataFrame, penalty: float = 0.05, iterations: int = 100,
         steps += 1
         slope = gradient - ridge * theta
         curve = -second + np.diag(ridge)
-        low = np.linalg.eigvalsh(curve)[0]
-        if low <= 1e-9:  # far from the top the likelihood need not be concave
-            curve = curve + np.eye(len(theta)) * (1e-6 - low)
+        bends = np.linalg.eigvalsh(curve)
+        if bends[0] <= 1e-9:  # far from the top the likelihood need not be concave
+            curve = curve + np.eye(len(theta)) * (0.1 * max(np.abs(bends).max(), 1e-6) - bends[0])
         move = np.linalg.solve(curve, slope)
         now = value - (ridge * theta ** 2).sum() / 2
-        size = 1.0
+        size = min(1.0, 1.0 / max(abs(float(move[-1])), 1e-12))  # the scale changes by a factor of e at most
         while True:
             tried = theta + size * move
             value, gradient, second = _sums(rows, covariates, tried)
