@@ -228,12 +228,12 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     free_shuffles(docs.sparkSession)
     centres = settle(members.groupBy("key").agg(
         F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre")), "centres")
-    about = settle(nodes.join(weight.select("node"), "node"), "about")
+    about = settle(nodes.drop("keys").join(weight.select("node"), "node"), "about")
     free_shuffles(docs.sparkSession)
     pairs = members.join(centres, "key").where("node <> centre").select(
         F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     pairs = pairs.join(_named(about, "a"), "a").join(_named(about, "b"), "b").where(_near(percent)).select("a", "b")
-    links = verified(_enough_in_common(pairs, about, percent), docs, key, text, width, percent)
+    links = verified(_enough_in_common(pairs, nodes, percent), docs, key, text, width, percent)
     found = settle(components(links), "components")
     free_shuffles(docs.sparkSession)
 
@@ -248,7 +248,7 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     more = left.join(right, (left["key"] == right["key"]) & (F.col("comp_a") != F.col("comp_b")) & _near(percent))
     more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = links.unionByName(verified(
-        _enough_in_common(more, about, percent), docs, key, text, width, percent)).unionByName(same)
+        _enough_in_common(more, nodes, percent), docs, key, text, width, percent)).unionByName(same)
     found = settle(components(links), "components")
     discard(members, centres, weight, about, placed, once, same, copies)
     rows = made.select(F.col("id").alias("node"), F.col("n").alias("n_shingles"))
@@ -263,13 +263,18 @@ def _near(percent: int):
     return near & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
 
-def _enough_in_common(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+def _enough_in_common(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs with as many equal pieces as a link needs: in the band of the smaller set, each of the at most
-    (|A| + |B|) (100 - p) / (100 + p) shingles of one set only can make one piece differ."""
+    (|A| + |B|) (100 - p) / (100 + p) shingles of one set only can make one piece differ. Keys are the bulk of a node, so
+    only those of nodes that a filter finds in a pair are shuffled."""
     pairs = settle(pairs, "near-pairs")
-    free_shuffles(about.sparkSession)
+    free_shuffles(nodes.sparkSession)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    folded = settle(fold(ids.select(F.xxhash64("id").alias("bit")), _FILTER_WORDS), "in-pairs")
+    nodes = with_hits(nodes.select("node", "n", "own", "keys", F.xxhash64("node").alias("__bit")), "__bit", folded,
+                      _FILTER_WORDS).where("__hit")
     for side in "ab":
-        pairs = pairs.join(about.select(F.col("node").alias(side), *[
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), *[
             F.col(c).alias(f"{c}_{side}") for c in ("n", "own", "keys")]), side)
     own = F.when(F.col("n_a") < F.col("n_b"), F.col("own_a")).when(F.col("n_a") > F.col("n_b"), F.col("own_b")).otherwise(
         F.least("own_a", "own_b"))
