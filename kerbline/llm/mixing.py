@@ -81,12 +81,14 @@ def slots(plan: DataFrame, drawn: DataFrame, block_words: int, seed: int) -> Dat
     """Every slot of the mix: shard, slot, sid, block, length, take (all words of the block, but in a source's last slot).
 
     A source's slots are numbered through the shards by what was drawn for it; inside a shard the sources' slots are
-    shuffled by one more permutation.
+    shuffled by one more permutation. The drawn rows are few and small, so tasks follow the slots that they stand for.
     """
+    tasks = 1 + (drawn.agg(F.sum("n_blocks")).first()[0] or 0) // _SLOTS_A_TASK
     order = Window.partitionBy("shard").orderBy("sid")
     placed = running(drawn, ["sid"], ["shard"], "n_blocks", "start").withColumns({
         "lead": F.coalesce(F.sum("n_blocks").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "own": F.sum("n_blocks").over(Window.partitionBy("shard"))})
+    placed = placed.repartition(tasks, "sid", "shard")
     each = placed.join(bounded(plan), "sid").withColumn("j", F.explode(F.expr("sequence(start, start + n_blocks - 1)")))
     each = each.withColumn("slot", permuted("lead + j - start", "own", f"xxhash64(shard, {seed}L)"))
     each = each.withColumn("pass", F.expr("j div blocks")).withColumn("i", F.expr("j % blocks"))
