@@ -40,14 +40,20 @@ def severity_parts(scored: DataFrame) -> DataFrame:
 PARTS = ["closure", "priority", "duration", "cause"]
 
 
+#: Slice limits are kept per blend, so there are so many blends at most.
+MOST_BLENDS = 256
+
+
 def rank_objective(parts: DataFrame, blends: list[tuple[float, float, float, float]]) -> DataFrame:
-    """Per blend (weights of PARTS, 256 blends at most): Spearman of the blended score against
+    """Per blend (weights of PARTS, MOST_BLENDS at most; more raise): Spearman of the blended score against
     closure, against known duration, and their mean.
 
     The ranks of the recorded facets do not depend on the blend, so they are made once. Equal
     events are added up first; each distinct one then gives one row per blend, and equal scores
     are added up again before anything is ordered.
     """
+    if len(blends) > MOST_BLENDS:
+        raise ValueError(f"{len(blends)} blends at once, of {MOST_BLENDS} at most")
     facets = settle(parts.groupBy("real_closure", "real_duration", *PARTS).agg(F.count("*").alias("m")).withColumn(
         "known", F.col("real_duration").isNotNull().cast("bigint")), "distinct-events")
     size = facets.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("all"),

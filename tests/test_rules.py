@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from kerbline import constants as K
 from kerbline.functions import clock, text
-from kerbline.operators import cleaning, rules
+from kerbline.operators import cleaning, rules, severity
 from kerbline.sources import incidents
 
 
@@ -88,3 +88,9 @@ def test_broken_csv_rows_raise(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,description\nA1,x\nA2,x,y\n")
     with pytest.raises(Exception, match="(?i)malformed"):
         incidents.read_csv(spark, str(tmp_path)).collect()
+
+
+def test_more_blends_than_stated_raise(spark):
+    parts = spark.createDataFrame([(1.0, 0.5, 1.0, 0.5, 0.5, 0.5)], ["real_closure", "real_duration", *severity.PARTS])
+    with pytest.raises(ValueError, match="blends"):
+        severity.rank_objective(parts, [(1.0, 0.0, 0.0, 0.0)] * (severity.MOST_BLENDS + 1))
