@@ -115,6 +115,24 @@ def test_blocks_make_no_difference(table, monkeypatch):
             assert (a.feature == b.feature).all() and (a.mask == b.mask).all() and a.value == pytest.approx(b.value)
 
 
+def test_a_table_of_some_blocks_takes_a_task_per_model(spark, table, monkeypatch):
+    """Jobs follow the models, not the levels of all trees; beyond the bound a shuffle sums the same."""
+    fits = [B.Fit("p", "closed", COLUMNS, trees=5, rate=0.2), B.Fit("m", "minutes", COLUMNS, "absolute", 5, 0.2, l2=0.0),
+            B.Fit("n", "count", COLUMNS, "poisson", 5, 0.2)]
+    monkeypatch.setattr(B, "_BLOCK_ROWS", 500)
+    jobs = []
+    monkeypatch.setattr(B._Trainer, "_job", lambda *a, job=B._Trainer._job: jobs.append(1) or job(*a))
+    near = B.fit_all(table, fits)
+    assert not jobs
+    monkeypatch.setattr(B, "_TASK_ROWS", 2000, raising=False)
+    far = B.fit_all(table, fits)
+    assert len(jobs) > 20
+    for name, model in near.items():
+        assert model.curve == pytest.approx(far[name].curve)
+        for a, b in zip(model.trees, far[name].trees, strict=True):
+            assert (a.feature == b.feature).all() and (a.mask == b.mask).all() and a.value == pytest.approx(b.value)
+
+
 def test_leaves_sizes_and_folds(table):
     marked = table.withColumn("fold", F.when(F.col("a") > 0, 1).otherwise(0))
     fit = B.Fit("p", "closed", COLUMNS, trees=3, leaves=5, min_leaf=100, before=1)
