@@ -151,8 +151,14 @@ def forecast_skill(model_mae: Column, naive_mae: Column) -> Column:
     return 1 - model_mae / naive_mae
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation as an aggregate; null where either side has no spread, for which `corr` divides by zero."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.agg(F.corr(a, b).alias("pearson"))
+    return df.agg(correlation(a, b).alias("pearson"))
 
 
 def calibration(df: DataFrame, y: str, p: str, bins: int = 8) -> DataFrame:

@@ -89,7 +89,7 @@ def _forecast_error(spark, sf_dir, actual: str, predicted: str):
     naive = forecast.after(panel.seasonal_naive(_forecast(t)), _cut(t)).where(F.col("snaive").isNotNull())
     naive_mae = naive.agg(F.avg(F.abs(F.col("n_events") - F.col("snaive")))).first()[0]
     row = tested.agg(F.avg(F.abs(F.col(actual) - F.col(predicted))).alias("mae"),
-                     F.corr(predicted, actual).alias("pearson"), F.count("*").alias("n_bins"))
+                     metrics.correlation(predicted, actual).alias("pearson"), F.count("*").alias("n_bins"))
     if actual == "n_events" and naive_mae:
         row = row.withColumn("skill", metrics.forecast_skill(F.col("mae"), F.lit(naive_mae)))
     return tidy(row)

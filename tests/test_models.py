@@ -152,6 +152,16 @@ def test_forecast_families(tables):
         HotspotModel(family="other")
 
 
+def test_forecasts_without_spread_have_no_correlation(spark):
+    from kerbline.operators import metrics
+
+    flat = spark.createDataFrame([(0.3, 1), (0.3, 0), (0.3, 2)], "p double, n long")
+    assert metrics.pearson(flat, "p", "n").first()[0] is None
+    assert metrics.pearson(flat.limit(1), "p", "n").first()[0] is None
+    known = spark.createDataFrame([(1.0, 2), (2.0, 1), (4.0, 7), (None, 50), (9.0, None)], "p double, n long")
+    assert metrics.pearson(known, "p", "n").first()[0] == pytest.approx(0.8824975)
+
+
 def test_grid_runs_equal_separate_fits(tables):
     from kerbline import constants as K
     from kerbline.models import studies
