@@ -4,9 +4,10 @@ Only strictly earlier events count. The join is a grid equi-join, arranged so th
 not grow with the square of a hot place:
 
 * events of one place and moment are added up on both sides, so copies cost one row;
-* time is cut into blocks of about equal counts. Earlier blocks enter as one row per place and
-  block and are carried forward by a running sum per place; only events of the same block meet
-  one by one. The number of blocks follows the busiest place, up to 1,024;
+* time is cut into blocks of about equal counts. Earlier blocks enter as one tally per place and
+  block, meet place by place (distances and kernels once per pair of places) and are carried
+  forward by a running sum per place; only events of the same block meet one by one. The number of
+  blocks follows the busiest place, up to 1,024;
 * crowded cells are split on both sides by a salt, one task per part; sums over parts add up;
 * pairs are summed where they are found, never stored.
 """
@@ -27,11 +28,12 @@ SITE = ["latitude", "longitude"]
 FEATURES = ["hist_density_1km", "hist_density_3km", "kde_intensity", "kde_gathering",
             "kde_accident", "kde_closure", "hrs_since_nearby"]
 _SUMS = FEATURES[:6]
+_TALLIES = ["n", "n_gathering", "n_accident", "n_closure"]
 
-_STEP_DEGREES = KERNEL_CUTOFF_KM / 2 / geo.KM_PER_DEGREE
+_STEP_DEGREES = KERNEL_CUTOFF_KM / geo.KM_PER_DEGREE  # a row is sent to about nine cells
 _MOST_BLOCKS = 1024
-_BLOCK_MOMENTS = 8         # moments of the busiest place that one block holds about
-_MOST_COVER = 36           # cells one place may look into (away from the poles)
+_BLOCK_MOMENTS = 2         # moments of the busiest place that one block holds about
+_MOST_COVER = 16           # cells one place may look into (away from the poles)
 _ROWS_PER_PART = 20_000    # rows of one cell a part may hold on either side
 _MOST_HOT_CELLS = 50_000   # bound of the broadcast list of crowded cells
 
@@ -94,20 +96,23 @@ def _meet(source: DataFrame, query: DataFrame, keys: list[str], rows: int) -> Da
                     .withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
                     .drop("_s", "_q"))
 
-        source = parted(source, "_s", "_q", ["s_lat", "s_lon", "s_t"])
+        source = parted(source, "_s", "_q", [c for c in ("s_lat", "s_lon", "s_t") if c in source.columns])
         query = parted(query, "_q", "_s", [*SITE, "t"] if "t" in query.columns else SITE)
         keys = [*keys, "_s_part", "_q_part"]
-    return (source.repartition(tasks, *keys).hint("merge")
-            .join(query.repartition(tasks, *keys), keys))
+    # angles are made on either side of the shuffle's end, so that they need not be sent
+    return (source.repartition(tasks, *keys).select("*", *_angles("s", "s_lat", "s_lon")).hint("merge")
+            .join(query.repartition(tasks, *keys).select("*", *_angles("q", *SITE)), keys))
 
 
 def _nearby(pairs: DataFrame) -> DataFrame:
-    """Keep pairs within the cutoff and add their distance (angles and cosines come ready)."""
+    """Keep pairs within the cutoff and add their distance and kernels (angles and cosines come ready)."""
     dlat = F.sin((F.col("q_rlat") - F.col("s_rlat")) / 2)
     dlon = F.sin((F.col("q_rlon") - F.col("s_rlon")) / 2)
     h = dlat * dlat + F.col("s_clat") * F.col("q_clat") * dlon * dlon
     close = pairs.withColumn("h", h).where(F.col("h") <= geo.reach(KERNEL_CUTOFF_KM))
-    return close.withColumn("d", geo.arc_km(F.col("h")))
+    inside = (F.col("d") <= KERNEL_CUTOFF_KM).cast("double")
+    return close.withColumn("d", geo.arc_km(F.col("h"))).withColumns(
+        {"narrow": inside * _kernel(NARROW_BANDWIDTH_KM), "wide": inside * _kernel(WIDE_BANDWIDTH_KM)})
 
 
 def _kernel(bandwidth_km: float) -> Column:
@@ -116,8 +121,7 @@ def _kernel(bandwidth_km: float) -> Column:
 
 def _contributions() -> list[Column]:
     near, far = DENSITY_RADII_KM
-    inside = (F.col("d") <= KERNEL_CUTOFF_KM).cast("double")
-    narrow, wide = inside * _kernel(NARROW_BANDWIDTH_KM), inside * _kernel(WIDE_BANDWIDTH_KM)
+    narrow, wide = F.col("narrow"), F.col("wide")
     return [
         F.sum(F.when(F.col("d") <= near, F.col("n")).otherwise(0)).alias("hist_density_1km"),
         F.sum(F.when(F.col("d") <= far, F.col("n")).otherwise(0)).alias("hist_density_3km"),
@@ -129,31 +133,31 @@ def _contributions() -> list[Column]:
     ]
 
 
-def _angles(prefix: str) -> list[Column]:
-    return [F.radians("latitude").alias(f"{prefix}_rlat"), F.radians("longitude").alias(f"{prefix}_rlon"),
-            F.cos(F.radians("latitude")).alias(f"{prefix}_clat")]
+def _angles(prefix: str, lat: str, lon: str) -> list[Column]:
+    return [F.radians(lat).alias(f"{prefix}_rlat"), F.radians(lon).alias(f"{prefix}_rlon"),
+            F.cos(F.radians(lat)).alias(f"{prefix}_clat")]
 
 
-def _as_source(df: DataFrame, *keep: str) -> DataFrame:
+def _as_source(df: DataFrame, *keep: Column | str) -> DataFrame:
     return df.select(
-        F.col("latitude").alias("s_lat"), F.col("longitude").alias("s_lon"), *_angles("s"),
-        F.col("t").alias("s_t"), "n", "n_gathering", "n_accident", "n_closure", *keep,
+        F.col("latitude").alias("s_lat"), F.col("longitude").alias("s_lon"), *keep,
         geo.grid_cell(F.col("latitude"), F.col("longitude"), F.lit(_STEP_DEGREES)).alias("cell"))
 
 
 def _covered(df: DataFrame) -> DataFrame:
-    return geo.with_cover(df.select("*", *_angles("q")), "latitude", "longitude",
-                          F.lit(KERNEL_CUTOFF_KM), F.lit(_STEP_DEGREES))
+    return geo.with_cover(df, "latitude", "longitude", F.lit(KERNEL_CUTOFF_KM), F.lit(_STEP_DEGREES))
 
 
 def _earlier_blocks(source: DataFrame, query: DataFrame, rows: int) -> DataFrame:
     """Per query place and block: totals over all earlier blocks."""
     by_block = (source.groupBy(*SITE, "block")
-                .agg(F.max("t").alias("t"), *[F.sum(c).alias(c) for c in
-                     ("n", "n_gathering", "n_accident", "n_closure")]))
+                .agg(F.max("t").alias("t"), *[F.sum(c).alias(c) for c in _TALLIES]))
+    # a place has at most as many tallies as there are blocks
+    by_place = by_block.groupBy(*SITE).agg(F.collect_list(F.struct(
+        "block", F.col("t").alias("s_t"), *_TALLIES)).alias("tallies"))
     places = query.select(*SITE).distinct()
-    met = _nearby(_meet(_as_source(by_block, "block"), _covered(places), ["cell"], rows))
-    per_block = met.groupBy(*SITE, "block").agg(*_contributions())
+    met = _nearby(_meet(_as_source(by_place, "tallies"), _covered(places), ["cell"], rows))
+    per_block = met.select(*SITE, "d", "narrow", "wide", F.inline("tallies")).groupBy(*SITE, "block").agg(*_contributions())
     asked = query.select(*SITE, "block").distinct().select(*SITE, "block", F.lit(True).alias("asked"))
     both = per_block.join(asked, [*SITE, "block"], "full")
     before = W.partitionBy(*SITE).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
@@ -185,7 +189,7 @@ def causal_neighbourhood(events: DataFrame, history: DataFrame | None = None,
     else:
         same = ["cell"]
     extra = same[1:]
-    met = (_meet(_as_source(source, *extra), _covered(query), same, rows)
+    met = (_meet(_as_source(source, F.col("t").alias("s_t"), *_TALLIES, *extra), _covered(query), same, rows)
            .where(F.col("s_t") < F.col("t")))
     found = _nearby(met).groupBy(*SITE, "t").agg(*_contributions())
     if blocks > 1:

@@ -126,3 +126,10 @@ def test_lookups_do_not_shuffle_the_events(spark):
     events = spark.range(1000).selectExpr("id", "concat('c', id % 3) AS corridor", "CAST(id % 2 AS INT) AS road_closure")
     plan = features.target_encoding(events, features.closure_rates(events))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning(corridor" not in plan
+
+
+def test_an_event_is_sent_to_few_cells(spark):
+    """What the neighbourhood join shuffles follows the cells that an event looks into."""
+    spots = spark.createDataFrame([(lat / 7, 77.5 + lat / 11) for lat in range(-400, 400, 9)], "latitude double, longitude double")
+    cells = neighbours._covered(spots).groupBy("latitude", "longitude").count()
+    assert cells.where("count > 16").count() == 0 and cells.agg({"count": "avg"}).first()[0] < 12
