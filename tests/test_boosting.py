@@ -158,3 +158,34 @@ def test_saved_and_odd(spark, table):
     assert all(r.p < 1e-6 for r in B.scored(odd, {"p": one_class}).collect())
     with pytest.raises(ValueError):
         B.fit_all(table, [B.Fit("p", "closed", COLUMNS, loss="other")])
+
+
+def test_below_the_root_only_the_smaller_nodes_are_summed(table, monkeypatch):
+    """The other node has the rest of its parent's sums; features counted together give each one's own sums."""
+    summed = []
+    plain = B._histogram
+
+    def recorded(rows, g, h, opened):
+        hist = plain(rows, g, h, opened)
+        own = [np.arange(len(g)) if rows.parts[node] is None else rows.parts[node] for node in opened]
+        assert sum(map(len, rows.groups)) == len(rows.sizes) and len(rows.groups) < len(rows.sizes)
+        for one, part in zip(hist, own, strict=True):
+            for place, end in enumerate(np.cumsum(rows.sizes)):
+                for k, x in enumerate((g, h, np.ones(len(g)))):
+                    size = rows.sizes[place]
+                    loops = np.bincount(rows.bins[place][part], x[part], minlength=size)
+                    assert one[end - size:end, k] == pytest.approx(loops, abs=1e-9)
+        summed.append((opened, sum(map(len, own)), len(g)))
+        return hist
+
+    monkeypatch.setattr(B, "_histogram", recorded)
+    trainer = B._Trainer(table, [B.Fit("p", "closed", COLUMNS, trees=3, rate=0.2)], None, "validation")
+    fit, = trainer.fits
+    trainer.base = {}
+    known = trainer._context([0])
+    blocks = [(r["n"], bytes(r["bins"]), bytes(r["numbers"])) for r in trainer.packed.collect()]
+    rows = B._Rows(blocks, known["fits"][0], known["shape"])
+    _, trees, _ = B._rounds(rows, fit, known["fits"][0]["sizes"], known["fits"][0]["cats"])
+    assert len(trees) == 3 and len(summed) > 6
+    for opened, counted, n in summed:
+        assert counted == n if opened == [0] else counted <= n / 2
