@@ -95,9 +95,18 @@ class Tables:
             _WRITTEN[key] = settle(build(), name)
         return _WRITTEN[key]
 
+    def _incidents(self, events: DataFrame) -> DataFrame:
+        return self.spark.sql(RAW_SQL.replace("FROM events", "FROM {events}"), events=events)
+
+    def _spread_events(self) -> DataFrame:
+        """The events, dealt to all cores where their file is read by fewer tasks: parsing the log is the work."""
+        events = self.read("events")
+        cores = self.spark.sparkContext.defaultParallelism
+        return events.repartition(2 * cores) if events.rdd.getNumPartitions() < cores else events
+
     @cached_property
     def raw(self) -> DataFrame:
-        return self.spark.sql(RAW_SQL.replace("FROM events", "FROM {events}"), events=self.read("events"))
+        return self._incidents(self.read("events"))
 
     @cached_property
     def clean(self) -> DataFrame:
@@ -105,7 +114,7 @@ class Tables:
 
     @cached_property
     def clean_table(self) -> DataFrame:
-        return self.written("clean", lambda: self.clean)
+        return self.written("clean", lambda: cleaning.clean(self._incidents(self._spread_events())))
 
     @cached_property
     def scored(self) -> DataFrame:

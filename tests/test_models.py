@@ -137,6 +137,53 @@ def test_weibull_without_penalty_equals_spark(spark):
     assert sorted(r.median_min for r in medians) == pytest.approx(sorted(want))
 
 
+def test_weibull_steps_are_not_compiled_anew(spark, monkeypatch):
+    """A step's sums are made by tasks, beside loops; no step is an aggregate of as many terms."""
+    import numpy as np
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from kerbline.models import aft
+
+    rng = np.random.default_rng(6)
+    rows = [(float(rng.exponential()) + 0.01, int(rng.integers(0, 2)), int(rng.integers(0, 3)), float(rng.normal()))
+            for _ in range(50)]
+    table = spark.createDataFrame(rows, "T double, E int, a int, b double").repartition(3)
+    theta = np.array([0.3, -0.2, 0.1, -0.4])
+
+    def loops(theta):
+        total = 0.0
+        for t, e, a, b in rows:
+            z = (np.log(t) - theta[0] * a - theta[1] * b - theta[2]) / np.exp(theta[3])
+            total += e * (z - theta[3]) - np.exp(z)
+        return total / len(rows)
+
+    value, gradient, second = aft._sums(table, ["a", "b"], theta)
+    assert value == pytest.approx(loops(theta))
+    ways = 1e-4 * np.eye(4)
+    assert gradient == pytest.approx([(loops(theta + w) - loops(theta - w)) / 2e-4 for w in ways], rel=1e-5, abs=1e-7)
+    for i, one in enumerate(ways):
+        up, down = (aft._sums(table, ["a", "b"], theta + k * one)[1] for k in (1, -1))
+        assert second[i] == pytest.approx((up - down) / 2e-4, rel=1e-5, abs=1e-6)
+
+    wide = []
+    monkeypatch.setattr(DataFrame, "agg", lambda self, *c, agg=DataFrame.agg: wide.append(len(c)) or agg(self, *c))
+    aft.fit_aft(table, covariates=["a", "b"])
+    assert wide and max(wide) <= 3
+
+
+def test_few_files_are_parsed_by_all_cores(spark, tmp_path):
+    """The written clean table has the rows of the cleaning; a file of one row group is dealt out before it is parsed."""
+    from kerbline.plans.fixture import Tables
+
+    spark.range(300).selectExpr(
+        "id AS event_id", "timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id) AS ts", "id % 40 AS user_id",
+        "'x' AS event_type", "CAST(id AS DOUBLE) AS value", "'p' AS props").coalesce(1).write.parquet(
+        str(tmp_path / "events.parquet"))
+    t = Tables(spark, str(tmp_path))
+    assert len(t.clean_table.inputFiles()) > 4
+    assert sorted(map(str, t.clean_table.collect())) == sorted(map(str, t.clean.collect()))
+
+
 def test_forecast_families(tables):
     from kerbline.models.forecast import HotspotModel
 
