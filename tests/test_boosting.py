@@ -189,3 +189,18 @@ def test_below_the_root_only_the_smaller_nodes_are_summed(table, monkeypatch):
     assert len(trees) == 3 and len(summed) > 6
     for opened, counted, n in summed:
         assert counted == n if opened == [0] else counted <= n / 2
+
+
+@pytest.mark.parametrize("leaves", [1, 2, 15, 16, 17, 32, 33, 63, 64, 70])
+def test_leaf_bits_beside_the_walk(leaves):
+    """The leaf that no split closes is the one that steps from the root reach, without a step per level."""
+    rng = np.random.default_rng(leaves)
+    grown = B._Growing()
+    while sum(f < 0 for f in grown.feature) < leaves:
+        grown.open = [int(rng.choice(np.flatnonzero(np.array(grown.feature) < 0)))]
+        grown.split([(1.0, int(rng.integers(0, 4)), np.packbits(rng.random(256) < 0.5), None, None)], leaves)
+    tree = grown.tree(rng.normal(size=len(grown.feature)))
+    bins = rng.integers(0, 256, (4, 3000)).astype(np.uint8)
+    assert (tree._leaves is None) == (leaves > 64)
+    assert (tree.predict(bins) == tree.value[tree.nodes(bins)]).all()
+    assert len(tree.predict(bins[:, :0])) == 0
