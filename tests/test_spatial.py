@@ -133,3 +133,23 @@ def test_an_event_is_sent_to_few_cells(spark):
     spots = spark.createDataFrame([(lat / 7, 77.5 + lat / 11) for lat in range(-400, 400, 9)], "latitude double, longitude double")
     cells = neighbours._covered(spots).groupBy("latitude", "longitude").count()
     assert cells.where("count > 16").count() == 0 and cells.agg({"count": "avg"}).first()[0] < 12
+
+
+def test_chords_lose_no_pair_and_a_querys_pairs_follow_each_other(spark):
+    """Pairs about the cutoff apart, over poles and the antimeridian: those whose arc is within it, each query's in turn."""
+    rng = random.Random(3)
+    points = []
+    for i in range(400):
+        lat, lon = rng.choice([0.0, 13.0, 60.0, 89.99, -89.99]), rng.choice([77.6, 179.99, -179.99, 0.0])
+        far = neighbours.KERNEL_CUTOFF_KM / geo.KM_PER_DEGREE * rng.choice([0.5, 1 - 1e-7, 1.0, 1 + 1e-7, 2.0])
+        points.append((lat, lon, lat + far * rng.choice([-1, 0, 1]), lon + far * rng.choice([-1, 0, 1]), 1, i))
+    table = spark.createDataFrame(points, "latitude double, longitude double, s_lat double, s_lon double, cell int, n int")
+    query, source = table.select("latitude", "longitude", "cell"), table.select("s_lat", "s_lon", "cell", "n")
+    met = neighbours._meet(source, query, ["cell"], 10)
+    near = neighbours._nearby(met)
+    plain = query.join(source, "cell").where(geo.half_chord_squared(
+        F.col("latitude"), F.col("longitude"), F.col("s_lat"), F.col("s_lon")) <= geo.reach(neighbours.KERNEL_CUTOFF_KM))
+    assert near.count() == plain.count() > 400
+    assert "q_x" in near.columns
+    rows = [(r.latitude, r.longitude) for r in met.limit(800).collect()]
+    assert len({*rows}) < 10
