@@ -38,6 +38,9 @@ while _BANDS[-1] < 1 << 40:
 #: Band g holds the sizes from _EDGES[g] to _EDGES[g + 1] - 1.
 _EDGES = np.array(_BANDS, dtype=np.int64)
 
+#: Keys are counted in so many parts, one after the other.
+_KEY_PARTS = 4
+
 #: A task remembers the hashes of about so many words.
 _KNOWN_WORDS = 100_000
 
@@ -149,8 +152,7 @@ def _conf(spark, name: str, value: str):
 
 
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts are linked. Only texts that a pair may need are shuffled."""
-    pairs = settle(pairs, "pairs")
+    """The pairs (a, b), a written table, whose whole texts are linked. Only texts that a pair may need are shuffled."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     folded = settle(fold(ids.select(F.xxhash64("id").alias("bit")), _FILTER_WORDS), "paired")
     texts = with_hits(docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(key).alias("__bit")),
@@ -193,6 +195,25 @@ def _whole(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
 
 
+def _shared(bits: DataFrame) -> DataFrame:
+    """(bit, size) of the values that come more than once, written.
+
+    Nearly every key is in one set only: summing up before the shuffle would fill memory and save nothing. Keys go in
+    parts by their value, and a part's shuffle is freed before the next, so that the disk holds one part at a time.
+    """
+    spark = bits.sparkSession
+    parts = []
+    for part in range(_KEY_PARTS):
+        own = bits.where(F.pmod("bit", F.lit(_KEY_PARTS)) == part)
+        parts.append(settle(own.repartition("bit").groupBy("bit").agg(F.count("*").alias("size")).where("size > 1"),
+                            "shared-keys"))
+        del own
+        free_shuffles(spark)
+    together = settle(reduce(DataFrame.unionAll, parts), "shared-keys")
+    discard(*parts)
+    return together
+
+
 def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5,
                 percent: int = 80) -> DataFrame:
     """Per row: key, n_shingles, component_id (the smallest key reachable by links, itself included).
@@ -202,6 +223,7 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     key link nothing and have a null component. Repeated rows are linked like other equal texts.
     """
     made = settle(sketches(docs, key, text, width, percent), "sketches")
+    rows = settle(made.select(F.col("id").alias("node"), F.col("n").alias("n_shingles")), "set-sizes")
     usable = made.where("n > 0 and id is not null").withColumn("bit", F.xxhash64("h1", "h2"))
     copies = settle(fold(repeated(usable.select("bit")), _FILTER_WORDS), "copies")
     usable = with_hits(usable, "bit", copies, _FILTER_WORDS)
@@ -213,27 +235,25 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     nodes = usable.where("not __hit").select(F.col("id").alias("node"), *sketch).unionByName(once.select("node", *sketch))
 
     keyed = nodes.select("node", F.explode("keys").alias("bit"))
-    # nearly every key is in one set only: summing up before the shuffle would fill memory and save nothing
-    shared = settle(keyed.select("bit").repartition("bit").groupBy("bit").agg(
-        F.count("*").alias("size")).where("size > 1"), "shared-keys")
-    free_shuffles(docs.sparkSession)
+    shared = _shared(keyed.select("bit"))
     folded = settle(fold(shared, _FILTER_WORDS), "shared-bits")
-    members = settle(with_hits(keyed, "bit", folded, _FILTER_WORDS).where("__hit").drop("__hit").join(
+    found_keys = settle(with_hits(keyed, "bit", folded, _FILTER_WORDS).where("__hit").drop("__hit").join(
         shared, "bit"), "members")
-    weight = settle(members.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
-    first_members, members = members, settle(
-        members.join(weight, "node").select(F.col("bit").alias("key"), "node", "weight"), "members")
-    discard(first_members, shared, folded)
-    del keyed, first_members
+    # only these keys are met again: two nodes have no other in common
+    by_node = settle(found_keys.groupBy("node").agg(
+        F.sum("size").alias("weight"), F.collect_list("bit").alias("keys")), "node-keys")
+    about = settle(nodes.drop("keys").join(by_node.select("node"), "node"), "about")
+    members = by_node.select(F.explode("keys").alias("key"), "node", "weight")
+    discard(made, copies, once, shared, folded, found_keys)
+    del made, usable, equal, once, nodes, keyed, shared, folded, found_keys
     free_shuffles(docs.sparkSession)
     centres = settle(members.groupBy("key").agg(
         F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre")), "centres")
-    about = settle(nodes.drop("keys").join(weight.select("node"), "node"), "about")
     free_shuffles(docs.sparkSession)
     pairs = members.join(centres, "key").where("node <> centre").select(
         F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     pairs = pairs.join(_named(about, "a"), "a").join(_named(about, "b"), "b").where(_near(percent)).select("a", "b")
-    links = verified(_enough_in_common(pairs, nodes, percent), docs, key, text, width, percent)
+    links = verified(_enough_in_common(pairs, about, by_node, percent), docs, key, text, width, percent)
     found = settle(components(links), "components")
     free_shuffles(docs.sparkSession)
 
@@ -248,10 +268,9 @@ def join_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     more = left.join(right, (left["key"] == right["key"]) & (F.col("comp_a") != F.col("comp_b")) & _near(percent))
     more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = links.unionByName(verified(
-        _enough_in_common(more, nodes, percent), docs, key, text, width, percent)).unionByName(same)
+        _enough_in_common(more, about, by_node, percent), docs, key, text, width, percent)).unionByName(same)
     found = settle(components(links), "components")
-    discard(members, centres, weight, about, placed, once, same, copies)
-    rows = made.select(F.col("id").alias("node"), F.col("n").alias("n_shingles"))
+    discard(by_node, centres, about, placed, same)
     return _whole(rows, found).select(F.col("node").alias(key), "n_shingles", F.col("comp").alias("component_id"))
 
 
@@ -263,23 +282,27 @@ def _near(percent: int):
     return near & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
 
-def _enough_in_common(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _enough_in_common(pairs: DataFrame, about: DataFrame, by_node: DataFrame, percent: int) -> DataFrame:
     """Pairs with as many equal pieces as a link needs: in the band of the smaller set, each of the at most
     (|A| + |B|) (100 - p) / (100 + p) shingles of one set only can make one piece differ. Keys are the bulk of a node, so
-    only those of nodes that a filter finds in a pair are shuffled."""
-    pairs = settle(pairs, "near-pairs")
-    free_shuffles(nodes.sparkSession)
+    only those are shuffled that other nodes have too, and of nodes that a filter finds in a pair."""
+    near = pairs = settle(pairs, "near-pairs")
+    free_shuffles(about.sparkSession)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     folded = settle(fold(ids.select(F.xxhash64("id").alias("bit")), _FILTER_WORDS), "in-pairs")
-    nodes = with_hits(nodes.select("node", "n", "own", "keys", F.xxhash64("node").alias("__bit")), "__bit", folded,
-                      _FILTER_WORDS).where("__hit")
+    nodes = settle(with_hits(about.select("node", "n", "own", F.xxhash64("node").alias("__bit")), "__bit", folded,
+                             _FILTER_WORDS).where("__hit").drop("__hit", "__bit").join(
+        by_node.select("node", "keys"), "node"), "in-pairs")
+    free_shuffles(about.sparkSession)
     for side in "ab":
         pairs = pairs.join(nodes.select(F.col("node").alias(side), *[
             F.col(c).alias(f"{c}_{side}") for c in ("n", "own", "keys")]), side)
     own = F.when(F.col("n_a") < F.col("n_b"), F.col("own_a")).when(F.col("n_a") > F.col("n_b"), F.col("own_b")).otherwise(
         F.least("own_a", "own_b"))
     least = own - F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
-    return pairs.where(F.size(F.array_intersect("keys_a", "keys_b")) >= least).select("a", "b")
+    enough = settle(pairs.where(F.size(F.array_intersect("keys_a", "keys_b")) >= least).select("a", "b"), "pairs")
+    discard(near, folded, nodes)
+    return enough
 
 
 def _named(about: DataFrame, side: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from kerbline import session
 from kerbline.llm import components, ngram_join
 
 
@@ -110,3 +111,19 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in got}
     assert {x for a, b in links if a != b for x in (a, b)} == set(got)
+
+
+def test_keys_and_pairs_do_not_outlive_the_join(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, text), (2, text + " more"), (3, " ".join(f"v{i}" for i in range(80))), (4, text.upper()), (5, None)]
+    before = set(session._SETTLED)
+    groups = ngram_join.join_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = {path.rsplit("/", 1)[1].rsplit("-", 1)[0] for path in session._SETTLED if path not in before}
+    assert not left & {"sketches", "members", "node-keys", "shared-keys", "near-pairs", "in-pairs", "equal-sets"}
+    assert {r.doc_id: r.component_id for r in groups.collect()} == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5}
+
+
+def test_keys_are_counted_whole_over_their_parts(spark):
+    bits = [0, 1, 2, 3, -1, -2, -3, -4, 7, 7, -7, -7, -7, 10, 10, 5, -(1 << 63), -(1 << 63)]
+    found = ngram_join._shared(spark.createDataFrame([(b,) for b in bits], "bit long"))
+    assert sorted(map(tuple, found.collect())) == [(-(1 << 63), 2), (-7, 3), (7, 2), (10, 2)]
