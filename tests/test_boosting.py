@@ -1,5 +1,7 @@
 """Boosted trees beside plain loops, on made-up rows."""
 
+from multiprocessing import pool
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -191,6 +193,47 @@ def test_below_the_root_only_the_smaller_nodes_are_summed(table, monkeypatch):
         assert counted == n if opened == [0] else counted <= n / 2
 
 
+def test_many_rows_are_counted_in_fewer_passes_and_the_root_once(monkeypatch):
+    """Nodes with many rows count more features at once, with the same sums; the root's rows are counted in one round only."""
+    rng = np.random.default_rng(5)
+    n, sizes = 70_000, [255, 255, 200, 9, 4, 2]
+    bins = np.array([rng.integers(0, size, n) for size in sizes], np.uint8)
+    numbers = np.array([(bins[0] > 100) ^ (rng.random(n) < 0.2), np.full(n, -1.0), rng.random(n) < 0.15], np.float64)
+    fit = {"at": list(range(6)), "y": 0, "w": None, "before": np.inf}
+    rows = B._Rows([(n, bins.tobytes(), numbers.tobytes())], fit, (6, 3))
+    g, h = rng.normal(size=len(rows.y)), rng.random(len(rows.y))
+    with monkeypatch.context() as few:
+        few.setattr(B, "_WIDE_BINS", 1 << 15)  # 59,000 rows train
+        rows.start(0.0, sizes)
+        assert len(rows.wide_groups) < len(rows.groups)
+        made, passes = B._histogram(rows, g, h, [0]), []
+        plain = np.bincount
+
+        def counted(x, weights=None, minlength=0):
+            passes.append(weights is None)
+            return plain(x, weights, minlength)
+
+        few.setattr(np, "bincount", counted)
+        again = B._histogram(rows, g, h, [0])
+        assert len(passes) == 2 * len(rows.wide_groups) and not any(passes)
+    assert (again == made).all()
+    for place, end in enumerate(np.cumsum(sizes)):
+        for k, x in enumerate((g, h, np.ones(len(g)))):
+            assert made[0, end - sizes[place]:end, k] == pytest.approx(
+                np.bincount(rows.bins[place], x, minlength=sizes[place]), abs=1e-8)
+
+
+def test_long_fits_start_first(table, monkeypatch):
+    started = []
+    plain = B._Trainer._fitted
+    monkeypatch.setattr(B._Trainer, "_fitted", lambda self, fit: started.append(fit.name) or plain(self, fit))
+    monkeypatch.setattr(B, "ThreadPool", lambda n: pool.ThreadPool(1))
+    fits = [B.Fit("few", "closed", COLUMNS[:1], trees=2), B.Fit("all", "closed", COLUMNS, trees=2),
+            B.Fit("more", "closed", COLUMNS, trees=3)]
+    assert list(B.fit_all(table, fits)) == ["few", "all", "more"]
+    assert started == ["more", "all", "few"]
+
+
 @pytest.mark.parametrize("leaves", [1, 2, 15, 16, 17, 32, 33, 63, 64, 70])
 def test_leaf_bits_beside_the_walk(leaves):
     """The leaf that no split closes is the one that steps from the root reach, without a step per level."""
