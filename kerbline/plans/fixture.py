@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kerbline.operators import cleaning, panel, weights
-from kerbline.session import pin_utc, settle
+from kerbline.session import join_grown, pin_utc, settle
 
 RAW_SQL = """
 SELECT
@@ -132,7 +132,7 @@ class Tables:
         """Predictions next to what was recorded (events with a start only)."""
         def build() -> DataFrame:
             recorded = self.clean_table.select("id", "start", "start_datetime", "duration_min", "status", "corridor")
-            return self.scored_table.join(recorded, "id")
+            return join_grown(self.scored_table, recorded, "id")
         return self.written("outcome", build)
 
     @cached_property

@@ -100,6 +100,15 @@ def lookup(df, label: str):
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+def join_grown(left, right, on, how: str = "inner"):
+    """A join of two tables that both grow with the log: both sides are shuffled, whatever their files weigh.
+
+    Spark takes the size of a written table's files for that of its rows. Packed tightly, millions of rows can be a few
+    megabytes of files, would pass for a small side and be gathered in the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def release(spark: SparkSession) -> int:
     """Delete every path given out so far, once no result that reads them is needed. Returns how many there were."""
     gone, _SETTLED[:] = list(_SETTLED), []
