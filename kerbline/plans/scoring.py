@@ -12,7 +12,7 @@ from kerbline.operators import metrics, ordered, rules, severity, splits
 from kerbline.operators.survival import COVARIATES, survival_frame
 from kerbline.plans.fixture import Tables, tidy
 from kerbline.plans.sql import listed, r6, with_ctes
-from kerbline.session import fresh_path
+from kerbline.session import fresh_path, join_grown
 from kerbline.sources import metrics as metric_store
 
 _Y, _P = "road_closure", "p_road_closure"
@@ -73,8 +73,8 @@ def spearman(spark, sf_dir):
 
 def concordance(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    framed = survival_frame(t.clean_table).select("id", "T", "E").join(
-        t.scored_table.select("id", "exp_duration_min"), "id", "left")
+    framed = join_grown(survival_frame(t.clean_table).select("id", "T", "E"),
+                        t.scored_table.select("id", "exp_duration_min"), "id", "left")
     return tidy(metrics.concordance(framed, "T", "E", "exp_duration_min"))
 
 

@@ -2,7 +2,8 @@
 
 import pytest
 
-from kerbline.plans import fixture
+from kerbline.operators import metrics
+from kerbline.plans import fixture, scoring
 from kerbline.session import settle
 
 ROWS = 3000
@@ -34,3 +35,12 @@ def test_outcome_is_not_broadcast(spark, log, monkeypatch):
     assert t.outcome.count() == t.clean_table.count() > 0
     plan = _plan(built["outcome"])
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_concordance_is_not_broadcast(spark, log, monkeypatch):
+    given = []
+    found = metrics.concordance
+    monkeypatch.setattr(metrics, "concordance", lambda df, *more: found(given.append(df) or df, *more))
+    assert scoring.concordance(spark, log).count() == 1
+    plan = _plan(given[0])
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
