@@ -13,7 +13,7 @@ from kerbline.models.boosting import Boosted, Fit
 from kerbline.operators import features, profile
 from kerbline.session import settle
 
-_LABELS = ["id", "road_closure", "high_priority", "duration_min", "recency_weight"]
+_LABELS = ["id", "start", "road_closure", "high_priority", "duration_min", "recency_weight"]
 PARTS = ("closure", "priority", "duration")
 
 
@@ -36,6 +36,7 @@ class ImpactModel:
         self.closure: Boosted | None = None
         self.priority: Boosted | None = None
         self.duration: Boosted | None = None
+        self._fitted_on: DataFrame | None = None
 
     def _classifier(self, part: str, label: str) -> Fit:
         return Fit(part, label, tuple(CLASSIFIER_FEATURES), "log", self.trees, self.rate, self.leaves, self.min_leaf, self.l2)
@@ -47,6 +48,7 @@ class ImpactModel:
         frame = settle(features.feature_frame(
             profile.recency_weight(clean_events), rates=self.rates, keep=_LABELS, features=wanted), "features")
         self.levels = features.learn_levels(frame)
+        self._fitted_on = frame
         train = encode.with_validation(features.cap_levels(frame, self.levels)).withColumn(
             "log_minutes", F.log1p("duration_min"))
         fits = [self._classifier(part, label) for part, label in (("closure", "road_closure"), ("priority", "high_priority"))
@@ -79,7 +81,17 @@ class ImpactModel:
         the rows, under other names, because features of the same name are capped.
         """
         carried = {f"kept_{c}": F.col(c) for c in keep}
-        scored = self.features(clean_events.withColumns(carried), history, keep=["id", *carried])
+        return self._scored(self.features(clean_events.withColumns(carried), history, keep=["id", *carried]), keep)
+
+    def score_fitted(self, keep: Sequence[str] = ()) -> DataFrame:
+        """`score` of the very events that the model was fitted on, whose features are written already."""
+        carried = {f"kept_{c}": F.col(c) for c in keep}
+        frame = self._fitted_on.select("id", *[c.alias(n) for n, c in carried.items()], *[
+            c for c in self._fitted_on.columns if c in FEATURES])
+        return self._scored(features.cap_levels(frame, self.levels), keep)
+
+    def _scored(self, scored: DataFrame, keep: Sequence[str]) -> DataFrame:
+        carried = [f"kept_{c}" for c in keep]
         models = {"p_road_closure": self.closure, "p_high_priority": self.priority, "log_minutes_hat": self.duration}
         models = {name: m for name, m in models.items() if m is not None}
         used = {c for m in models.values() for c in m.features}

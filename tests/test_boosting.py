@@ -247,3 +247,46 @@ def test_leaf_bits_beside_the_walk(leaves):
     assert (tree._leaves is None) == (leaves > 64)
     assert (tree.predict(bins) == tree.value[tree.nodes(bins)]).all()
     assert len(tree.predict(bins[:, :0])) == 0
+
+
+def test_millions_of_rows_take_a_task_per_model(spark, table, monkeypatch):
+    """Beyond a million rows, too; blocks that come in any order make one table."""
+    monkeypatch.setattr(B, "_BLOCK_ROWS", 500)
+    fits = [B.Fit("m", "minutes", COLUMNS, "absolute", 2, 0.2, l2=0.0), B.Fit("p", "closed", COLUMNS, trees=3)]
+    plain = B.fit_all(table, fits)
+    trainer = B._Trainer(table, fits, None, "validation")
+    trainer.n_rows, trainer.base = 5_000_000, {}
+    monkeypatch.setattr(B._Trainer, "_job", lambda *a: pytest.fail("a job per level"))
+    assert {name: m.to_json() for name, m in trainer.run().items()} == {name: m.to_json() for name, m in plain.items()}
+
+
+def test_blocks_arrive_in_any_order(table, monkeypatch):
+    monkeypatch.setattr(B, "_BLOCK_ROWS", 500)
+    trainer = B._Trainer(table, [B.Fit("m", "minutes", COLUMNS, "absolute")], None, "validation")
+    trainer.base = {}
+    known = trainer._context([0])
+    batches = trainer.packed.toArrow().to_batches()
+    blocks = [tuple(c[i].as_py() for c in batch.columns) for batch in batches for i in range(batch.num_rows)]
+    assert len(blocks) > 2
+    whole = B._Rows([b[1:] for b in sorted(blocks)], known["fits"][0], known["shape"])
+    cut = [batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)]
+    parts = B._Rows.arriving(cut[::-1], known["fits"][0], known["shape"])
+    for name in ("bins", "y", "w", "valid_bins", "valid_y", "valid_w"):
+        assert (getattr(parts, name) == getattr(whole, name)).all()
+
+
+def test_codes_made_when_asked_for_count_the_same(monkeypatch):
+    """Beside many rows' wide codes the narrow ones are made for the rows at hand."""
+    rng = np.random.default_rng(7)
+    n, sizes = 4000, [200, 30, 9, 4]
+    bins = np.array([rng.integers(0, size, n) for size in sizes], np.uint8)
+    numbers = np.array([rng.random(n) < 0.3, np.full(n, -1.0), rng.random(n) < 0.15], np.float64)
+    fit = {"at": list(range(4)), "y": 0, "w": None, "before": np.inf}
+    made = []
+    for most in (1 << 20, 100):
+        monkeypatch.setattr(B, "_KEPT_CODES", most)
+        monkeypatch.setattr(B, "_WIDE_BINS", 2000)
+        rows = B._Rows([(n, bins.tobytes(), numbers.tobytes())], fit, (4, 3))
+        made.append(B._rounds(rows, B.Fit("p", "y", tuple("abcd"), trees=3, min_leaf=5), sizes, [False] * 4))
+    assert made[0][2] == made[1][2]
+    assert all((a.value == b.value).all() for a, b in zip(made[0][1], made[1][1], strict=True))

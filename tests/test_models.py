@@ -34,6 +34,14 @@ def test_scores_are_in_range(tables, model):
                         | ~F.col("exp_duration_min").between(1, 1440)).count() == 0
 
 
+def test_fitted_events_score_the_same_without_their_features_made_again(tables, model, monkeypatch):
+    keep = ["start", "event_cause", "corridor", "road_closure"]
+    plain = model.score(tables.clean_table, keep=keep)
+    monkeypatch.setattr(ImpactModel, "features", lambda *a, **k: pytest.fail("features are made again"))
+    again = model.score_fitted(keep)
+    assert again.columns == plain.columns and _sorted(again) == _sorted(plain)
+
+
 def test_saved_model_scores_the_same(spark, tables, model):
     path = fresh_path(spark, "model")
     model.save(path)
